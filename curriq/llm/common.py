@@ -110,7 +110,9 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            _powers[name] = np.cumprod(np.concatenate([[1], np.full(size - 1, base, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            _powers[name] = np.cumprod(factors, dtype=np.uint64)
     return _powers["up"], _powers["down"]
 
 
