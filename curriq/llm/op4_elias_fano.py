@@ -297,7 +297,7 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -345,7 +345,6 @@ def read_shards(shards: DataFrame) -> DataFrame:
     # a row for each shard, thousands of documents each: the running sum is over that small table
     w = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "shard", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(w), F.lit(0).cast("long"))).drop("n_ids")
-    placed = spread(shards.join(starts, ["part", "shard"]).select("part", "shard", "has_id", "doc_ids", "before", "data"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,11 +356,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 there = np.unpackbits(np.frombuffer(row["has_id"], dtype=np.uint8))[: shard.n].astype(bool)
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(shard.n, row["part"], np.int32)), "shard": pa.array(np.full(shard.n, row["shard"], np.int32)),
-                    "doc_id": pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=~there), "start": pa.array(starts + row["before"]), "n_tokens": pa.array(ends - starts),
+                    "doc_id": pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=~there), "start": pa.array(starts), "n_tokens": pa.array(ends - starts),
                     "ids_crc32": pa.array([zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], pa.int64()),
                 })
 
-    return placed.mapInArrow(digest, DIGEST).drop("part", "shard")
+    rows = spread(shards.select("part", "shard", "has_id", "doc_ids", "data")).mapInArrow(digest, DIGEST)
+    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
