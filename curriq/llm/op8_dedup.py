@@ -11,10 +11,15 @@ time. Points come in order of time, so a process stops once it is later than eve
 with a probability of exactly the weighted Jaccard similarity.
 
 Signatures are cut into 25 bands of 5 places (a pair at 0.8 is missed with a probability of 5e-5). Documents that share a
-band's value are compared by way of leaders: a round picks leaders of each bucket, 1 at first and 4 times as many in
-each round, and verifies them against the members that are not yet in the leader's class. A bucket is done when all its
-members are in one class or every pair across classes has been verified, so no link is lost, and a bucket of copies costs
-one comparison a member and not one a pair.
+band's value are compared by way of leaders: a round picks leaders of each bucket, 1 at first and up to 4 times as many
+in each round, and verifies them against the members that are not yet in the leader's class. A bucket is done when all
+its members are in one class or every pair across classes has been settled, so no link is lost, and a bucket of copies
+costs one comparison a member and not one a pair.
+
+After the first round, pairs are also settled by a bound: a text's overlap with any other is at most the number of its
+shingles that some other text of the open buckets has, and a link needs an overlap of 4/9 of both sizes together. A
+text that can't reach this with the shortest member leaves the bucket; this is what becomes of the far variants of a
+large group, whose own changes are nowhere else.
 
 Null doc_ids: class_id null. Null texts: a class of their own. Texts without words: linked by exact copies only. Rows that
 repeat a doc_id must repeat its text; each row gets the class. Columns other than doc_id and text are not read.
@@ -33,6 +38,8 @@ from curriq.llm.common import SHINGLE, chunks, cut, forget, mix, shared_dir, spr
 
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+#: The overlap that a pair needs, as a share of its two sizes together (a little less, against rounding).
+SHARE = SIMILARITY / (1 + SIMILARITY) - 1e-9
 ELEMENT_BITS = 44
 
 # ---- BagMinHash ------------------------------------------------------------------------------------------------
@@ -175,24 +182,30 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     crowded = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
     open_buckets = cut(buckets.join(crowded, ["band", "value"]), folder, "open-0")
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(open_buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), folder, "texts")
-    edges = tested = labels = None
+    edges = tested = labels = limits = None
     step, leaders = 0, 1
     while not open_buckets.isEmpty():
         named = open_buckets.withColumn("class_id", F.col("id")) if labels is None else open_buckets.join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        split = named.groupBy("band", "value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.min("id").alias("first"), F.count("*").alias("n")).where("low < high").drop("low", "high")
-        if leaders == 1:
-            chosen = split.select("band", "value", F.col("first").alias("a"))
-        else:  # the first so many ids of each bucket, found by a bounded aggregate
-            chosen = split.select("band", "value").join(_first_ids(open_buckets, leaders), ["band", "value"])
-        chosen = chosen.join(named.select("band", "value", F.col("id").alias("a"), F.col("class_id").alias("class_a")), ["band", "value", "a"])
-        live = named.join(split.select("band", "value"), ["band", "value"])
-        pairs = live.select("band", "value", F.col("id").alias("b"), F.col("class_id").alias("class_b")).join(chosen, ["band", "value"]).where("class_a <> class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if labels is None:
+            live = named.withColumn("size", F.lit(0)).withColumn("most", F.lit(0))
+        else:
+            named = cut(_unsettled(named), folder, f"named-{step}")
+            if limits is None:
+                limits = cut(_limits(texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")), folder, "limits")
+            bounded = named.join(limits, "id")
+            least = bounded.groupBy("band", "value").agg(F.min("size").alias("least"))
+            live = cut(_unsettled(bounded.join(least, ["band", "value"]).where(F.col("most") >= SHARE * (F.col("size") + F.col("least"))).drop("least")), folder, f"live-{step}")
+        chosen = live.groupBy("band", "value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("slice")).agg(F.min(F.struct("id", "class_id", "size", "most")).alias("l"))
+        chosen = chosen.select("band", "value", F.col("l.id").alias("a"), F.col("l.class_id").alias("class_a"), F.col("l.size").alias("size_a"), F.col("l.most").alias("most_a"))
+        members = live.select("band", "value", F.col("id").alias("b"), F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"))
+        near = (F.col("class_a") != F.col("class_b")) & (F.least("most_a", "most_b") >= SHARE * (F.col("size_a") + F.col("size_b")))
+        pairs = members.join(chosen, ["band", "value"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{step}")
         found = cut(_verify(pairs, texts), folder, f"links-{step}")
         tested, edges = (pairs, found) if tested is None else (tested.unionByName(pairs), edges.unionByName(found))
         left = live.select("band", "value", "id").join(chosen.select("band", "value", F.col("a").alias("id")), ["band", "value", "id"], "left_anti")
         open_buckets = cut(left, folder, f"open-{step + 1}")
-        forget(spark, folder, f"open-{step}")
+        forget(spark, folder, f"open-{step}", f"named-{step}", f"live-{step}")
         labels = components(edges, folder, f"labels-{step}")
         step, leaders = step + 1, leaders * 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
@@ -204,13 +217,26 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return known.unionByName(rows).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def _first_ids(buckets: DataFrame, n: int) -> DataFrame:
-    """The n smallest ids of each bucket: an id is among them if it is among the n smallest of its slice of the bucket."""
-    from pyspark.sql import Window
+def _unsettled(named: DataFrame) -> DataFrame:
+    """Rows of the buckets (band, value) that hold more than one class."""
+    split = named.groupBy("band", "value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("band", "value")
+    return named.join(split, ["band", "value"])
+
+
+def _limits(texts: DataFrame) -> DataFrame:
+    """id, size (shingles) and most (those that other texts have too): no overlap with another of these texts is larger."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for start, some in chunks(batch.column(1).to_pylist()):
+                owner, element, weight = bags(some)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start + owner]), pa.array(element.view(np.int64)), pa.array(weight)], names=["id", "element", "n"])
 
-    slices = Window.partitionBy("band", "value", "slice").orderBy("id")
-    some = buckets.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(slices)).where(F.col("r") <= n).select("band", "value", "id")
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("band", "value").orderBy("id"))).where(F.col("r") <= n).select("band", "value", F.col("id").alias("a"))
+    rows = spread(texts.select("doc_id", "text")).mapInArrow(pieces, "id long, element long, n long")
+    alone = rows.groupBy("element").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.min("n").alias("n")).where("texts = 1").groupBy("id").agg(F.sum("n").alias("alone"))
+    sizes = rows.groupBy("id").agg(F.sum("n").alias("size"))
+    return sizes.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
