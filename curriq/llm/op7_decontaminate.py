@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-Every window of a document that has as many words as a benchmark item and touches one of the benchmark's five-word
-shingles (others have similarity 0 to every item) gets a 64-bit SimHash of its shingles, weighted by multiplicity. The
+Every window of a document that has as many words as a benchmark item gets a 64-bit SimHash of its shingles, weighted by
+multiplicity, unless fewer than 8/9 of its shingles occur in the benchmark at all (such a window can't reach the
+similarity below, so none is lost, and no fingerprint is computed for the bulk of the text). The
 fingerprint is cut into 4 blocks of 16 bits. Two fingerprints within a distance of 18 agree to within 4 bits in at least
 one block, so a table from block values to the items within 4 bits of them finds all items within 18. Each candidate is
 then verified by the exact weighted Jaccard similarity (sum of minima over sum of maxima) of the shingle multisets: a
@@ -30,6 +31,8 @@ from curriq.llm.common import SHINGLE, chunks, mix, shingle_hashes, spread, tabl
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 18, 4, 16
 ITEM_BLOCK = 512
+#: Words whose windows are looked at together, so that memory doesn't grow with a text.
+SEGMENT = 1 << 18
 
 
 def near_masks(bits: int, radius: int) -> np.ndarray:
@@ -38,21 +41,20 @@ def near_masks(bits: int, radius: int) -> np.ndarray:
     return values[np.bitwise_count(values) <= radius].astype(np.int64)
 
 
-def simhash(starts: np.ndarray, size: int, shingles: np.ndarray) -> np.ndarray:
-    """SimHash of shingles[start : start + size] for each start, each occurrence with weight 1."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    if not len(starts):
-        return out
-    low = int(starts.min())
-    used = shingles[low : int(starts.max()) + size]
-    sums = np.zeros(len(used) + 1, dtype=np.int32)
-    at = starts - low
-    for bit in range(64):
-        np.cumsum((used >> np.uint64(bit)).astype(np.int32) & 1, out=sums[1:])
-        out |= (2 * (sums[at + size] - sums[at]) > size).astype(np.uint64) << np.uint64(bit)
+def bit_sums(shingles: np.ndarray) -> np.ndarray:
+    """Running counts of one bits of the shingles, (n + 1) x 64."""
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.zeros((len(shingles) + 1, 64), dtype=np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=out[1:])
     return out
 
 
+def simhash(starts: np.ndarray, size: int, sums: np.ndarray) -> np.ndarray:
+    """SimHash of the shingles from each start on, each occurrence with weight 1; sums: their bit_sums."""
+    ones = 2 * (sums[starts + size] - sums[starts]) > size
+    return np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def multiset_similarity(a: np.ndarray, b: np.ndarray) -> float:
     x, wx = np.unique(a, return_counts=True)
     y, wy = np.unique(b, return_counts=True)
@@ -73,7 +75,7 @@ class ItemIndex:
                 self.words.append(len(words))
                 self.shingles.append(shingle_hashes(words, min(SHINGLE, len(words))))
         self.words = np.array(self.words, dtype=np.int64)
-        self.prints = np.array([simhash(np.array([0]), len(s), s)[0] for s in self.shingles], dtype=np.uint64)
+        self.prints = np.array([simhash(np.array([0]), len(s), bit_sums(s))[0] for s in self.shingles], dtype=np.uint64)
         # (shingle length, words of a window) of the items; items of fewer than SHINGLE words have shingles of their own
         self.shapes = sorted({(min(SHINGLE, int(n)), int(n)) for n in self.words})
         self.known = {k: np.unique(np.concatenate([s for s, n in zip(self.shingles, self.words, strict=True) if min(SHINGLE, n) == k])) for k in {k for k, _ in self.shapes}}
@@ -103,8 +105,14 @@ class ItemIndex:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
         """(text index, item id, similarity, first word, words) of the best window of each text and item that match."""
-        words, offsets = word_hashes(texts)
+        all_words, offsets = word_hashes(texts)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for low in range(0, len(all_words), SEGMENT) if self.shapes else ():  # windows that begin in one segment
+            self._search(all_words[low : low + SEGMENT + self.shapes[-1][1] - 1], low, offsets, best)
+        return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
+
+    def _search(self, words: np.ndarray, low: int, offsets: np.ndarray, best: dict) -> None:
+        """Note in `best` the matches of windows in words, which begin at place `low` of all words."""
         for k, known in self.known.items():
             shingles = shingle_hashes(words, k)
             maybe = np.flatnonzero(self.flags[k][(shingles >> np.uint64(44)).astype(np.int64)]) if len(shingles) else np.zeros(0, np.int64)
@@ -115,29 +123,29 @@ class ItemIndex:
             touched = np.zeros(len(shingles) + 1, dtype=np.int64)
             touched[hits + 1] = 1
             touched = np.cumsum(touched)
-            for own_k, n_words in self.shapes:
-                if own_k != k:
-                    continue
+            # the shingles that windows with hits may hold; windows lie in one run of them
+            reach = max(n for own_k, n in self.shapes if own_k == k) - k + 1
+            region = np.unique((hits[:, None] + np.arange(-reach, reach + 1)[None, :]).ravel())
+            region = region[(region >= 0) & (region < len(shingles))]
+            sums = bit_sums(shingles[region])
+            for n_words in (n for own_k, n in self.shapes if own_k == k):
                 size = n_words - k + 1
-                # windows are runs of `size` shingles that lie in one text and hold a hit
-                around = np.unique((hits[:, None] - np.arange(size)[None, :]).ravel())
-                around = around[(around >= 0) & (around + n_words <= len(words))]
-                owner = np.searchsorted(offsets, around, side="right") - 1
-                inside = around + n_words <= offsets[owner + 1]
+                around = region[region + n_words <= len(words)]
+                # equal sizes: 0.8 needs an overlap of 2 * 0.8 / 1.8 of the size, and so as many hits at least
+                around = around[touched[around + size] - touched[around] >= 2 * SIMILARITY / (1 + SIMILARITY) * size - 1e-9]
+                around = around[around < SEGMENT]
+                owner = np.searchsorted(offsets, around + low, side="right") - 1
+                inside = around + low + n_words <= offsets[owner + 1]
                 around, owner = around[inside], owner[inside]
                 if not len(around):
                     continue
-                prints = np.concatenate([simhash(run, size, shingles) for run in np.split(around, np.flatnonzero(np.diff(around) > 4 * size) + 1)])
-                at, item = self.near(prints)
-                # equal sizes: 0.8 needs an overlap of 2 * 0.8 / 1.8 of the size, and so as many hits at least
-                enough = touched[around + size] - touched[around] >= 2 * SIMILARITY / (1 + SIMILARITY) * size - 1e-9
-                fits = (self.words[item] == n_words) & enough[at]
+                at, item = self.near(simhash(np.searchsorted(region, around), size, sums))
+                fits = self.words[item] == n_words
                 for p, i in zip(at[fits], item[fits], strict=True):
                     s = multiset_similarity(shingles[around[p] : around[p] + size], self.shingles[i])
                     key = (int(owner[p]), int(i))
                     if s >= SIMILARITY and s > best.get(key, (0.0,))[0]:
-                        best[key] = (s, int(around[p] - offsets[owner[p]]), n_words)
-        return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
+                        best[key] = (s, int(around[p] + low - offsets[owner[p]]), n_words)
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
