@@ -36,9 +36,9 @@ END_ID = 2
 #: Ids of a shard: it is closed with the document that reaches this number.
 SHARD_IDS = 4 << 20
 #: Distinct pieces of text whose ids a Python worker keeps at once, about 40 bytes each; beyond, it starts anew.
-STORE_PIECES = 3_000_000
+STORE_PIECES = 1_000_000
 #: Bytes of text that are encoded at once; a longer document makes a batch of its own.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 6 << 20
 
 #: White space as the tokenizer's pattern sees it.
 WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -146,8 +146,9 @@ class Store:
 def spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[start : start + size] of all spans one after another."""
     ends = np.cumsum(sizes, dtype=np.int64)
-    place = np.repeat(starts - (ends - sizes), sizes)
-    place += np.arange(len(place))
+    kind = np.int32 if max(len(values), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    place = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    place += np.arange(len(place), dtype=kind)
     return values[place], sizes
 
 
@@ -331,6 +332,7 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
                     shard, held = shard + 1, 0
                     open_docs.clear()
                     open_ids.clear()
+            pa.default_memory_pool().release_unused()
         if open_docs:
             yield close()
 
