@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lexical_tokens(text: str | Column) -> Column:
@@ -47,12 +48,12 @@ def facet_text(text: str) -> str:
     return " ".join(fold(text).split())
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def exact_tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else split_tokens(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_facet_key(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else facet_text(v))
 
@@ -104,7 +105,7 @@ class CodeRules:
     def udf(self):
         rules = self
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(T.StringType())
         def run(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in codes:
                 yield part.map(lambda v: None if v is None else rules.normalize(v))

@@ -156,12 +156,12 @@ def keyset_page(spark, sf):
 WITH s AS (SELECT DISTINCT lang AS framework_id FROM documents UNION ALL SELECT 'it'),
 h AS (SELECT lang AS framework_id, doc_id, (1000000 * (list_contains(t, 'the')::INT + list_contains(t, 'der')::INT) // 2)::BIGINT AS score FROM (SELECT doc_id, lang, {TOKENS} AS t FROM documents)),
 r AS (SELECT *, row_number() OVER (PARTITION BY framework_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0)
-SELECT s.framework_id, r.doc_id, r.score, r.rank FROM s LEFT JOIN r ON r.framework_id = s.framework_id AND r.rank <= 5""")
+SELECT s.framework_id, coalesce(r.doc_id, -1) AS doc_id, coalesce(r.score, 0) AS score, coalesce(r.rank, 0) AS rank FROM s LEFT JOIN r ON r.framework_id = s.framework_id AND r.rank <= 5""")
 def compare_topk(spark, sf):
     docs = table(spark, sf, "documents").withColumnRenamed("lang", "framework_id")
     sections = docs.select("framework_id").unionByName(spark.createDataFrame([("it",)], "framework_id string"))
     hits = search.token_search(docs, "text", "der the", keep=("framework_id", "doc_id")).drop("matched_terms")
-    return catalog.compare_sections(sections, hits, [F.desc("score"), F.asc("doc_id")], 5)
+    return catalog.compare_sections(sections, hits, [F.desc("score"), F.asc("doc_id")], 5).fillna({"doc_id": -1, "score": 0, "rank": 0})  # no match
 
 
 @query("""
