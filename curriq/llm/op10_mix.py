@@ -90,10 +90,11 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """docs, each row as often as the mix takes it."""
     rows, _ = taken_times(docs, labels)
-    # rows that repeat id and text share their number of takes evenly enough by its largest
-    times = rows.where("times > 0").groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), F.col("source").alias("__source")).agg(F.max("times").alias("__times"))
-    hit = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__copy")) & docs["source"].eqNullSafe(F.col("__source"))
-    return docs.join(times, hit).withColumn("__take", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+    # rows that repeat id, text and source are taken alike, as often as the one of them that is taken most
+    times = rows.where("times > 0").groupBy("doc_id", "copy", "source").agg(F.max("times").alias("times"))
+    whole = docs.select(F.struct("*").alias("row"))  # the documents' own columns can't clash with these
+    hit = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("copy")) & F.col("row.source").eqNullSafe(F.col("source"))
+    return whole.join(times, hit).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,7 +242,7 @@ def _limits(texts: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row for each class, the one of its smallest doc_id; rows with a null doc_id stay."""
     kept = near_duplicate_classes(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
