@@ -11,15 +11,15 @@ time. Points come in order of time, so a process stops once it is later than eve
 with a probability of exactly the weighted Jaccard similarity.
 
 Signatures are cut into 25 bands of 5 places (a pair at 0.8 is missed with a probability of 5e-5). Documents that share a
-band's value are compared by way of leaders: a round picks leaders of each bucket, 1 at first and up to 4 times as many
-in each round, and verifies them against the members that are not yet in the leader's class. A bucket is done when all
-its members are in one class or every pair across classes has been settled, so no link is lost, and a bucket of copies
-costs one comparison a member and not one a pair.
+band's value are compared by way of leaders, verified against the members that are not yet in the leader's class: first
+the smallest id of each bucket, then its most central text (the one whose shingles most others have), then 16 members,
+1,024 and so on. A bucket is done when all its members are in one class or every pair across classes has been settled, so
+no link is lost, and a bucket of copies costs one comparison a member and not one a pair.
 
-After the first round, pairs are also settled by a bound: a text's overlap with any other is at most the number of its
-shingles that some other text of the open buckets has, and a link needs an overlap of 4/9 of both sizes together. A
-text that can't reach this with the shortest member leaves the bucket; this is what becomes of the far variants of a
-large group, whose own changes are nowhere else.
+From the central text c on, pairs are also settled by bounds. A link needs an overlap of 4/9 of both sizes together. An
+overlap of a and b is at most m(a), the shingles of a that some other text of the open buckets has, and at most o(b, c) +
+m(a) - o(a, c), where o is the overlap: what a shares with b is in c as well, or among a's shared shingles outside of c.
+This is what settles the far variants of a large group without comparing each with each.
 
 Null doc_ids: class_id null. Null texts: a class of their own. Texts without words: linked by exact copies only. Rows that
 repeat a doc_id must repeat its text; each row gets the class. Columns other than doc_id and text are not read.
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 #: The overlap that a pair needs, as a share of its two sizes together (a little less, against rounding).
 SHARE = SIMILARITY / (1 + SIMILARITY) - 1e-9
 ELEMENT_BITS = 44
+#: Leaders of a bucket after its central text, and so many times more in each further round.
+FIRST_LEADERS, LEADER_GROWTH = 16, 64
 
 # ---- BagMinHash ------------------------------------------------------------------------------------------------
 
@@ -103,16 +105,14 @@ def band_values(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return out.view(np.int64)
 
 
-def overlap(a: str, b: str) -> float:
-    """Weighted Jaccard similarity of two texts' shingle multisets; 0 if either has none."""
+def overlap(a: str | None, b: str | None) -> tuple[int, int]:
+    """(sum of minima, sum of maxima) of two texts' shingle multisets."""
     owner, element, weight = bags([a or "", b or ""])
     x, y = element[owner == 0], element[owner == 1]
-    if not len(x) or not len(y):
-        return 0.0
     wx, wy = weight[owner == 0], weight[owner == 1]
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     low = int(np.minimum(wx[i], wy[j]).sum())
-    return low / (int(wx.sum()) + int(wy.sum()) - low)
+    return low, int(wx.sum()) + int(wy.sum()) - low
 
 
 # ---- Classes ---------------------------------------------------------------------------------------------------
@@ -136,16 +136,15 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b) with the overlap of their texts and whether they are similar."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([overlap(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
+            found = [overlap(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([low for low, _ in found], pa.int64()), pa.array([low >= SIMILARITY * high and low > 0 for low, high in found], pa.bool_())], names=["a", "b", "low", "linked"])
 
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return spread(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")).mapInArrow(similar, "a long, b long")
+    return spread(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")).mapInArrow(similar, "a long, b long, low long, linked boolean")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -170,6 +169,19 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame | None, links: DataFrame, folder: str, name: str) -> DataFrame | None:
+    """labels (id, class_id) after further links (a, b): components of the classes that links join, not of all texts."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links, folder, name)
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("class_id").alias(f"class_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    over = components(ends, folder, name)
+    moved = labels.join(over.select(F.col("id").alias("class_id"), F.col("class_id").alias("into")), "class_id", "left").select("id", F.coalesce("into", "class_id").alias("class_id"))
+    return cut(moved.unionByName(over.join(labels, "id", "left_anti").select("id", "class_id")), folder, f"{name}-all")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, class_id, kept (is it the one that stands for its class)."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -180,34 +192,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value")).distinct()
     )
     crowded = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    open_buckets = cut(buckets.join(crowded, ["band", "value"]), folder, "open-0")
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(open_buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), folder, "texts")
-    edges = tested = labels = limits = None
-    step, leaders = 0, 1
-    while not open_buckets.isEmpty():
-        named = open_buckets.withColumn("class_id", F.col("id")) if labels is None else open_buckets.join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        if labels is None:
-            live = named.withColumn("size", F.lit(0)).withColumn("most", F.lit(0))
-        else:
-            named = cut(_unsettled(named), folder, f"named-{step}")
-            if limits is None:
-                limits = cut(_limits(texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")), folder, "limits")
-            bounded = named.join(limits, "id")
-            least = bounded.groupBy("band", "value").agg(F.min("size").alias("least"))
-            live = cut(_unsettled(bounded.join(least, ["band", "value"]).where(F.col("most") >= SHARE * (F.col("size") + F.col("least"))).drop("least")), folder, f"live-{step}")
-        chosen = live.groupBy("band", "value", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("slice")).agg(F.min(F.struct("id", "class_id", "size", "most")).alias("l"))
-        chosen = chosen.select("band", "value", F.col("l.id").alias("a"), F.col("l.class_id").alias("class_a"), F.col("l.size").alias("size_a"), F.col("l.most").alias("most_a"))
-        members = live.select("band", "value", F.col("id").alias("b"), F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"))
-        near = (F.col("class_a") != F.col("class_b")) & (F.least("most_a", "most_b") >= SHARE * (F.col("size_a") + F.col("size_b")))
-        pairs = members.join(chosen, ["band", "value"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{step}")
-        found = cut(_verify(pairs, texts), folder, f"links-{step}")
-        tested, edges = (pairs, found) if tested is None else (tested.unionByName(pairs), edges.unionByName(found))
-        left = live.select("band", "value", "id").join(chosen.select("band", "value", F.col("a").alias("id")), ["band", "value", "id"], "left_anti")
-        open_buckets = cut(left, folder, f"open-{step + 1}")
-        forget(spark, folder, f"open-{step}", f"named-{step}", f"live-{step}")
-        labels = components(edges, folder, f"labels-{step}")
-        step, leaders = step + 1, leaders * 4
+    live = cut(buckets.join(crowded, ["band", "value"]), folder, "open-0")
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), folder, "texts")
+    labels = None
+    if not live.isEmpty():
+        first = live.groupBy("band", "value").agg(F.min("id").alias("leader"))
+        verified = cut(_verify(_pairs(live.join(first, ["band", "value"])), texts), folder, "links-0")
+        labels = joined(None, verified.where("linked").select("a", "b"), folder, "labels-0")
+        left = live.join(first.withColumnRenamed("leader", "id"), ["band", "value", "id"], "left_anti")
+        labels = _settled(cut(_unsettled(_named(left, labels)), folder, "open-1"), verified, labels, texts, folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     known = sketched.select("doc_id", "copy").join(firsts, "copy", "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     if labels is not None:
@@ -217,14 +210,80 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return known.unionByName(rows).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows with id and leader."""
+    return members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of buckets with their present class_id."""
+    rows = buckets.drop("class_id")
+    if labels is None:
+        return rows.withColumn("class_id", F.col("id"))
+    return rows.join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+
+
+def _settled(live: DataFrame, verified: DataFrame, labels: DataFrame | None, texts: DataFrame, folder: str) -> DataFrame | None:
+    """labels once every pair across classes in the buckets of live (band, value, id, class_id) is settled."""
+    if live.isEmpty():
+        return labels
+    # the most central text of each bucket: the others' overlaps with it bound the overlaps of all pairs
+    limits = cut(_limits(texts.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")), folder, "limits")
+    bounded = cut(live.join(limits, "id"), folder, "bounded")
+    central = bounded.groupBy("band", "value").agg(F.max(F.struct("common", "id")).alias("c")).select("band", "value", F.col("c.id").alias("leader"))
+    members = bounded.join(central, ["band", "value"])
+    pairs = _pairs(members).join(verified, ["a", "b"], "left_anti")
+    more = cut(_verify(pairs, texts), folder, "links-1")
+    labels = joined(labels, more.where("linked").select("a", "b"), folder, "labels-1")
+    verified = verified.unionByName(more)
+    least, most = F.least("id", "leader"), F.greatest("id", "leader")
+    known = members.where("id <> leader").withColumns({"a": least, "b": most}).join(verified.select("a", "b", "low"), ["a", "b"])
+    live = cut(_named(known.select("band", "value", "id", "size", "most", "low", "leader"), labels).drop("leader"), folder, "known")
+    chief = _named(central.withColumnRenamed("leader", "id"), labels).select("band", "value", F.col("class_id").alias("chief"))
+    live = live.withColumn("spare", F.col("most") - F.col("low")).join(chief, ["band", "value"])
+    step, leaders = 2, FIRST_LEADERS
+    while True:
+        live = cut(_unsettled(_bounded(_unsettled(live))), folder, f"live-{step}")
+        if live.isEmpty():
+            return labels
+        slices = F.pmod(F.xxhash64("id"), F.lit(leaders))
+        own = F.struct("id", "class_id", "size", "most", "low", "spare")
+        chosen = live.groupBy("band", "value", slices.alias("slice")).agg(F.min(own).alias("l")).select("band", "value", "l")
+        need = SHARE * (F.col("size") + F.col("l.size"))
+        near = (F.col("class_id") != F.col("l.class_id")) & (F.least("most", "l.most", F.col("low") + F.col("l.spare"), F.col("l.low") + F.col("spare")) >= need)
+        pairs = _pairs(live.join(chosen, ["band", "value"]).where(near).select("id", F.col("l.id").alias("leader"))).join(verified, ["a", "b"], "left_anti")
+        more = cut(_verify(pairs, texts), folder, f"links-{step}")
+        labels = joined(labels, more.where("linked").select("a", "b"), folder, f"labels-{step}")
+        verified = verified.unionByName(more)
+        live = _named(live.join(chosen.select("band", "value", F.col("l.id").alias("id")), ["band", "value", "id"], "left_anti"), labels)
+        step, leaders = step + 1, leaders * LEADER_GROWTH
+
+
+def _bounded(live: DataFrame) -> DataFrame:
+    """Rows of live that may still be linked to a text of another class in their bucket.
+
+    A text of the chief class can only be linked to one outside of it, so it is held against the bounds of those.
+    """
+    outside = F.col("class_id") != F.col("chief")
+    tops = live.groupBy("band", "value").agg(
+        *(F.max(c).alias(f"any_{c}") for c in ("low", "spare")), F.min("size").alias("any_size"),
+        *(F.max(F.when(outside, F.col(c))).alias(f"out_{c}") for c in ("low", "spare")), F.min(F.when(outside, F.col("size"))).alias("out_size"),
+    )
+    best = lambda c: F.when(outside, F.col(f"any_{c}")).otherwise(F.col(f"out_{c}"))
+    need = SHARE * (F.col("size") + best("size"))
+    fits = F.least("most", F.col("low") + best("spare"), F.col("spare") + best("low")) >= need
+    return live.join(tops, ["band", "value"]).where(fits).select(*live.columns)
+
+
 def _unsettled(named: DataFrame) -> DataFrame:
     """Rows of the buckets (band, value) that hold more than one class."""
-    split = named.groupBy("band", "value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("band", "value")
+    split = named.groupBy("band", "value").agg(F.min("class_id").alias("low_class"), F.max("class_id").alias("high_class")).where("low_class < high_class").select("band", "value")
     return named.join(split, ["band", "value"])
 
 
 def _limits(texts: DataFrame) -> DataFrame:
-    """id, size (shingles) and most (those that other texts have too): no overlap with another of these texts is larger."""
+    """id, size (shingles), most (those that other texts have too: no overlap with another of these texts is larger), and
+    common (mean logarithm of the number of texts that have its shingles)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +293,11 @@ def _limits(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start + owner]), pa.array(element.view(np.int64)), pa.array(weight)], names=["id", "element", "n"])
 
     rows = spread(texts.select("doc_id", "text")).mapInArrow(pieces, "id long, element long, n long")
-    alone = rows.groupBy("element").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.min("n").alias("n")).where("texts = 1").groupBy("id").agg(F.sum("n").alias("alone"))
-    sizes = rows.groupBy("id").agg(F.sum("n").alias("size"))
-    return sizes.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    # hot shingles are summed before they are dealt out, and joined back by a join whose hot keys can be split
+    counts = rows.groupBy("element").agg(F.count("*").alias("texts"))
+    held = rows.join(counts, "element").groupBy("id").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("texts") > 1, F.col("n")).otherwise(0)).alias("most"), F.sum(F.col("n") * F.log2("texts")).alias("total"))
+    # whole numbers in the order, so that reruns choose alike
+    return held.select("id", "size", "most", F.floor(1024 * F.col("total") / F.col("size")).alias("common"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
