@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.llm.common import bucket_of, spread, table
+from curriq.llm.common import bucket_of, released, spread, table
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -147,6 +147,7 @@ def fit(docs: DataFrame) -> Network | None:
     chosen = [r[0] for r in picked.select("doc_id").collect()]  # at most SAMPLE_DOCS ids
     sample = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
 
+    @released
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, langs, ids = [], [], []
@@ -202,6 +203,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some tens of kilobytes
 
+    @released
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
@@ -221,6 +223,7 @@ def keep_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFram
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @released
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

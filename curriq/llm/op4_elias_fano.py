@@ -29,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curriq.llm.common import cut, shared_dir, spread, table
+from curriq.llm.common import cut, released, shared_dir, spread, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 #: Ids of a shard: it is closed with the document that reaches this number.
 SHARD_IDS = 4 << 20
 #: Distinct pieces of text whose ids a Python worker keeps at once, about 40 bytes each; beyond, it starts anew.
-STORE_PIECES = 1_000_000
+STORE_PIECES = 400_000
 #: Bytes of text that are encoded at once; a longer document makes a batch of its own.
 ENCODE_BYTES = 6 << 20
 
@@ -300,6 +300,7 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -348,6 +349,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     w = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "shard", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(w), F.lit(0).cast("long"))).drop("n_ids")
 
+    @released
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.llm.common import SHINGLE, chunks, mix, shingle_hashes, spread, table, word_hashes
+from curriq.llm.common import SHINGLE, chunks, mix, released, shingle_hashes, spread, table, word_hashes
 
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 18, 4, 16
@@ -193,6 +193,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in item_blocks(items):
         shared = _Shared(spark, block)
 
+        @released
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared)
             for batch in batches:
@@ -216,6 +217,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in item_blocks(items):
         shared = _Shared(spark, block)
 
+        @released
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared)
             for batch in batches:

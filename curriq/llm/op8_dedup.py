@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.llm.common import SHINGLE, chunks, cut, forget, mix, shared_dir, spread, table, text_shingles
+from curriq.llm.common import SHINGLE, chunks, cut, forget, mix, released, shared_dir, spread, table, text_shingles
 
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
@@ -121,6 +121,7 @@ def overlap(a: str | None, b: str | None) -> tuple[int, int]:
 def _sketch(docs: DataFrame) -> DataFrame:
     """doc_id, copy (hash of the whole text) and the signature's bands (null without words)."""
 
+    @released
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -138,6 +139,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with the overlap of their texts and whether they are similar."""
 
+    @released
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [overlap(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -285,6 +287,7 @@ def _limits(texts: DataFrame) -> DataFrame:
     """id, size (shingles), most (those that other texts have too: no overlap with another of these texts is larger), and
     common (mean logarithm of the number of texts that have its shingles)."""
 
+    @released
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
