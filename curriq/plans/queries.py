@@ -339,7 +339,19 @@ def judgment_excerpt(spark, sf):
 SELECT 'lifted' AS stage, l_orderkey, l_partkey, NULL::VARCHAR AS flag, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 200
 UNION ALL SELECT 'lowered', l_orderkey, l_partkey, 'A', l_linestatus FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 200""")
 def compact_rehydrate(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'A' AND l_orderkey < 200").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    return _compacted(table(spark, sf, "lineitem").where("l_orderkey < 200"))
+
+
+@query("""
+SELECT 'lifted' AS stage, l_orderkey, l_partkey, NULL::VARCHAR AS flag, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'A'
+UNION ALL SELECT 'lowered', l_orderkey, l_partkey, 'A', l_linestatus FROM lineitem WHERE l_returnflag = 'A'""")
+def compact_rehydrate_all(spark, sf):
+    return _compacted(table(spark, sf, "lineitem"))
+
+
+def _compacted(lines: DataFrame) -> DataFrame:
+    """The returned lines with their constant columns lifted, and lowered again."""
+    rows = lines.where("l_returnflag = 'A'").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
     shared, lifted = progressions.lift_constants(rows, ["flag", "status"])
     lowered = progressions.lower_constants(lifted, shared, ["flag", "status"])
     return lifted.withColumn("stage", F.lit("lifted")).unionByName(lowered.withColumn("stage", F.lit("lowered")))
@@ -425,7 +437,19 @@ WITH c AS (SELECT p_partkey, p_type, count(DISTINCT l_suppkey) AS n FROM part LE
 SELECT 'parent-too-few' AS code, 'P:' || p_partkey AS record_id FROM c WHERE n < 1 AND p_type IN ('STANDARD', 'PROMO') UNION ALL SELECT 'parent-too-many', 'P:' || p_partkey FROM c WHERE n > 3 AND p_type = 'STANDARD'
 UNION ALL SELECT 'parent-type', 'P:' || p_partkey FROM c WHERE n > 0 AND p_type NOT IN ('STANDARD', 'PROMO')""")
 def findings_parents(spark, sf):
-    sold = V.dag(spark, sf).where(F.col("target").startswith("P:") & F.col("source").rlike("0$")).withColumn("status", F.lit(None).cast("string"))
+    return _parent_findings(spark, sf, V.dag(spark, sf).where(F.col("source").rlike("0$")))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, p_type, count(DISTINCT l_suppkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_type)
+SELECT 'parent-too-few' AS code, 'P:' || p_partkey AS record_id FROM c WHERE n < 1 AND p_type IN ('STANDARD', 'PROMO') UNION ALL SELECT 'parent-too-many', 'P:' || p_partkey FROM c WHERE n > 3 AND p_type = 'STANDARD'
+UNION ALL SELECT 'parent-type', 'P:' || p_partkey FROM c WHERE n > 0 AND p_type NOT IN ('STANDARD', 'PROMO')""")
+def findings_parents_all(spark, sf):
+    return _parent_findings(spark, sf, V.dag(spark, sf))
+
+
+def _parent_findings(spark: SparkSession, sf: str, edges: DataFrame) -> DataFrame:
+    sold = edges.where(F.col("target").startswith("P:")).withColumn("status", F.lit(None).cast("string"))
     items = V.part_nodes(spark, sf).select("node_id", F.col("p_type").alias("statement_type")).unionByName(table(spark, sf, "supplier").select(V.ident("S", "s_suppkey").alias("node_id"), F.lit("SUPPLIER").alias("statement_type")))
     policies = spark.createDataFrame([("STANDARD", "SUPPLIER", 1, 3), ("PROMO", "SUPPLIER", 1, 1_000_000)], "statement_type string, parent_type string, least int, most int")
     return validation.report(validation.parent_policy(sold, items, policies)).select("code", "record_id")
@@ -449,6 +473,18 @@ def findings_lp(spark, sf):
 WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 500), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 500 AND l_linenumber <> 7 UNION ALL SELECT 1, -1)
 SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def set_reconcile(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 500")
+    return _reconciled(table(spark, sf, "lineitem").where("l_orderkey < 500"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <> 7 UNION ALL SELECT 1, -1)
+SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def set_reconcile_all(spark, sf):
+    return _reconciled(table(spark, sf, "lineitem"))
+
+
+def _reconciled(rows: DataFrame) -> DataFrame:
+    """Order lines against the same without the seventh ones and with one more."""
+    spark = rows.sparkSession
     extra = spark.createDataFrame([(1, -1)], "l_orderkey long, l_partkey long")
     return statistics.set_difference(rows.select("l_orderkey", "l_partkey"), rows.where("l_linenumber <> 7").select("l_orderkey", "l_partkey").unionByName(extra))
