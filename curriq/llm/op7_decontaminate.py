@@ -8,12 +8,15 @@ one block, so a table from block values to the items within 4 bits of them finds
 then verified by the exact weighted Jaccard similarity (sum of minima over sum of maxima) of the shingle multisets: a
 document is contaminated by an item if one of its windows has 0.8 or more.
 
+A document of fewer words than an item is one window as a whole. Such windows are few and short, so the overlaps of those
+that have enough known shingles are counted exactly by way of an inverted table of the items' shingles, without fingerprints.
+
 At a similarity of 0.8 fingerprints of equal windows differ by 9.7 bits on average with a deviation of 2.9, so the radius
 loses about 0.2 % of windows at the threshold itself and none of exact copies.
 
 Items are taken to the workers in blocks of 512 at most (ITEM_BLOCK); a larger benchmark makes as many narrow passes.
 Items of 1 to 4 words have one shingle of all their words; items and documents without words match nothing, null texts
-too. Documents shorter than an item have no window of it. Rows that repeat a doc_id count as one document; null doc_ids
+too. Documents of 1 to 4 words match no longer item. Rows that repeat a doc_id count as one document; null doc_ids
 take part as one document of that id. Columns other than doc_id, text and item_id, text are not read.
 """
 
@@ -80,6 +83,14 @@ class ItemIndex:
         self.shapes = sorted({(min(SHINGLE, int(n)), int(n)) for n in self.words})
         self.known = {k: np.unique(np.concatenate([s for s, n in zip(self.shingles, self.words, strict=True) if min(SHINGLE, n) == k])) for k in {k for k, _ in self.shapes}}
         self.flags = {k: np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for k, v in self.known.items()}
+        # (item, count) of each known shingle of SHINGLE words, in the order of known[SHINGLE]
+        own = [(i, *np.unique(s, return_counts=True)) for i, (s, n) in enumerate(zip(self.shingles, self.words, strict=True)) if n >= SHINGLE]
+        values = np.concatenate([np.zeros(0, np.uint64), *(v for _, v, _ in own)])
+        order = np.argsort(values, kind="stable")
+        self.holders = np.repeat([i for i, _, _ in own], [len(v) for _, v, _ in own]).astype(np.int64)[order]
+        self.held = np.concatenate([np.zeros(0, np.int64), *(c for _, _, c in own)])[order]
+        self.holder_starts = np.searchsorted(values[order], self.known.get(SHINGLE, values[:0]), side="left")
+        self.holder_ends = np.searchsorted(values[order], self.known.get(SHINGLE, values[:0]), side="right")
         masks = near_masks(BLOCK_BITS, RADIUS // BLOCKS)
         self.tables = []
         for block in range(BLOCKS):
@@ -109,6 +120,7 @@ class ItemIndex:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for low in range(0, len(all_words), SEGMENT) if self.shapes else ():  # windows that begin in one segment
             self._search(all_words[low : low + SEGMENT + self.shapes[-1][1] - 1], low, offsets, best)
+        self._search_short(all_words, offsets, best)
         return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
 
     def _search(self, words: np.ndarray, low: int, offsets: np.ndarray, best: dict) -> None:
@@ -148,6 +160,33 @@ class ItemIndex:
                         best[key] = (s, int(around[p] + low - offsets[owner[p]]), n_words)
 
 
+    def _search_short(self, words: np.ndarray, offsets: np.ndarray, best: dict) -> None:
+        """Note in `best` the items that match a whole text of fewer words."""
+        if SHINGLE not in self.known:
+            return
+        known, counts = self.known[SHINGLE], np.diff(offsets)
+        short = np.flatnonzero((counts >= SHINGLE) & (counts < self.words.max()))
+        if not len(short):
+            return
+        sizes = counts[short] - SHINGLE + 1
+        ends = np.cumsum(counts[short])
+        at = np.arange(int(ends[-1])) + np.repeat(offsets[short] - (ends - counts[short]), counts[short])
+        shingles = shingle_hashes(words[at], SHINGLE)
+        spot = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        hits = np.concatenate([[0], np.cumsum(known[spot] == shingles)])
+        first = ends - counts[short]
+        # longer items: 0.8 needs an overlap of more than 2 * 0.8 / 1.8 of the text's size
+        for j in np.flatnonzero(hits[first + sizes] - hits[first] >= 2 * SIMILARITY / (1 + SIMILARITY) * sizes - 1e-9):
+            own = slice(first[j], first[j] + sizes[j])
+            places, times = np.unique(spot[own][known[spot[own]] == shingles[own]], return_counts=True)
+            n = self.holder_ends[places] - self.holder_starts[places]
+            some = np.repeat(self.holder_starts[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            low = np.bincount(self.holders[some], weights=np.minimum(self.held[some], np.repeat(times, n)), minlength=len(self.words))
+            similarity = low / (sizes[j] + self.words - SHINGLE + 1 - low)
+            for i in np.flatnonzero((self.words > counts[short[j]]) & (similarity >= SIMILARITY)):
+                best[int(short[j]), int(i)] = (float(similarity[i]), 0, int(counts[short[j]]))
+
+
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of at most ITEM_BLOCK items; only one block is on the driver at a time."""
     block: list[tuple[int, str]] = []
