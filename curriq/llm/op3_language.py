@@ -5,9 +5,10 @@ numbers each), applies filters of widths 2, 4 and 6 (12 of each), takes each fil
 the rectified maxima to language logits. A document's logits are the mean over its windows, weighted by their bytes; its
 score is the softmax probability of the chosen language.
 
-Training is plain stochastic gradient descent with momentum over windows of a sample: at most SAMPLE_DOCS labelled
-documents (lowest hashes of their ids, so the same ones every time), at most SAMPLE_WINDOWS windows of each, spread evenly.
-Every language weighs the same in the loss. For use, each filter of width w is w/2 tables over byte pairs, added up: the
+Every language with a labelled text that isn't empty is learnt. Training is plain stochastic gradient descent with momentum over windows of a sample: for
+each of L languages SAMPLE_DOCS // L labelled documents at most, or one where L is larger (lowest hashes of their ids, so the
+same ones every time, and texts of under LEAST_BYTES only where a language has no others left), at most SAMPLE_WINDOWS
+windows of each, spread evenly. Every language weighs the same in the loss. For use, each filter of width w is w/2 tables over byte pairs, added up: the
 same sums as the convolution's, found by lookup.
 
 Only rows with text and lang whose crc32(doc_id as text) mod 4 is not 2 are learnt from. Texts that are null or have no
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curriq.llm.common import bucket_of, released, spread, table
@@ -32,7 +33,7 @@ WIDTHS = (2, 4, 6)
 FILTERS, EMBED = 12, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 3
 EPOCHS, BATCH = 5, 64
-MAX_LANGS = 64
+LEAST_BYTES = 16
 #: A text whose best language has a lower probability is rejected by the pipeline.
 LEAST_SCORE = 0.5
 
@@ -134,39 +135,42 @@ def fit(docs: DataFrame) -> Network | None:
     """A network trained on a bounded sample of docs (doc_id, text, lang); None without labelled rows."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of("doc_id", 4) != 2))
-    order = F.xxhash64(F.lit(3), "doc_id")
     # ids first: texts are then read for the sample's rows alone
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not names:
+    ids = rows.where("text <> ''").groupBy("lang", "doc_id").agg(F.min(F.octet_length("text") < LEAST_BYTES).alias("brief")).withColumn("o", F.xxhash64(F.lit(3), "doc_id"))
+    counted = [tuple(r) for r in ids.groupBy("lang", "brief").count().collect()]  # two rows for each language at most
+    if not counted:
         return None
-    each = SAMPLE_DOCS // len(names)
-    picked = None
-    for name in names:
-        part = rows.where(F.col("lang") == name).select("doc_id", order.alias("o")).distinct().orderBy("o", "doc_id").limit(each)
-        picked = part if picked is None else picked.unionByName(part)
-    chosen = [r[0] for r in picked.select("doc_id").collect()]  # at most SAMPLE_DOCS ids
-    sample = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    sizes = docs.sparkSession.createDataFrame(counted, "lang string, brief boolean, count long")
+    each = max(1, SAMPLE_DOCS // len({lang for lang, _, _ in counted}))
+    # hashes are uniform: the lowest `each` of a language lie below this bound, and no task gets all rows of a language
+    share = F.lit(2.0 * each + 50) / F.col("count")
+    low = ids.join(F.broadcast(sizes), ["lang", "brief"]).where(F.col("o") / 2.0**63 <= 2 * share - 1)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("brief", "o", "doc_id"))
+    chosen = [tuple(r) for r in low.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang").collect()]
+    sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")
 
     @released
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, langs, ids = [], [], []
+            parts, langs, ids, lengths = [], [], [], []
             for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, _, sizes = windows_of([text.encode("utf-8", "surrogatepass")])
                 for i in sorted({int(i) for i in np.linspace(0, len(found) - 1, SAMPLE_WINDOWS)}) if len(found) else ():
-                    if sizes[i] >= 16:
-                        parts.append(found[i].tobytes())
-                        langs.append(lang)
-                        ids.append(doc_id)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["doc_id", "lang", "bytes"])
-
-    got = spread(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang")).mapInArrow(cut_windows, "doc_id long, lang string, bytes binary").collect()
-    got = sorted(set(got))
+                    parts.append(found[i].tobytes())
+                    langs.append(lang)
+                    ids.append(doc_id)
+                    lengths.append(int(sizes[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary()), pa.array(lengths, pa.int64())], names=["doc_id", "lang", "bytes", "size"])
+
+    got = spread(rows.join(F.broadcast(sample), ["doc_id", "lang"]).select("doc_id", "text", "lang")).mapInArrow(cut_windows, "doc_id long, lang string, bytes binary, size long").collect()
+    full = {r[1] for r in got if r[3] >= LEAST_BYTES}
+    got = sorted({(r[0], r[1], r[2]) for r in got if r[3] >= LEAST_BYTES or r[1] not in full})
     if not got:
         return None
-    place = {n: i for i, n in enumerate(sorted(names))}
+    names = sorted({r[1] for r in got})
+    place = {n: i for i, n in enumerate(names)}
     windows = np.frombuffer(b"".join(r[2] for r in got), dtype=np.uint8).reshape(-1, WINDOW)
-    return train(windows, np.array([place[r[1]] for r in got]), sorted(names))
+    return train(windows, np.array([place[r[1]] for r in got]), names)
 
 
 _applied: dict[int, tuple] = {}
