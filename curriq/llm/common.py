@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass takes; longer documents make a pass of their own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 SHINGLE = 5
 
 

@@ -2,7 +2,7 @@
 
 Two texts are linked if the multisets of their five-word shingles have a weighted Jaccard similarity (sum of minima over
 sum of maxima) of 0.8 or more. A class is a connected component of links; each document gets the smallest doc_id of its
-class. Exact copies share a class whatever they hold.
+class. Texts with equal multisets share a class, exact copies whatever they hold.
 
 BagMinHash: a shingle's weight axis is cut into intervals (0,1], (1,2], (2,4], (4,8] ...; each interval of each shingle
 carries a Poisson process with a rate of its length, seeded by shingle and interval, so that any two documents see the
@@ -10,39 +10,39 @@ same points. A point within the document's own weight goes to a random place of
 time. Points come in order of time, so a process stops once it is later than every place. Places of two signatures agree
 with a probability of exactly the weighted Jaccard similarity.
 
-Signatures are cut into 25 bands of 5 places (a pair at 0.8 is missed with a probability of 5e-5). Documents that share a
-band's value are compared by way of leaders, verified against the members that are not yet in the leader's class: first
-the smallest id of each bucket, then its most central text (the one whose shingles most others have), then 16 members,
-1,024 and so on. A bucket is done when all its members are in one class or every pair across classes has been settled, so
-no link is lost, and a bucket of copies costs one comparison a member and not one a pair.
+Signatures are cut into 25 bands of 5 places (a pair at 0.8 is missed with a probability of 5e-5). Of texts with equal
+multisets one takes part. A multiset is held as a set: the j-th occurrence of a shingle is an item of its own, so that the
+sum of minima is the size of an intersection, which Spark computes on arrays of items.
 
-From the central text c on, pairs are also settled by bounds. A link needs an overlap of 4/9 of both sizes together. An
-overlap of a and b is at most m(a), the shingles of a that some other text of the open buckets has, and at most o(b, c) +
-m(a) - o(a, c), where o is the overlap: what a shares with b is in c as well, or among a's shared shingles outside of c.
-This is what settles the far variants of a large group without comparing each with each.
+1. Each member of a bucket (texts that share a band's value) is compared with the bucket's smallest id: one pair a member.
+2. Buckets whose members are then of one class are settled. The texts of the others are joined by prefixes: items are
+   ordered by the number of these texts that have them, rarest first. A pair at 0.8 shares an item among the first
+   size - ceil(0.8 size) + 1 of each, and the items from the first shared one on must suffice. A large group of variants
+   shares only frequent items, which come last, so what is left are small groups, of which only pairs across classes
+   are compared: with 8 leaders of a group, then 512 and so on until none is left. No link is lost, nothing is capped.
 
 Null doc_ids: class_id null. Null texts: a class of their own. Texts without words: linked by exact copies only. Rows that
-repeat a doc_id must repeat its text; each row gets the class. Columns other than doc_id and text are not read.
+repeat a doc_id must repeat its text; each row gets the class. Columns other than doc_id and text are not read. An empty
+table gives no row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curriq.llm.common import SHINGLE, chunks, cut, forget, mix, released, shared_dir, spread, table, text_shingles
 
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
-#: The overlap that a pair needs, as a share of its two sizes together (a little less, against rounding).
-SHARE = SIMILARITY / (1 + SIMILARITY) - 1e-9
 ELEMENT_BITS = 44
-#: Leaders of a bucket after its central text, and so many times more in each further round.
-FIRST_LEADERS, LEADER_GROWTH = 16, 64
+#: Leaders of a group of texts that share a rare item, and so many times more in each further round.
+FIRST_LEADERS, LEADER_GROWTH = 8, 64
 
 # ---- BagMinHash ------------------------------------------------------------------------------------------------
 
@@ -102,51 +102,72 @@ def band_values(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     out = np.zeros((len(signature), bands), dtype=np.uint64)
     for r in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, r])
-    return out.view(np.int64)
+    return mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)  # equal only within a band
 
 
-def overlap(a: str | None, b: str | None) -> tuple[int, int]:
-    """(sum of minima, sum of maxima) of two texts' shingle multisets."""
-    owner, element, weight = bags([a or "", b or ""])
-    x, y = element[owner == 0], element[owner == 1]
-    wx, wy = weight[owner == 0], weight[owner == 1]
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    low = int(np.minimum(wx[i], wy[j]).sum())
-    return low, int(wx.sum()) + int(wy.sum()) - low
+def items_of(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """An item for each occurrence: the j-th of a shingle has the same item in every text."""
+    ends = np.cumsum(weight)
+    nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - weight, weight)
+    return mix(np.repeat(element, weight) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)).view(np.int64)
+
+
+def digests(owner: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The owners that have elements, and 128 bits for each one's multiset."""
+    there, first = np.unique(owner, return_index=True)
+    if not len(there):
+        return there, []
+    own = mix(element * np.uint64(0xC2B2AE3D27D4EB4F) + weight.astype(np.uint64))
+    sums = np.stack([np.add.reduceat(own, first), np.add.reduceat(mix(own + np.uint64(1)), first)], axis=1)
+    return there, [row.tobytes() for row in np.ascontiguousarray(sums)]
 
 
 # ---- Classes ---------------------------------------------------------------------------------------------------
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the whole text) and the signature's bands (null without words)."""
+    """doc_id, copy (128 bits of the multiset, or of the text where it has no word; null for null), size and buckets."""
 
     @released
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for start, some in chunks(texts):
                 owner, element, weight = bags(some)
                 values = band_values(signatures(owner, element, weight, len(some), BANDS * ROWS))
-                there = np.bincount(owner, minlength=len(some)) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * BANDS + 1, BANDS), pa.int32()), pa.array(values.ravel()), mask=pa.array(~there))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), batch.column(1).slice(start, len(some)), lists], names=["doc_id", "copy", "bands"])
+                sizes = np.bincount(owner, weights=weight, minlength=len(some)).astype(np.int64)
+                copies: list[bytes | None] = [None if texts[start + i] is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() if not sizes[i] else None for i, t in enumerate(some)]
+                for i, digest in zip(*digests(owner, element, weight), strict=True):
+                    copies[i] = digest
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * BANDS + 1, BANDS), pa.int32()), pa.array(values.ravel()), mask=pa.array(sizes == 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), pa.array(copies, pa.binary()), pa.array(sizes), lists], names=["doc_id", "copy", "size", "buckets"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("copy"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(sketch, "doc_id long, copy binary, bands array<long>")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(rows).mapInArrow(sketch, "doc_id long, copy binary, size long, buckets array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the overlap of their texts and whether they are similar."""
+def _bagged(texts: DataFrame) -> DataFrame:
+    """id, items of each of the texts (id, text)."""
 
     @released
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [overlap(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([low for low, _ in found], pa.int64()), pa.array([low >= SIMILARITY * high and low > 0 for low, high in found], pa.bool_())], names=["a", "b", "low", "linked"])
+            for start, some in chunks(batch.column(1).to_pylist()):
+                owner, element, weight = bags(some)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=weight, minlength=len(some)).astype(np.int64))])
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items_of(element, weight)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), items], names=["id", "items"])
+
+    return spread(texts).mapInArrow(listed, "id long, items array<long>")
 
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return spread(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")).mapInArrow(similar, "a long, b long, low long, linked boolean")
+
+def _linked(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose multisets are similar. b may stand in very many pairs: its rows can be split."""
+    left = pairs.join(bagged.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
+    both = left.join(bagged.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
+    low, total = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a") + F.size("items_b")
+    # low / (total - low) >= 0.8 in whole numbers
+    return both.where(9 * low >= 4 * total).select("a", "b")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -188,21 +209,19 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, class_id, kept (is it the one that stands for its class)."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     sketched = cut(_sketch(docs), folder, "sketches")
-    firsts = sketched.where("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("id"))
-    buckets = (
-        sketched.where("bands IS NOT NULL").join(firsts, "copy", "left_semi").join(firsts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value")).distinct()
-    )
-    crowded = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    live = cut(buckets.join(crowded, ["band", "value"]), folder, "open-0")
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), folder, "texts")
+    firsts = cut(sketched.where("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("id")), folder, "firsts")
+    heads = sketched.where("buckets IS NOT NULL").join(firsts.withColumnRenamed("id", "doc_id"), ["copy", "doc_id"], "left_semi")
+    buckets = heads.select(F.col("doc_id").alias("id"), "size", F.explode("buckets").alias("bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("l"), F.max("id").alias("last")).where("l.id < last")
+    live = cut(buckets.join(crowded.select("bucket", F.col("l.id").alias("leader"), F.col("l.size").alias("leader_size")), "bucket"), folder, "live")
     labels = None
     if not live.isEmpty():
-        first = live.groupBy("band", "value").agg(F.min("id").alias("leader"))
-        verified = cut(_verify(_pairs(live.join(first, ["band", "value"])), texts), folder, "links-0")
-        labels = joined(None, verified.where("linked").select("a", "b"), folder, "labels-0")
-        left = live.join(first.withColumnRenamed("leader", "id"), ["band", "value", "id"], "left_anti")
-        labels = _settled(cut(_unsettled(_named(left, labels)), folder, "open-1"), verified, labels, texts, folder)
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        bagged = cut(_bagged(texts.join(live.select("id").distinct(), "id").dropDuplicates(["id"])), folder, "bags")
+        stars = live.where((F.col("id") > F.col("leader")) & _near("size", "leader_size")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        labels = joined(None, cut(_linked(stars, bagged), folder, "links-0"), folder, "labels-0")
+        labels = _settled(live.select("bucket", "id", "size"), labels, bagged, folder)
+        forget(spark, folder, "live", "bags")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     known = sketched.select("doc_id", "copy").join(firsts, "copy", "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     if labels is not None:
@@ -212,101 +231,58 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return known.unionByName(rows).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows with id and leader."""
-    return members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+def _near(a: str, b: str) -> Column:
+    """Can texts of these sizes be linked?"""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of buckets with their present class_id."""
-    rows = buckets.drop("class_id")
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (id, ...) with their present class_id."""
     if labels is None:
         return rows.withColumn("class_id", F.col("id"))
-    return rows.join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    return rows.drop("class_id").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
 
 
-def _settled(live: DataFrame, verified: DataFrame, labels: DataFrame | None, texts: DataFrame, folder: str) -> DataFrame | None:
-    """labels once every pair across classes in the buckets of live (band, value, id, class_id) is settled."""
-    if live.isEmpty():
-        return labels
-    # the most central text of each bucket: the others' overlaps with it bound the overlaps of all pairs
-    limits = cut(_limits(texts.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")), folder, "limits")
-    bounded = cut(live.join(limits, "id"), folder, "bounded")
-    central = bounded.groupBy("band", "value").agg(F.max(F.struct("common", "id")).alias("c")).select("band", "value", F.col("c.id").alias("leader"))
-    members = bounded.join(central, ["band", "value"])
-    pairs = _pairs(members).join(verified, ["a", "b"], "left_anti")
-    more = cut(_verify(pairs, texts), folder, "links-1")
-    labels = joined(labels, more.where("linked").select("a", "b"), folder, "labels-1")
-    verified = verified.unionByName(more)
-    least, most = F.least("id", "leader"), F.greatest("id", "leader")
-    known = members.where("id <> leader").withColumns({"a": least, "b": most}).join(verified.select("a", "b", "low"), ["a", "b"])
-    live = cut(_named(known.select("band", "value", "id", "size", "most", "low", "leader"), labels).drop("leader"), folder, "known")
-    chief = _named(central.withColumnRenamed("leader", "id"), labels).select("band", "value", F.col("class_id").alias("chief"))
-    live = live.withColumn("spare", F.col("most") - F.col("low")).join(chief, ["band", "value"])
-    step, leaders = 2, FIRST_LEADERS
+def _settled(live: DataFrame, labels: DataFrame | None, bagged: DataFrame, folder: str) -> DataFrame | None:
+    """labels once every pair across classes in the buckets of live (bucket, id, size) is settled."""
+    named = _named(live, labels)
+    split = named.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("bucket")
+    unsettled = cut(named.join(split, "bucket", "left_semi").select("id", "size", "class_id").distinct(), folder, "unsettled")
+    groups, step = cut(_prefixes(unsettled, bagged), folder, "groups-1"), 1
+    leaders = FIRST_LEADERS
     while True:
-        live = cut(_unsettled(_bounded(_unsettled(live))), folder, f"live-{step}")
-        if live.isEmpty():
+        split = groups.groupBy("item").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("item")
+        groups = cut(groups.join(split, "item", "left_semi"), folder, f"open-{step}")
+        if groups.isEmpty():
             return labels
-        slices = F.pmod(F.xxhash64("id"), F.lit(leaders))
-        own = F.struct("id", "class_id", "size", "most", "low", "spare")
-        chosen = live.groupBy("band", "value", slices.alias("slice")).agg(F.min(own).alias("l")).select("band", "value", "l")
-        need = SHARE * (F.col("size") + F.col("l.size"))
-        near = (F.col("class_id") != F.col("l.class_id")) & (F.least("most", "l.most", F.col("low") + F.col("l.spare"), F.col("l.low") + F.col("spare")) >= need)
-        pairs = _pairs(live.join(chosen, ["band", "value"]).where(near).select("id", F.col("l.id").alias("leader"))).join(verified, ["a", "b"], "left_anti")
-        more = cut(_verify(pairs, texts), folder, f"links-{step}")
-        labels = joined(labels, more.where("linked").select("a", "b"), folder, f"labels-{step}")
-        verified = verified.unionByName(more)
-        live = _named(live.join(chosen.select("band", "value", F.col("l.id").alias("id")), ["band", "value", "id"], "left_anti"), labels)
-        step, leaders = step + 1, leaders * LEADER_GROWTH
-
-
-def _bounded(live: DataFrame) -> DataFrame:
-    """Rows of live that may still be linked to a text of another class in their bucket.
-
-    A text of the chief class can only be linked to one outside of it, so it is held against the bounds of those.
-    """
-    outside = F.col("class_id") != F.col("chief")
-    tops = live.groupBy("band", "value").agg(
-        *(F.max(c).alias(f"any_{c}") for c in ("low", "spare")), F.min("size").alias("any_size"),
-        *(F.max(F.when(outside, F.col(c))).alias(f"out_{c}") for c in ("low", "spare")), F.min(F.when(outside, F.col("size"))).alias("out_size"),
-    )
-    best = lambda c: F.when(outside, F.col(f"any_{c}")).otherwise(F.col(f"out_{c}"))
-    need = SHARE * (F.col("size") + best("size"))
-    fits = F.least("most", F.col("low") + best("spare"), F.col("spare") + best("low")) >= need
-    return live.join(tops, ["band", "value"]).where(fits).select(*live.columns)
-
-
-def _unsettled(named: DataFrame) -> DataFrame:
-    """Rows of the buckets (band, value) that hold more than one class."""
-    split = named.groupBy("band", "value").agg(F.min("class_id").alias("low_class"), F.max("class_id").alias("high_class")).where("low_class < high_class").select("band", "value")
-    return named.join(split, ["band", "value"])
-
-
-def _limits(texts: DataFrame) -> DataFrame:
-    """id, size (shingles), most (those that other texts have too: no overlap with another of these texts is larger), and
-    common (mean logarithm of the number of texts that have its shingles)."""
-
-    @released
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for start, some in chunks(batch.column(1).to_pylist()):
-                owner, element, weight = bags(some)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start + owner]), pa.array(element.view(np.int64)), pa.array(weight)], names=["id", "element", "n"])
-
-    rows = spread(texts.select("doc_id", "text")).mapInArrow(pieces, "id long, element long, n long")
-    # hot shingles are summed before they are dealt out, and joined back by a join whose hot keys can be split
-    counts = rows.groupBy("element").agg(F.count("*").alias("texts"))
-    held = rows.join(counts, "element").groupBy("id").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("texts") > 1, F.col("n")).otherwise(0)).alias("most"), F.sum(F.col("n") * F.log2("texts")).alias("total"))
-    # whole numbers in the order, so that reruns choose alike
-    return held.select("id", "size", "most", F.floor(1024 * F.col("total") / F.col("size")).alias("common"))
+        # leaders of equal hashes in every group, so that texts which share many items meet in the same pairs
+        chosen = groups.groupBy("item", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("slice")).agg(F.min(F.struct("id", "class_id", "size", "left")).alias("l")).select("item", "l")
+        met = groups.join(chosen, "item").where((F.col("class_id") != F.col("l.class_id")) & (9 * F.least("left", "l.left") >= 4 * (F.col("size") + F.col("l.size"))))
+        pairs = met.select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b")).distinct()
+        labels = joined(labels, cut(_linked(pairs, bagged), folder, f"links-{step}"), folder, f"labels-{step}")
+        rest = groups.join(chosen.select("item", F.col("l.id").alias("id")), ["item", "id"], "left_anti")
+        groups, step, leaders = _named(rest, labels), step + 1, leaders * LEADER_GROWTH
+
+
+def _prefixes(texts: DataFrame, bagged: DataFrame) -> DataFrame:
+    """item, id, size, class_id, left (items from this one on) for the items of each text's prefix that other classes have too."""
+    rows = texts.join(bagged, "id").select("id", "size", "class_id", F.explode("items").alias("item"))
+    held = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("n > 1").select("item", "n", (F.col("low") < F.col("high")).alias("crossed"))
+    # items that no other text has come first in the order; a text with too many of them has no partner
+    own = Window.partitionBy("id")
+    ranked = rows.join(held, "item").withColumn("shared", F.count("*").over(own)).where(5 * F.col("shared") >= 4 * F.col("size"))
+    ranked = ranked.withColumn("left", F.col("shared") - F.row_number().over(own.orderBy("n", "item")) + 1)
+    return ranked.where(F.col("crossed") & (5 * F.col("left") >= 4 * F.col("size"))).select("item", "id", "size", "class_id", "left")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row for each class, the one of its smallest doc_id; rows with a null doc_id stay."""
+    """docs with one row for each class, the one of its smallest doc_id; rows with a null doc_id stay.
+
+    Of rows that repeat the doc_id, the one with the smallest hash of all its columns stays.
+    """
     kept = near_duplicate_classes(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    first = Window.partitionBy("__row.doc_id").orderBy(F.xxhash64("__row"))
+    one = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").select(F.struct("*").alias("__row")).withColumn("__place", F.row_number().over(first)).where("__place = 1").select("__row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
