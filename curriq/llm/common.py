@@ -72,8 +72,16 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield start, [t or "" for t in texts[start:]]
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def released(task: Callable) -> Callable:
-    """A function for mapInArrow that gives freed memory back at its end: Spark keeps Python workers for later stages."""
+    """A function for mapInArrow that gives freed memory back at its end."""
 
     @wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +89,7 @@ def released(task: Callable) -> Callable:
             yield from task(batches)
         finally:
             _powers.clear()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

@@ -1,14 +1,17 @@
-"""Token-id output: one array of ids per shard, and document boundaries as an Elias-Fano sequence.
+"""Token-id output: one array of ids per shard, with document boundaries and doc_ids as Elias-Fano sequences.
 
 A shard is one binary value in a Parquet table in the shared folder (any store that Spark writes will do, and a lost
 executor's shard is written again by Spark's commit protocol). Its layout, little-endian:
 
-    magic 'EFTK' | id width in bytes u8 | low bits per boundary u8 | 2 unused | documents n u64 | ids m u64
-    | low parts, n x low bits, packed | upper parts, unary, packed | ids, m x id width
+    magic 'EFTK' | id width in bytes u8 | 3 unused | documents n u64 | null doc_ids u64 | first doc_id i64 | ids m u64
+    | boundaries, a sequence | doc_ids less the first, a sequence | ids, m x id width
+
+    sequence: values n u64 | last value u64 | low bits u8 | 7 unused | low parts, n x low bits, packed | upper parts, unary, packed
 
 Boundary i is the number of ids up to and with document i. Its lowest bits are stored as they are, its upper part as a
 one bit at place upper + i of a bit string with n ones and at most m >> low zeros: about 2 + log2(m/n) bits for each
-document. `select(i)` finds that one bit by a rank over 512-bit blocks; no table of 64-bit offsets is stored or built.
+document. `select(i)` finds that one bit by a rank over 512-bit blocks, and `block(i, count)` reads on from there; readers
+go through a shard in blocks of READ_DOCS documents, and no table of 64-bit offsets is stored or built.
 
 Null texts count as empty, and so hold the end id alone; rows are in order of doc_id, nulls first, ties by text.
 Columns other than doc_id and text are not read. An empty table gives no shard and no row.
@@ -29,86 +32,105 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curriq.llm.common import cut, released, shared_dir, spread, table
+from curriq.llm.common import cut, give_back, released, shared_dir, spread, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 #: Ids of a shard: it is closed with the document that reaches this number.
 SHARD_IDS = 4 << 20
 #: Distinct pieces of text whose ids a Python worker keeps at once, about 40 bytes each; beyond, it starts anew.
-STORE_PIECES = 400_000
+STORE_PIECES = 250_000
 #: Bytes of text that are encoded at once; a longer document makes a batch of its own.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 2 << 20
+#: Documents of a shard that a reader decodes at once, and values that a writer packs at once.
+READ_DOCS, PACK_VALUES = 4096, 1 << 16
 
 #: White space as the tokenizer's pattern sees it.
 WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-HEADER = struct.Struct("<4sBBxxQQ")
+HEADER = struct.Struct("<4sB3xQQqQ")
+SEQUENCE = struct.Struct("<QQB7x")
 
 
 # ---- Elias-Fano ------------------------------------------------------------------------------------------------
 
 
-def encode_boundaries(ends: np.ndarray) -> tuple[int, bytes, bytes]:
-    """(low bits, low parts, upper parts) of a non-decreasing sequence of counts."""
-    n, m = len(ends), int(ends[-1]) if len(ends) else 0
-    low = max(0, (m // n).bit_length() - 1) if n else 0
-    lows = ((ends[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel()
-    upper = np.zeros((m >> low) + n + 1 if n else 0, dtype=np.uint8)
-    upper[(ends >> low) + np.arange(n)] = 1
-    return low, np.packbits(lows, bitorder="little").tobytes(), np.packbits(upper, bitorder="little").tobytes()
-
-
-class Boundaries:
-    """select(i): number of ids up to and with document i; select(-1) is 0."""
-
-    def __init__(self, n: int, low: int, lows: np.ndarray, upper: np.ndarray):
-        self.n, self.low, self._lows, self._upper = n, low, lows, upper
-        ones = np.add.reduceat(np.bitwise_count(upper).astype(np.int64), np.arange(0, len(upper), 64)) if len(upper) else np.zeros(0, np.int64)
+def pack_sequence(values: np.ndarray) -> bytes:
+    """A non-decreasing sequence of unsigned 64-bit numbers."""
+    n = len(values)
+    top = int(values[-1]) if n else 0
+    low = max(0, (top // n).bit_length() - 1) if n else 0
+    lows = []
+    for k in range(0, n if low else 0, PACK_VALUES):  # whole bytes, as PACK_VALUES is a multiple of 8
+        bits = np.unpackbits(values[k : k + PACK_VALUES].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lows.append(np.packbits(bits[:, :low].ravel(), bitorder="little").tobytes())
+    upper = np.zeros((top >> low) + n + 1 if n else 0, dtype=np.uint8)
+    upper[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
+    return b"".join([SEQUENCE.pack(n, top, low), *lows, np.packbits(upper, bitorder="little").tobytes()])
+
+
+class Sequence:
+    """A packed sequence read in place: select(i) is its i-th value, block(i, count) that one and those after it."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n, top, self.low = SEQUENCE.unpack_from(raw[: SEQUENCE.size])
+        a = SEQUENCE.size + (self.n * self.low + 7) // 8
+        self.end = a + ((top >> self.low) + self.n + 1 + 7) // 8 if self.n else a
+        self._lows, self._upper = raw[SEQUENCE.size : a], raw[a : self.end]
+        ones = np.add.reduceat(np.bitwise_count(self._upper).astype(np.int64), np.arange(0, len(self._upper), 64)) if self.n else np.zeros(0, np.int64)
         self._ranks = np.concatenate([[0], np.cumsum(ones)])  # one number for each 512 bits
 
     def select(self, i: int) -> int:
-        if i < 0:
-            return 0
-        block = int(np.searchsorted(self._ranks, i, side="right")) - 1
-        bits = np.unpackbits(self._upper[block * 64 : block * 64 + 64], bitorder="little")
-        place = block * 512 + int(np.flatnonzero(bits)[i - self._ranks[block]])
-        value = place - i
+        return int(self.block(i, 1)[0])
+
+    def block(self, i: int, count: int) -> np.ndarray:
+        """Values i to i + count - 1, fewer at the end."""
+        count = min(count, self.n - i)
+        if count <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        first, last = np.searchsorted(self._ranks, [i, i + count - 1], side="right") - 1
+        bits = np.unpackbits(self._upper[first * 64 : (last + 1) * 64], bitorder="little")
+        places = np.flatnonzero(bits)[i - self._ranks[first] :][:count] + first * 512
+        value = (places - np.arange(i, i + count)).astype(np.uint64) << np.uint64(self.low)
         if self.low:
-            first = i * self.low
-            span = np.unpackbits(self._lows[first // 8 : (first + self.low + 7) // 8], bitorder="little")[first % 8 :][: self.low]
-            value = (value << self.low) | int(span @ (1 << np.arange(self.low)))
+            start, stop = i * self.low, (i + count) * self.low
+            span = np.unpackbits(self._lows[start // 8 : (stop + 7) // 8], bitorder="little")[start % 8 :][: stop - start]
+            wide = np.zeros((count, 64), dtype=np.uint8)
+            wide[:, : self.low] = span.reshape(count, self.low)
+            value |= np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
         return value
 
-    def all(self) -> np.ndarray:
-        """Every boundary in order."""
-        upper = np.flatnonzero(np.unpackbits(self._upper, bitorder="little"))[: self.n] - np.arange(self.n)
-        if not self.low:
-            return upper
-        lows = np.unpackbits(self._lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        return (upper << self.low) | (lows @ (1 << np.arange(self.low)))
-
 
-def pack_shard(documents: list[np.ndarray], width: int) -> bytes:
-    ends = np.cumsum([len(d) for d in documents], dtype=np.int64)
-    low, lows, upper = encode_boundaries(ends)
+def pack_shard(documents: list[np.ndarray], doc_ids: list[int | None], width: int) -> bytes:
+    """documents in order of doc_ids, nulls first."""
+    ends = np.cumsum([len(d) for d in documents], dtype=np.uint64)
+    known = np.array([i for i in doc_ids if i is not None], dtype=np.int64)
+    base = int(known[0]) if len(known) else 0
+    numbers = known.view(np.uint64) - np.array(base, dtype=np.int64).view(np.uint64)
     ids = np.concatenate(documents).astype(f"<u{width}").tobytes() if documents else b""
-    return HEADER.pack(b"EFTK", width, low, len(ends), int(ends[-1]) if len(ends) else 0) + lows + upper + ids
+    head = HEADER.pack(b"EFTK", width, len(ends), len(doc_ids) - len(known), base, int(ends[-1]) if len(ends) else 0)
+    return b"".join([head, pack_sequence(ends), pack_sequence(numbers), ids])
 
 
 class Shard:
     """A shard's bytes, read in place: document(i) gives its ids."""
 
     def __init__(self, data: bytes):
-        magic, width, low, n, m = HEADER.unpack_from(data)
+        magic, width, self.n, self.nulls, self.base, m = HEADER.unpack_from(data)
         if magic != b"EFTK":
             raise ValueError("not a shard of token ids")
         raw = np.frombuffer(data, dtype=np.uint8, offset=HEADER.size)
-        a, b = (n * low + 7) // 8, ((m >> low) + n + 1 + 7) // 8 if n else 0
-        self.n, self.boundaries = n, Boundaries(n, low, raw[:a], raw[a : a + b])
-        self.ids = np.frombuffer(data, dtype=f"<u{width}", offset=HEADER.size + a + b, count=m)
+        self.boundaries = Sequence(raw)
+        self.numbers = Sequence(raw[self.boundaries.end :])
+        self.ids = np.frombuffer(data, dtype=f"<u{width}", offset=HEADER.size + self.boundaries.end + self.numbers.end, count=m)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.boundaries.select(i - 1) : self.boundaries.select(i)]
+        return self.ids[self.boundaries.select(i - 1) if i else 0 : self.boundaries.select(i)]
+
+    def doc_ids(self, i: int, count: int) -> list[int | None]:
+        """doc_ids of documents i to i + count - 1."""
+        count = min(count, self.n - i)
+        nulls = min(max(self.nulls - i, 0), count)
+        known = self.numbers.block(i + nulls - self.nulls, count - nulls) + np.array(self.base, dtype=np.int64).view(np.uint64)
+        return [None] * nulls + known.view(np.int64).tolist()
 
 
 # ---- Tokenizing ------------------------------------------------------------------------------------------------
@@ -164,7 +186,8 @@ class PieceTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)  # the same vocabulary, held once
         # words of letters only are one unit of the pattern already: joined by NUL they need no pattern
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
@@ -269,6 +292,7 @@ _tokenizers: dict[str, PieceTokenizer] = {}
 def tokenizer(path: str) -> PieceTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = PieceTokenizer(path)
+        give_back()  # what parsing the file took
     return _tokenizers[path]
 
 
@@ -287,10 +311,10 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
 
 # ---- The operator ----------------------------------------------------------------------------------------------
 
-SHARDS = "part int, shard int, has_id binary, doc_ids binary, n_docs long, n_ids long, data binary"
+SHARDS = "part int, shard int, n_docs long, n_ids long, data binary"
 
 
-def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode docs (doc_id, text) and write shards in order of doc_id; returns the table of shards as written.
 
     Ranges of doc_id are dealt to tasks by Spark's range partitioning; a task's rows are sorted by Spark, so it holds one
@@ -314,11 +338,9 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
         held = 0
 
         def close() -> pa.RecordBatch:
-            numbers = np.array([i or 0 for i in open_ids], dtype="<i8")
-            there = np.packbits(np.array([i is not None for i in open_ids], dtype=bool)).tobytes()
             return pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "has_id": pa.array([there], pa.binary()), "doc_ids": pa.array([numbers.tobytes()], pa.binary()),
-                "n_docs": pa.array([len(open_docs)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([pack_shard(open_docs, t.dtype.itemsize)], pa.binary()),
+                "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(open_docs)], pa.int64()),
+                "n_ids": pa.array([held], pa.int64()), "data": pa.array([pack_shard(open_docs, open_ids, t.dtype.itemsize)], pa.binary()),
             })
 
         for batch in gathered(batches, ENCODE_BYTES):
@@ -345,30 +367,33 @@ DIGEST = "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """One row for each document of the shards: doc_id, start, n_tokens, ids_crc32 (of its ids as unsigned 32-bit)."""
-    # a row for each shard, thousands of documents each: the running sum is over that small table
-    w = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(w), F.lit(0).cast("long"))).drop("n_ids")
+    # running sums in two levels: over the tasks that wrote, and over each one's shards
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("part_start"))
+    starts = shards.select("part", "shard", earlier(Window.partitionBy("part").orderBy("shard")).alias("shard_start")).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("before"))
 
     @released
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row["data"])
-                ends = shard.boundaries.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-                wide = memoryview(shard.ids.astype("<u4").tobytes())
-                there = np.unpackbits(np.frombuffer(row["has_id"], dtype=np.uint8))[: shard.n].astype(bool)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array(np.full(shard.n, row["part"], np.int32)), "shard": pa.array(np.full(shard.n, row["shard"], np.int32)),
-                    "doc_id": pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=~there), "start": pa.array(starts), "n_tokens": pa.array(ends - starts),
-                    "ids_crc32": pa.array([zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], pa.int64()),
-                })
-
-    rows = spread(shards.select("part", "shard", "has_id", "doc_ids", "data")).mapInArrow(digest, DIGEST)
+            for k in range(batch.num_rows):
+                part, number, shard = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), Shard(batch.column(2)[k].as_py())
+                before = 0
+                for i in range(0, shard.n, READ_DOCS):
+                    ends = shard.boundaries.block(i, READ_DOCS).astype(np.int64)
+                    starts = np.concatenate([[before], ends[:-1]])
+                    wide = memoryview(shard.ids[before : ends[-1]].astype("<u4")).cast("B")
+                    crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip((starts - before).tolist(), (ends - before).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array(np.full(len(ends), part, np.int32)), "shard": pa.array(np.full(len(ends), number, np.int32)), "doc_id": pa.array(shard.doc_ids(i, READ_DOCS), pa.int64()),
+                        "start": pa.array(starts), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crcs, pa.int64()),
+                    })
+                    before = int(ends[-1])
+
+    rows = spread(shards.select("part", "shard", "data")).mapInArrow(digest, DIGEST)
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def token_output(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write docs as shards in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
     return read_shards(write_shards(docs, shared_dir(docs.sparkSession), path, end_id, shard_ids))
 
