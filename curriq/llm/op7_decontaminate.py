@@ -14,7 +14,8 @@ that have enough known shingles are counted exactly by way of an inverted table
 At a similarity of 0.8 fingerprints of equal windows differ by 9.7 bits on average with a deviation of 2.9, so the radius
 loses about 0.2 % of windows at the threshold itself and none of exact copies.
 
-Items are taken to the workers in blocks of 512 at most (ITEM_BLOCK); a larger benchmark makes as many narrow passes.
+Items are taken to the workers in blocks of 8,192 items or 8 MB of text (ITEM_BLOCK, ITEM_BYTES); a larger benchmark makes as
+many narrow passes.
 Items of 1 to 4 words have one shingle of all their words; items and documents without words match nothing, null texts
 too. Documents of 1 to 4 words match no longer item. Rows that repeat a doc_id count as one document; null doc_ids
 take part as one document of that id. Columns other than doc_id, text and item_id, text are not read.
@@ -33,9 +34,11 @@ from curriq.llm.common import SHINGLE, chunks, mix, released, shingle_hashes, sp
 
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 18, 4, 16
-ITEM_BLOCK = 512
+ITEM_BLOCK, ITEM_BYTES = 8192, 8 << 20
 #: Words whose windows are looked at together, so that memory doesn't grow with a text.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 16
+#: Fingerprints that are looked up together.
+LOOKUPS = 4096
 
 
 def near_masks(bits: int, radius: int) -> np.ndarray:
@@ -58,6 +61,12 @@ def simhash(starts: np.ndarray, size: int, sums: np.ndarray) -> np.ndarray:
     return np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def run_places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def multiset_similarity(a: np.ndarray, b: np.ndarray) -> float:
     x, wx = np.unique(a, return_counts=True)
     y, wy = np.unique(b, return_counts=True)
@@ -91,7 +100,7 @@ class ItemIndex:
         self.held = np.concatenate([np.zeros(0, np.int64), *(c for _, _, c in own)])[order]
         self.holder_starts = np.searchsorted(values[order], self.known.get(SHINGLE, values[:0]), side="left")
         self.holder_ends = np.searchsorted(values[order], self.known.get(SHINGLE, values[:0]), side="right")
-        masks = near_masks(BLOCK_BITS, RADIUS // BLOCKS)
+        self.masks = masks = near_masks(BLOCK_BITS, RADIUS // BLOCKS // 2)
         self.tables = []
         for block in range(BLOCKS):
             own = (self.prints >> np.uint64(block * BLOCK_BITS)).astype(np.int64) & ((1 << BLOCK_BITS) - 1)
@@ -102,14 +111,16 @@ class ItemIndex:
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item) of all pairs within RADIUS."""
-        found = []
-        for block, (starts, counts, items) in enumerate(self.tables):
-            value = (prints >> np.uint64(block * BLOCK_BITS)).astype(np.int64) & ((1 << BLOCK_BITS) - 1)
-            n = counts[value]
-            ends = np.cumsum(n)
-            place = np.repeat(starts[value] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-            found.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + items[place])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        found = [np.zeros(0, np.int64)]
+        for low in range(0, len(prints), LOOKUPS):
+            some = prints[low : low + LOOKUPS]
+            for block, (starts, counts, items) in enumerate(self.tables):
+                own = (some >> np.uint64(block * BLOCK_BITS)).astype(np.int64) & ((1 << BLOCK_BITS) - 1)
+                value = (own[:, None] ^ self.masks[None, :]).ravel()
+                n = counts[value]
+                place = run_places(starts[value], n)
+                found.append(np.unique((low + np.repeat(np.arange(len(value)) // len(self.masks), n)) * len(self.ids) + items[place]))
+        pairs = np.unique(np.concatenate(found))
         at, item = pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
         close = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
         return at[close], item[close]
@@ -135,10 +146,13 @@ class ItemIndex:
             touched = np.zeros(len(shingles) + 1, dtype=np.int64)
             touched[hits + 1] = 1
             touched = np.cumsum(touched)
-            # the shingles that windows with hits may hold; windows lie in one run of them
+            # the shingles that windows with hits may hold, as a union of intervals; windows lie in one run of them
             reach = max(n for own_k, n in self.shapes if own_k == k) - k + 1
-            region = np.unique((hits[:, None] + np.arange(-reach, reach + 1)[None, :]).ravel())
-            region = region[(region >= 0) & (region < len(shingles))]
+            cover = np.zeros(len(shingles) + 1, dtype=np.int32)
+            np.add.at(cover, np.maximum(hits - reach, 0), 1)
+            np.add.at(cover, np.minimum(hits + reach + 1, len(shingles)), -1)
+            region = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            content = np.concatenate([[np.uint64(0)], np.cumsum(mix(shingles), dtype=np.uint64)])
             sums = bit_sums(shingles[region])
             for n_words in (n for own_k, n in self.shapes if own_k == k):
                 size = n_words - k + 1
@@ -149,6 +163,9 @@ class ItemIndex:
                 owner = np.searchsorted(offsets, around + low, side="right") - 1
                 inside = around + low + n_words <= offsets[owner + 1]
                 around, owner = around[inside], owner[inside]
+                # equal sums of scrambled shingles: equal multisets; the first such window of a text stands for all
+                _, first = np.unique(mix(content[around + size] - content[around]) + owner.astype(np.uint64), return_index=True)
+                around, owner = around[np.sort(first)], owner[np.sort(first)]
                 if not len(around):
                     continue
                 at, item = self.near(simhash(np.searchsorted(region, around), size, sums))
@@ -159,7 +176,6 @@ class ItemIndex:
                     if s >= SIMILARITY and s > best.get(key, (0.0,))[0]:
                         best[key] = (s, int(around[p] + low - offsets[owner[p]]), n_words)
 
-
     def _search_short(self, words: np.ndarray, offsets: np.ndarray, best: dict) -> None:
         """Note in `best` the items that match a whole text of fewer words."""
         if SHINGLE not in self.known:
@@ -180,7 +196,7 @@ class ItemIndex:
             own = slice(first[j], first[j] + sizes[j])
             places, times = np.unique(spot[own][known[spot[own]] == shingles[own]], return_counts=True)
             n = self.holder_ends[places] - self.holder_starts[places]
-            some = np.repeat(self.holder_starts[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            some = run_places(self.holder_starts[places], n)
             low = np.bincount(self.holders[some], weights=np.minimum(self.held[some], np.repeat(times, n)), minlength=len(self.words))
             similarity = low / (sizes[j] + self.words - SHINGLE + 1 - low)
             for i in np.flatnonzero((self.words > counts[short[j]]) & (similarity >= SIMILARITY)):
@@ -188,13 +204,15 @@ class ItemIndex:
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of at most ITEM_BLOCK items; only one block is on the driver at a time."""
+    """The benchmark in blocks of bounded number and bytes; only one block is on the driver at a time."""
     block: list[tuple[int, str]] = []
-    for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+    held = 0
+    for row in items.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == ITEM_BLOCK:
+        held += len(row[1])
+        if len(block) == ITEM_BLOCK or held >= ITEM_BYTES:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 
