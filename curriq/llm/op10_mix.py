@@ -11,7 +11,7 @@ The running sum has two levels, so that no source is gathered in one task: keys
 probability, bins are summed before the shuffle, and only the bin in which a source's rest ends is sorted.
 
 A document's size is its number of words, runs of other characters than space and tab to carriage return. Null and empty
-texts: size 0, taken 0. A source without words: target 0. Quality weights: the label `quality` (1: 1.0, 0: 0.25, none or
+texts: size 0, taken 0; the mix has them once for each complete epoch of their source. A source without words: target 0. Quality weights: the label `quality` (1: 1.0, 0: 0.25, none or
 null: 0.5; several labels of a document: the highest). Rows that repeat a doc_id are taken as rows; those equal in id, size
 and text hash as well are interchangeable. Null doc_ids take part with a hash of their text. Other columns are not read.
 """
@@ -76,8 +76,8 @@ def taken_times(docs: DataFrame, labels: DataFrame | None, seed: int = SEED) ->
     placed = keyed.join(plan.withColumnsRenamed({"source": "s", "bin": "b"}), (F.col("bin") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
     placed = placed.select("doc_id", "source", "size", "copy", "key", "bin", "above", "source_size", "target", "epochs", "rest", "part")
     edge = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "copy", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = placed.where("part = 0").withColumn("start", F.col("above") + F.coalesce(F.sum("size").over(edge), F.lit(0))).withColumn("times", F.col("epochs") + (F.col("start") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("start")
-    clear = placed.where("part <> 0").withColumn("times", F.col("epochs") + (F.col("part") == 1).cast("int"))
+    last = placed.where("part = 0").withColumn("start", F.col("above") + F.coalesce(F.sum("size").over(edge), F.lit(0))).withColumn("times", F.col("epochs") + ((F.col("size") > 0) & (F.col("start") + F.col("size") / 2 <= F.col("rest"))).cast("int")).drop("start")
+    clear = placed.where("part <> 0").withColumn("times", F.col("epochs") + ((F.col("part") == 1) & (F.col("size") > 0)).cast("int"))
     return clear.unionByName(last).select("doc_id", "source", "size", "copy", "source_size", "target", "times"), sources
 
 
