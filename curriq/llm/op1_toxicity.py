@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios, trained on labelled text.
 
-Features are the byte 4- to 7-grams of the lower-cased text, hashed into 2**18 buckets, each present or absent. A
+Features are the 4- to 7-grams of characters (code points) of the lower-cased text, hashed into 2**18 buckets, each present or absent. A
 bucket's ratio r is the log of its smoothed share among toxic documents over its share among the others. The 4,096
 buckets whose shares differ most, in standard errors, are kept; a logistic regression with an L2 penalty is fitted to
 presence times r. The score of a text is the regression's probability over all of its n-grams; texts aren't cut.
@@ -10,7 +10,8 @@ the same ones every time), of those whose crc32(doc_id as text) mod 5 is not 0.
 inputs of a score. Several labels of a document: the highest; null labels and null doc_ids aren't learnt from.
 
 Null and empty texts get the score of a text without n-grams. Without labels of both kinds every score is the share of
-toxic ones (0 without labels). Null doc_ids count as not held out. Repeated rows and extra columns change nothing.
+toxic ones (0 without labels). Null doc_ids count as not held out. Of labelled rows that repeat a doc_id, the one with the
+smallest text is learnt from, once; so repeated rows and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.llm.common import bucket_of, chunks, cut, shared_dir, spread, table
+from curriq.llm.common import bucket_of, chunks, cut, mix, released, shared_dir, spread, table
 
 SIZES = (4, 5, 6, 7)
 BUCKET_BITS = 18
@@ -34,20 +35,18 @@ SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 250
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: (bucket, text index) of all n-grams of the texts."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) for r in raw])
+    lowered = [t.lower() for t in texts]
+    data = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    owner = np.repeat(np.arange(len(lowered), dtype=np.int32), [len(t) for t in lowered])
     value = np.zeros(len(data), dtype=np.uint64)
     for j in range(max(SIZES)):
         n = len(data) - j
         if n <= 0:
             return
-        value = (value[:n] << np.uint64(8)) | data[j:]
+        value = value[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + data[j:] + np.uint64(1)
         if j + 1 in SIZES:
             inside = owner[:n] == owner[j:]
-            # multiplicative hashing; n is in it, so that sizes don't share buckets by rule
-            bucket = ((value ^ np.uint64((j + 1) << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
-            yield bucket[inside].astype(np.int32), owner[:n][inside]
+            yield (mix(value[inside]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), owner[:n][inside]
 
 
 @dataclass
@@ -94,19 +93,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     if not rows:
         return nothing
     chosen = spark.createDataFrame(rows, "doc_id long, toxic int")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = cut(sample.repartition(12), shared_dir(spark), "sample")
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for start, some in chunks(batch.column(0).to_pylist()):
-                for bucket, owner in grams(some):
-                    pairs = np.unique((owner.astype(np.int64) << BUCKET_BITS) | bucket)
-                    kind = toxic[start + (pairs >> BUCKET_BITS)] > 0
-                    for k in (0, 1):
-                        seen[k] += np.bincount(pairs[kind == k] & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
+                # a bucket counts once for a text, whichever sizes hit it
+                pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *((owner.astype(np.int64) << BUCKET_BITS) | bucket for bucket, owner in grams(some))]))
+                kind = toxic[start + (pairs >> BUCKET_BITS)] > 0
+                for k in (0, 1):
+                    seen[k] += np.bincount(pairs[kind == k] & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
         some = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0][some]), pa.array(seen[1][some])], names=["bucket", "clean", "toxic"])
 
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     places[counts.bucket.to_numpy()[kept]] = np.arange(len(kept))
     draft = Classifier(places, np.zeros(len(kept)), 0.0)
 
+    @released
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, some in chunks(batch.column(0).to_pylist()):
@@ -145,6 +146,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # half a megabyte
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
+    @released
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
