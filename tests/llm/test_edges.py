@@ -2,6 +2,7 @@
 
 import random
 
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
@@ -16,6 +17,7 @@ from curriq.llm import op8_dedup as op8
 from curriq.llm import op9_urls as op9
 from curriq.llm import op10_mix as op10
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that the operators use themselves.
 CLASH = ("score", "held_out", "class_id", "kept", "target", "start", "size", "bands", "copy", "times", "weight", "key", "bin", "toxic", "quality", "item_id", "spans", "id", "b", "s", "__take")
 
@@ -59,15 +61,15 @@ def test_language(docs):
 def test_tokens(docs):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(op4.TOKENIZER)
-    got = op4.token_output(docs, shard_ids=5000).orderBy("start").collect()
+    t = Tokenizer.from_file(TOKENIZER)
+    got = op4.token_output(docs, TOKENIZER, shard_ids=5000).orderBy("start").collect()
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
     for r, (doc_id, text) in zip(got, rows, strict=True):
         n = len(t.encode(text or "", add_special_tokens=False).ids) + 1
         assert (r.doc_id, r.start, r.n_tokens) == (doc_id, at, n)
         at += n
-    assert op4.token_output(docs.limit(0)).count() == 0
+    assert op4.token_output(docs.limit(0), TOKENIZER).count() == 0
 
 
 def test_pii(docs):

@@ -1,5 +1,6 @@
 """Results on the small tables: against SQL, against brute force, by round trip and by held-out accuracy."""
 
+import functools
 import hashlib
 import itertools
 import os
@@ -10,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
@@ -27,6 +29,7 @@ from curriq.llm import queries
 from curriq.llm.common import table, word_hashes
 
 SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -67,6 +70,59 @@ def test_toxicity_held_out(spark):
     assert [r.held_out for r in op1.score(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string"), op1.Classifier(np.full(1 << 18, -1, np.int16), np.zeros(0), 0.0)).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
 
 
+def test_toxicity_against_naive_counting(spark):
+    """The same features counted one by one, and the same fit: equal scores."""
+    rows = [(r.doc_id, r.text, r.toxic) for r in table(spark, SF, "documents").join(table(spark, SF, "labels"), "doc_id").collect()]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in op1.score(docs, op1.fit(docs.unionByName(docs), labels.unionByName(labels))).collect()}
+
+    def scramble(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+        return x ^ (x >> 32)
+
+    @functools.cache
+    def bucket(gram):
+        value = 0
+        for c in gram:
+            value = (value * 0xC2B2AE3D27D4EB4F + ord(c) + 1) % 2**64
+        return scramble(value) >> 46
+
+    bags = {i: {bucket(t[p : p + n]) for t in [text.lower()] for n in op1.SIZES for p in range(len(t) - n + 1)} for i, text, _ in rows}
+    learnt = sorted((x, i) for i, _, x in rows if zlib.crc32(str(i).encode()) % 5)
+    y = np.array([x > 0 for x, _ in learnt], dtype=float)
+    counts = [Counter(b for x, i in learnt if (x > 0) == kind for b in bags[i]) for kind in (False, True)]
+    n = [len(y) - y.sum(), y.sum()]
+    seen = sorted(counts[0].keys() | counts[1].keys())
+    p, q = (np.array([c[b] + 1.0 for b in seen]) / (m + 2) for c, m in ((counts[1], n[1]), (counts[0], n[0])))
+    both = np.array([counts[0][b] + counts[1][b] + 1.0 for b in seen]) / (len(y) + 2)
+    errors = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n[1] + 1 / n[0]) + 1e-12)
+    kept = np.sort(np.argsort(-errors, kind="stable")[: op1.KEPT])
+    place, ratio = {seen[k]: j for j, k in enumerate(kept)}, np.log(p / q)[kept]
+    found = [sorted(place[b] for b in bags[i] if b in place) for _, i in learnt]
+    owners, columns = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([c for f in found for c in f])
+    w, bias = op1.logistic(owners, columns, ratio[columns], y, len(kept))
+    for i, own in bags.items():
+        assert abs(got[i] - 1 / (1 + np.exp(-(sum(w[place[b]] * ratio[place[b]] for b in own if b in place) + bias)))) < 1e-3
+
+
+def test_language_score_against_convolution(spark):
+    """Whole texts through the network, window by window and filter by filter."""
+    docs = table(spark, SF, "documents").limit(40)
+    net = op3.fit(table(spark, SF, "documents"))
+    texts = dict(docs.select("doc_id", "text").collect())
+    for r in op3.predict(docs, net).collect():
+        raw, total = texts[r.doc_id].encode(), np.zeros(len(net.langs))
+        for at in range(0, len(raw), op3.WINDOW):
+            part = raw[at : at + op3.WINDOW]
+            e = net.embed[np.frombuffer(part.ljust(op3.WINDOW), dtype=np.uint8)]
+            maxima = [max(float((e[i : i + w] * f[:, :, k]).sum()) for i in range(op3.WINDOW - w + 1)) + b[k] for w, f, b in zip(op3.WIDTHS, net.filters, net.biases, strict=True) for k in range(op3.FILTERS)] if at < 1024 else None
+            total += len(part) * ((np.maximum(maxima, 0) @ net.out + net.shift) if maxima else 0)
+        if len(raw) <= 1024:
+            p = np.exp(total / len(raw) - (total / len(raw)).max())
+            assert r.lang_pred == net.langs[int(p.argmax())] and abs(r.score - p.max() / p.sum()) < 1e-3
+
+
 def test_language_held_out(spark):
     got = op3.op3_byte_cnn_language(spark, SF2).join(table(spark, SF2, "documents").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 100 and (got.lang == got.lang_pred).mean() > 0.97
@@ -89,8 +145,8 @@ def test_token_round_trip(spark):
     from tokenizers import Tokenizer
 
     docs = table(spark, SF, "documents")
-    t, at = Tokenizer.from_file(op4.TOKENIZER), 0
-    got = op4.token_output(docs, shard_ids=50_000).orderBy("doc_id").collect()
+    t, at = Tokenizer.from_file(TOKENIZER), 0
+    got = op4.token_output(docs, TOKENIZER, shard_ids=50_000).orderBy("doc_id").collect()
     for r, (doc_id, text) in zip(got, docs.select("doc_id", "text").orderBy("doc_id").collect(), strict=True):
         ids = [*t.encode(text, add_special_tokens=False).ids, 2]
         assert tuple(r) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -100,7 +156,7 @@ def test_token_round_trip(spark):
 def test_pieces_of_odd_texts():
     import pyarrow as pa
 
-    t = op4.PieceTokenizer(op4.TOKENIZER)
+    t = op4.PieceTokenizer(TOKENIZER)
     r = random.Random(3)
     parts = [" ", "  ", "\n", "\t", " ", "　", "a", "Word", "é", "日", "12", ",", ".", "'s", "<|endoftext|>", "!", "…", "\x00"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(3000)] + [None, ""]
@@ -109,16 +165,33 @@ def test_pieces_of_odd_texts():
         assert own.tolist() == t.whole.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
-@pytest.mark.parametrize("sizes", [[1], [0], [0, 0, 3, 0], [5] * 1000, [1, 100_000, 1]])
+@pytest.mark.parametrize("sizes", [[1], [0], [0, 0, 3, 0], [5] * 1000, [1, 100_000, 1], [1] * 9000])
 def test_elias_fano(sizes):
-    docs = [np.arange(n) % 50_000 for n in sizes]
-    for width in (2, 4):
-        data = op4.pack_shard(docs, width)
+    docs, n, m = [np.arange(k) % 50_000 for k in sizes], len(sizes), sum(sizes)
+    r = random.Random(n)
+    for width, known in ((2, [7 * i for i in range(n)]), (4, sorted([None] * (n // 2) + [r.randrange(-(2**63), 2**63) for _ in range(n - n // 2)], key=lambda x: (x is not None, x or 0)))):
+        data = op4.pack_shard(docs, known, width)
         shard = op4.Shard(data)
         assert all((shard.document(i) == d).all() and len(shard.document(i)) == len(d) for i, d in enumerate(docs))
-        assert shard.boundaries.all().tolist() == np.cumsum(sizes).tolist()
-    n, m = len(sizes), sum(sizes)
-    assert len(data) - op4.HEADER.size - 4 * m <= (n * (2 + max(0, (m // n).bit_length())) + 24) / 8 + 2
+        ends = np.cumsum(sizes).tolist()
+        assert [shard.boundaries.select(i) for i in range(n)] == ends and shard.boundaries.block(0, n).tolist() == ends
+        assert [x for i in range(0, n, 7) for x in shard.boundaries.block(i, 7).tolist()] == ends and [x for i in range(0, n, 7) for x in shard.doc_ids(i, 7)] == known
+    packed = op4.pack_sequence(np.cumsum(sizes).astype(np.uint64))
+    assert len(packed) - op4.SEQUENCE.size <= (n * (2 + max(0, (m // n).bit_length())) + 24) / 8 + 2
+
+
+def test_a_shard_of_a_million_documents():
+    """Packing and reading take a few bytes a document, not tables of 64-bit offsets for each bit."""
+    import tracemalloc
+
+    n = 1_000_000
+    ends = np.cumsum(np.random.default_rng(1).integers(1, 9, n)).astype(np.uint64)
+    tracemalloc.start()
+    packed = op4.pack_sequence(ends)
+    sequence = op4.Sequence(np.frombuffer(packed, dtype=np.uint8))
+    assert all((sequence.block(i, op4.READ_DOCS) == ends[i : i + op4.READ_DOCS]).all() for i in range(0, n, op4.READ_DOCS))
+    assert len(packed) < 0.6 * n and tracemalloc.get_traced_memory()[1] < 40 * n
+    tracemalloc.stop()
 
 
 def brute_base(text):
@@ -180,8 +253,27 @@ def test_decontamination_edited_passage():
     far[15] = far[30] = far[45] = "changed"
     text = lambda w: " ".join(["intro"] * 9 + w + ["outro"] * 9)
     assert [(i, round(s, 3), p) for _, i, s, p, _ in index.search([text(near)])] == [(7, round(54 / 58, 3), 8)] and index.search([text(far)]) == []
-    masks = op7.near_masks(16, 4)
-    assert len(masks) == 2517
+    masks = op7.near_masks(16, 2)
+    assert len(masks) == 137
+    # every value within 4 bits is reached by two steps of 2 at most
+    assert {a ^ b for a in masks.tolist() for b in masks.tolist()} == set(op7.near_masks(16, 4).tolist())
+
+
+def test_decontamination_of_a_long_text_of_repeats():
+    """5 MB that repeat one passage: memory and time stay those of a segment."""
+    import time
+    import tracemalloc
+
+    r = random.Random(4)
+    passage = [f"w{r.randrange(900)}" for _ in range(200)]
+    index = op7.ItemIndex([(1, " ".join(passage[20:80])), (2, " ".join(passage[100:140]))])
+    text = " ".join(passage * 6000)
+    assert len(text) > 4_500_000
+    tracemalloc.start()
+    began = time.time()
+    assert [x[:4] for x in index.search([text])] == [(0, 1, 1.0, 20), (0, 2, 1.0, 100)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and time.time() - began < 60
+    tracemalloc.stop()
 
 
 def test_bag_min_hash_is_unbiased():
@@ -266,6 +358,15 @@ def test_mix_is_deterministic_and_near(spark):
     assert {i: n for i, n in zip(a.doc_id, want) if n} == {i: n for i, n in took.items() if want[i]}
 
 
+def test_empty_texts_in_the_mix(spark):
+    """At most two copies, and none where the target is 0."""
+    rows = [(i, "word " * 50, "a") for i in range(9)] + [(20, "", "b"), (21, None, "b"), (22, "x y", "b"), (30, "", "c"), (31, None, "c"), (40, "w " * 4000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in op10.mixed_documents(docs).collect())
+    targets = {r.source: r.target for r in op10.taken_times(docs, None)[1].collect()}
+    assert targets["b"] == 4 and targets["c"] == 0 and got[20] == 2 and got[22] == 2 and not got[30] and not got[31] and max(got.values()) <= 2
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage's own input and output: what goes and what stays is what brute force says."""
     rows, docs = {}, table(spark, SF, "documents")
