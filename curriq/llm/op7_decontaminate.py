@@ -36,7 +36,9 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 18, 4, 16
 ITEM_BLOCK, ITEM_BYTES = 8192, 8 << 20
 #: Words whose windows are looked at together, so that memory doesn't grow with a text.
-SEGMENT = 1 << 16
+SEGMENT = 1 << 17
+#: Characters of text that one search takes.
+CHUNK = 1 << 20
 #: Fingerprints that are looked up together.
 LOOKUPS = 4096
 
@@ -255,7 +257,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             index = _index(shared)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[start + d], *rest) for start, some in chunks(batch.column(1).to_pylist()) for d, *rest in index.search(some)]
+                found = [(ids[start + d], *rest) for start, some in chunks(batch.column(1).to_pylist(), CHUNK) for d, *rest in index.search(some)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
@@ -279,7 +281,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             index = _index(shared)
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                for start, some in chunks(batch.column(at).to_pylist()):
+                for start, some in chunks(batch.column(at).to_pylist(), CHUNK):
                     keep[[start + d for d, *_ in index.search(some)]] = False
                 yield batch.filter(pa.array(keep))
 
