@@ -1,7 +1,8 @@
-"""Text normalization: tokens, facet keys and codes, as native expressions and as exact Arrow functions.
+"""Text normalization: tokens, facet keys and codes.
 
-Spark has neither NFKC nor full case folding. The native forms lower-case and replace the sharp s, which is exact for text
-that is in NFKC already and whose only special folding is that letter; the Arrow forms are exact for any text.
+Spark has neither NFKC nor full case folding. Text of PLAIN characters is folded by built-in functions, which is exact for
+them (a test holds each character against unicodedata); other text, and it alone, is folded by an Arrow function. So each
+row is exact whatever its script, and rows of the common European alphabets stay in the JVM.
 """
 
 from __future__ import annotations
@@ -11,37 +12,23 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def lexical_tokens(text: str | Column) -> Column:
-    """Maximal runs of letters, marks and numbers of the folded text; null for null."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
-
-
-def facet_key(value: str | Column) -> Column:
-    """Folded text with single spaces and none at the ends; punctuation stays."""
-    c = F.col(value) if isinstance(value, str) else value
-    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+#: Ranges of characters that lower case (and ss for the sharp s) folds as NFKC and case folding do, next to any other of them.
+PLAIN = r"\x00-\x7F\xA1-\xA7\xA9\xAB\xAC\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u045F\u2013\u2014\u2018-\u201E\u2022\u20AC"
+_RUNS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def fold(text: str) -> str:
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return unicodedata.normalize("NFKC", text).casefold()
 
 
 def split_tokens(text: str) -> list[str]:
-    """The exact form of lexical_tokens for one text."""
-    out, run = [], []
-    for c in fold(text):
-        if unicodedata.category(c)[0] in "LMN":
-            run.append(c)
-        elif run:
-            out.append("".join(run))
-            run = []
-    return out + (["".join(run)] if run else [])
+    """The tokens of one text: maximal runs of letters, marks and numbers once it is folded."""
+    return _RUNS.findall(fold(text))
 
 
 def facet_text(text: str) -> str:
@@ -58,6 +45,46 @@ def exact_facet_key(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else facet_text(v))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def exact_facet_keys(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [None if x is None else facet_text(x) for x in v])
+
+
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _odd(c: Column) -> Column:
+    return c.rlike(f"[^{PLAIN}]")
+
+
+def _lower(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+
+
+def _plain_key(c: Column) -> Column:
+    return F.trim(F.regexp_replace(_lower(c), r"(?U)\s+", " "))
+
+
+def lexical_tokens(text: str | Column) -> Column:
+    """Maximal runs of letters, marks and numbers of the folded text; null for null."""
+    c = _column(text)
+    return F.when(~_odd(c), F.regexp_extract_all(_lower(c), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).otherwise(exact_tokens(F.when(_odd(c), c)))
+
+
+def facet_key(value: str | Column) -> Column:
+    """Folded text with single spaces and none at the ends; punctuation stays."""
+    c = _column(value)
+    return F.when(~_odd(c), _plain_key(c)).otherwise(exact_facet_key(F.when(_odd(c), c)))
+
+
+def facet_keys(values: str | Column) -> Column:
+    """facet_key of each element of an array."""
+    c = _column(values)
+    odd = F.exists(c, lambda v: _odd(F.coalesce(v, F.lit(""))))
+    return F.when(~odd, F.transform(c, _plain_key)).otherwise(exact_facet_keys(F.when(odd, c)))
+
+
 class CodeRules:
     """How codes of one profile are compared: case, delimiters that count, and the prefix rule."""
 
@@ -85,15 +112,15 @@ class CodeRules:
             text = next(text[: -len(d)] for d in self.delimiters if text.endswith(d))
         return text
 
-    def native(self, code: str | Column) -> Column:
-        """normalize as an expression: exact for NFKC text."""
-        c = F.col(code) if isinstance(code, str) else code
-        c = F.lower(c) if self.ignore_case else c
-        c = F.regexp_replace(c, r"(?U)\s+", "") if self.fold_spaces else c
+    def column(self, code: str | Column) -> Column:
+        """normalize as an expression; null for null."""
+        c = _column(code)
+        plain = _lower(c) if self.ignore_case else c
+        plain = F.regexp_replace(plain, r"(?U)\s+", "") if self.fold_spaces else plain
         if self.fold_punctuation:
             kept = "|".join(map(re.escape, self.delimiters))
-            c = F.regexp_replace(c, rf"(?:({kept})|\p{{P}})", "$1") if kept else F.regexp_replace(c, r"\p{P}", "")
-        return c
+            plain = F.regexp_replace(plain, rf"(?:({kept})|\p{{P}})", "$1") if kept else F.regexp_replace(plain, r"\p{P}", "")
+        return F.when(~_odd(c), plain).otherwise(self.udf()(F.when(_odd(c), c)))
 
     def starts(self, code: Column, prefix: str) -> Column:
         """Does the prefix end at a border of the code? B4.1 is a prefix of B4.1.2 and not of B4.10."""

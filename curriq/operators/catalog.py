@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curriq.functions.text import facet_key, facet_text
+from curriq.functions.text import facet_key, facet_keys, facet_text
 
 
 def text_filter(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
@@ -23,8 +23,8 @@ def member_filter(column: str, wanted: list[str] | None) -> Column:
     """Does the value, or array of values, meet the wanted ones? Nothing wanted: always."""
     if not wanted:
         return F.lit(True)
-    keys = [facet_text(w) for w in wanted]
-    return F.exists(F.col(column), lambda v: facet_key(v).isin(*keys))
+    keys = F.array(*[F.lit(facet_text(w)) for w in wanted])
+    return F.coalesce(F.arrays_overlap(facet_keys(column), keys), F.lit(False))
 
 
 def select_snapshot(packages: DataFrame, framework_id: str, snapshot_id: str | None = None) -> str:

@@ -39,17 +39,23 @@ def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250,
 
     A level's edges are taken in order of (arrival of their node, edge_id). At the depth bound, edges to nodes already
     returned are kept, others counted as `depth_limit`. The edge that would break a bound ends the walk and isn't taken.
+    A walk looks at MAX_EXAMINED edges at most; where that ends it, the reason is `work_limit`.
     """
     near, far = ("source", "target") if down else ("target", "source")
     spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
+    edges = cut(edges.select("edge_id", "source", "target"), folder, "edges")
     seen = cut(spark.createDataFrame([(start, 0, 0)], "node_id string, depth int, arrival long"), folder, "nodes-0")
     taken, n_nodes, n_edges, depth, frontier, reason = None, 1, 0, 0, seen, None
     while reason is None and depth <= max_depth:
         step = frontier.select(F.col("node_id").alias(near), F.col("arrival").alias("from_arrival")).join(edges.select("edge_id", near, far), near)
         if taken is not None:
             step = step.join(taken.select("edge_id"), "edge_id", "left_anti")
-        # no more than the bound and one edge can be taken from a level
-        step = step.orderBy("from_arrival", "edge_id").limit(MAX_EXAMINED)
+        # one edge more than can be taken, or looked at, tells that a bound is broken
+        work = MAX_EXAMINED - n_edges
+        step = cut(step.orderBy("from_arrival", "edge_id").limit(1 + (work if depth == max_depth else min(work, max_edges - n_edges))), folder, f"level-{depth}")
+        spent = step.count() > work
+        if spent:
+            step = step.orderBy("from_arrival", "edge_id").limit(work)
         known = seen.select(F.col("node_id").alias(far), F.lit(1).alias("known"))
         order = Window.orderBy("from_arrival", "edge_id")
         step = step.join(known, far, "left").withColumn("old", F.col("known").isNotNull())
@@ -58,6 +64,7 @@ def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250,
         if depth == max_depth:
             if not step.where(~F.col("old")).isEmpty():
                 reason = "depth_limit"
+            reason = "work_limit" if spent else reason
             step = step.where("old").withColumn("is_new", F.lit(0))
         running = order.rowsBetween(Window.unboundedPreceding, 0)
         step = cut(step.withColumn("nodes", F.sum("is_new").over(running) + n_nodes).withColumn("edges", F.row_number().over(order) + n_edges), folder, f"edges-{depth}")
@@ -69,6 +76,7 @@ def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250,
         taken = rows if taken is None else taken.unionByName(rows)
         frontier = cut(step.where("is_new = 1").select(F.col(far).alias("node_id"), F.lit(depth + 1).alias("depth"), F.col("nodes").cast("long").alias("arrival")), folder, f"nodes-{depth + 1}")
         seen, depth = seen.unionByName(frontier), depth + 1
+        reason = reason or ("work_limit" if spent else None)
         n_nodes, n_edges = seen.count(), taken.count()
         if frontier.isEmpty():
             break
@@ -83,7 +91,8 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 16, max_p
     if source == target:
         raise ValueError("source and target are the same")
     spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
-    reach = target_reach(edges, target, max_depth)
+    edges = cut(edges.select("edge_id", "source", "target"), folder, "edges")
+    reach = target_reach(edges, target, max_depth, ready=True)
     ends = reach.select(F.col("node_id").alias("target"), "shortest")
     useful = cut(edges.select("edge_id", "source", "target").join(ends, "target"), folder, "useful")
     grown = cut(spark.createDataFrame([(source, [source], [])], "at string, nodes array<string>, ids array<string>"), folder, "paths-0")
@@ -100,12 +109,13 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 16, max_p
     return best.select(F.row_number().over(Window.orderBy("hops", "ids")).cast("long").alias("rank"), "hops", F.array_join("nodes", ">").alias("path"), F.array_join("ids", ",").alias("edge_ids"))
 
 
-def target_reach(edges: DataFrame, target: str, max_depth: int) -> DataFrame:
+def target_reach(edges: DataFrame, target: str, max_depth: int, ready: bool = False) -> DataFrame:
     """node_id, lengths (bit n: the target is n hops away on some walk), shortest, longest; lengths up to max_depth.
 
     One reverse step each round: a node's lengths are its successors' lengths moved up by one bit.
     """
     spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
+    edges = edges if ready else cut(edges.select("source", "target"), folder, "edges")
     state = level = cut(spark.createDataFrame([(target, 0)], "node_id string, hops int"), folder, "hops-0")
     for hops in range(1, max_depth + 1):
         level = cut(level.select(F.col("node_id").alias("target")).join(edges.select("source", "target"), "target").select(F.col("source").alias("node_id"), F.lit(hops).alias("hops")).distinct(), folder, f"hops-{hops}")

@@ -1,8 +1,8 @@
 """Lexical, code, tag and facet search over tables of nodes.
 
-A query holds few terms, so candidates are found by a narrow pass (tokens of the row met with the query's terms) and
-the page by TakeOrderedAndProject: no shuffle but that of the page. `postings` builds the index as a table for those who
-ask many queries of one corpus.
+A single query is answered by a narrow pass (tokens of the row met with the query's terms), and the page by
+TakeOrderedAndProject: no shuffle but that of the page. Those who ask many queries of one corpus write its postings once,
+laid out by token, and each query reads the files of its terms alone.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curriq.functions.text import CodeRules, facet_text, lexical_tokens, split_tokens
+from curriq.functions.text import CodeRules, facet_key, facet_text, lexical_tokens, split_tokens
 
 FULL_SCORE, PREFIX_SCORE = 1_000_000, 500_000
 MAX_QUERY_CHARS, MAX_TERMS = 512, 32
@@ -28,9 +28,12 @@ def query_terms(query: str, most: int | None = MAX_TERMS) -> list[str]:
     return terms
 
 
-def token_search(docs: DataFrame, text: str, query: str, every: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with any (or every) term: keep, score (floor of 1e6 x matched / terms), matched_terms (in order, comma-joined)."""
-    terms = sorted(set(query_terms(query)))
+def token_search(docs: DataFrame, text: str, query: str, every: bool = False, keep: tuple[str, ...] = (), most: int | None = MAX_TERMS) -> DataFrame:
+    """Rows with any (or every) term: keep, score (floor of 1e6 x matched / terms), matched_terms (in order, comma-joined).
+
+    most: different terms that a query may have; component texts are searched without such a bound.
+    """
+    terms = sorted(set(query_terms(query, most)))
     held = docs.where(F.col(text).isNotNull()).withColumn("matched", F.array_intersect(F.array(*map(F.lit, terms)), lexical_tokens(text)))
     n = F.size("matched").cast("long")
     hits = held.where(n == len(terms) if every else n > 0)
@@ -51,6 +54,25 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(lexical_tokens(text))).alias("token")).select("token", key)
 
 
+def write_postings(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> DataFrame:
+    """Write the postings of docs under path, a folder for each bucket of tokens, and read them back."""
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    # a frequent token's postings are written by several tasks
+    rows = postings(docs, key, text).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8)))
+    rows.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+    return docs.sparkSession.read.schema(f"token string, {key} {dict(docs.dtypes)[key]}, bucket int").parquet(path)
+
+
+def posting_search(index: DataFrame, key: str, query: str, every: bool = False, buckets: int = 64, most: int | None = MAX_TERMS) -> DataFrame:
+    """token_search by way of written postings: key, score, matched_terms; only the terms' buckets are read."""
+    terms = sorted(set(query_terms(query, most)))
+    at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]
+    found = index.where(F.col("bucket").isin(*at) & F.col("token").isin(*terms)).groupBy(key).agg(F.sort_array(F.collect_set("token")).alias("matched"))
+    n = F.size("matched").cast("long")
+    hits = found.where(n == len(terms)) if every else found
+    return hits.select(key, F.expr(f"CAST({FULL_SCORE} * CAST(size(matched) AS BIGINT) AS BIGINT) div {len(terms)}").alias("score"), F.array_join("matched", ",").alias("matched_terms"))
+
+
 def index_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """documents, postings and unique tokens of the index."""
     found = postings(docs, key, text).groupBy("token").agg(F.count("*").alias("n"))
@@ -59,6 +81,11 @@ def index_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     return count.join(totals, F.lit(True))  # one row each
 
 
+def with_total(rows: DataFrame, total: Column, name: str) -> DataFrame:
+    """rows with an aggregate of them all, joined as one row."""
+    return rows.join(F.broadcast(rows.agg(total.alias(name))), F.lit(True))
+
+
 def page(hits: DataFrame, order: list[Column], limit: int = 25) -> DataFrame:
     if not 1 <= limit <= 100:
         raise ValueError("a page has 1 to 100 rows")
@@ -68,7 +95,7 @@ def page(hits: DataFrame, order: list[Column], limit: int = 25) -> DataFrame:
 def code_search(codes: DataFrame, code: str, query: str, rules: CodeRules, prefix: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Exact and, if asked for, prefix hits: keep, normalized_code, score."""
     wanted, front = rules.normalize(query), rules.normalize_prefix(query)
-    named = codes.where(F.col(code).isNotNull()).withColumn("normalized_code", rules.native(code))
+    named = codes.where(F.col(code).isNotNull()).withColumn("normalized_code", rules.column(code))
     exact = F.col("normalized_code") == wanted
     hits = named.where(rules.starts(F.col("normalized_code"), front) | exact if prefix else exact)
     return hits.select(*keep, "normalized_code", F.when(exact, FULL_SCORE).otherwise(PREFIX_SCORE).cast("long").alias("score"))
@@ -88,9 +115,9 @@ def parent_codes(children: DataFrame, parents: DataFrame, pattern: str, replacem
     return pairs.select("child", "parent", "parent_code", fits.alias("compatible"))
 
 
-def tag_search(nodes: DataFrame, key: str, tags: str, query: str, normalize) -> DataFrame:
+def tag_search(nodes: DataFrame, key: str, tags: str, query: str) -> DataFrame:
     """(key, tag) for each distinct raw tag whose normalized form is the query's: two spellings give two rows."""
-    return nodes.select(key, F.explode(F.array_distinct(tags)).alias("tag")).where(normalize(F.col("tag")) == facet_text(query))
+    return nodes.select(key, F.explode(F.array_distinct(tags)).alias("tag")).where(facet_key("tag") == facet_text(query))
 
 
 def facet_rows(nodes: DataFrame, local: str, mapping: dict[str, str]) -> DataFrame:
@@ -98,8 +125,6 @@ def facet_rows(nodes: DataFrame, local: str, mapping: dict[str, str]) -> DataFra
 
     The mapping is a profile's table, a few dozen entries, so it is part of the expression and needs no join.
     """
-    from curriq.functions.text import facet_key
-
     entries = [x for k, v in sorted(mapping.items()) for x in (F.lit(facet_text(k)), F.lit(v))]
     known = F.create_map(*entries) if entries else F.expr("map()").cast("map<string,string>")
     return nodes.withColumn("normalized", F.try_element_at(known, facet_key(local)))

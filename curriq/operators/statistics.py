@@ -66,3 +66,21 @@ def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one multiset that the other lacks, with side; empty if they are equal."""
     right = right.select(*left.columns)
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def flattened(report: DataFrame, column: str) -> DataFrame:
+    """(section, key, n) of a map of maps of counts."""
+    sections = report.select(F.explode(column).alias("section", "counts"))
+    return sections.select("section", F.explode("counts").alias("key", "n"))
+
+
+def warning_totals(rows: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, total, affected): sums of warnings, and rows that have any."""
+    return rows.groupBy(key).agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total"), F.count_if(F.col(n) > 0).alias("affected"))
+
+
+def fingerprint(rows: DataFrame, key: str) -> DataFrame:
+    """One row: a digest of whole rows, whatever their order: rows are digested in 64 buckets, and the buckets' digests once more."""
+    parts = bucketed_digest(rows.select(F.col(key), F.to_json(F.struct("*")).alias("__json")), key, "__json")
+    line = F.concat_ws(" ", F.lpad(F.col("bucket").cast("string"), 2, "0"), "sha256")
+    return parts.agg(F.sum("n").cast("long").alias("entries"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("fingerprint"))

@@ -66,7 +66,7 @@ def edge_status(edges: DataFrame, known: tuple[str, ...] = ("unresolvedRootFallb
 def statement_types(items: DataFrame, policies: DataFrame) -> list[DataFrame]:
     """items against policies (statement_type, normalized_type, is_graph_node, code_type): missing, spaced, unknown or
     disallowed types, and normalized types that differ from the policy's."""
-    known = items.join(F.broadcast(policies.limit(1000)).withColumnRenamed("normalized_type", "policy_type"), "statement_type", "left")  # a profile's policies, some dozens
+    known = items.join(policies.withColumnRenamed("normalized_type", "policy_type"), "statement_type", "left")
     return [
         finding(items.where("statement_type IS NULL"), "statement-type-missing", "node_id", "no statement type"),
         finding(items.where(F.trim("statement_type") != F.col("statement_type")), "statement-type-space", "node_id", "space around the statement type"),

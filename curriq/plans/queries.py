@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.functions.text import CodeRules, facet_key
+from curriq.functions.text import CodeRules
 from curriq.operators import catalog, paging, progressions, search, statistics, traversal, validation
+from curriq.plans import rules  # noqa: F401  (registers its queries)
 from curriq.plans import views as V
-from curriq.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from curriq.plans.registry import QUERIES, SQL, query
+from curriq.session import cut, loop_dir, table
 
 TOKENS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}]+')"
 GRADES = {"1-URGENT": "G1", "2-HIGH": "G2", "3-MEDIUM": "G3", "4-NOT SPECIFIED": "G4", "5-LOW": "G5"}
 RULES = CodeRules()
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def rank(*order) -> F.Column:
-    return F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank")
-
-
 # ---- Catalog and search ----------------------------------------------------------------------------------------
 
 
@@ -42,7 +27,7 @@ SELECT framework_id, snapshot_id, total FROM f ORDER BY framework_id, snapshot_i
 def catalog_filter(spark, sf):
     rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("framework_id"), F.col("n_name").alias("snapshot_id"))
     found = catalog.text_filter(rows, ["snapshot_id", "framework_id"], "Nation  A")
-    return paging.keyset_page(found.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1)))), ["framework_id", "snapshot_id"], None, 10)
+    return paging.keyset_page(search.with_total(found, F.count("*"), "total"), ["framework_id", "snapshot_id"], None, 10)
 
 
 def _text_sql(condition: str) -> str:
@@ -79,7 +64,7 @@ def code_exact_prefix(spark, sf):
     parts = V.part_nodes(spark, sf)
     codes = parts.select(F.col("brand").alias("node_id"), F.col("brand").alias("code")).distinct().unionByName(parts.select("node_id", "code"))
     hits = search.code_search(codes, "code", "BRAND.1", RULES, keep=("node_id",))
-    return search.page(hits.withColumn("exact_hits", F.count_if(F.col("score") == search.FULL_SCORE).over(Window.partitionBy(F.lit(1)))), [F.asc("normalized_code"), F.asc("node_id")], 100)
+    return search.page(search.with_total(hits, F.count_if(F.col("score") == search.FULL_SCORE), "exact_hits"), [F.asc("normalized_code"), F.asc("node_id")], 100)
 
 
 @query(f"""
@@ -92,8 +77,8 @@ def code_scope_parent(spark, sf):
     parts = V.part_nodes(spark, sf)
     nations = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("l_partkey").agg(F.collect_set(F.col("s_nationkey").cast("long")).alias("own"))
     scopes = lambda c: F.when(F.col(c).isNull(), F.expr("cast(map() AS map<string,array<bigint>>)")).otherwise(F.create_map(F.lit("nation"), F.col(c))).alias("scopes")
-    children = parts.join(nations, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("node_id").alias("child"), RULES.native("code").alias("code"), scopes("own"))
-    parents = parts.groupBy("brand").agg(F.collect_set((F.col("p_size") % 25).cast("long")).alias("own")).select(F.col("brand").alias("parent"), RULES.native("brand").alias("code"), scopes("own"))
+    children = parts.join(nations, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("node_id").alias("child"), RULES.column("code").alias("code"), scopes("own"))
+    parents = parts.groupBy("brand").agg(F.collect_set((F.col("p_size") % 25).cast("long")).alias("own")).select(F.col("brand").alias("parent"), RULES.column("brand").alias("code"), scopes("own"))
     return search.parent_codes(children, parents, r"(.+)\.[0-9]+", "$1")
 
 
@@ -136,7 +121,7 @@ def resolve_node(spark, sf):
 SELECT l_orderkey AS key, tag FROM (SELECT p_partkey AS l_orderkey, unnest(string_split(p_name, ' ')) AS tag FROM part) WHERE lower(tag) = 'ring'""")
 def tag_lookup(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.split("p_name", " ").alias("tags"))
-    return search.tag_search(rows, "key", "tags", " RING ", facet_key)
+    return search.tag_search(rows, "key", "tags", " RING ")
 
 
 @query(f"""
@@ -315,7 +300,7 @@ p(node, path, ids, hops) AS (SELECT 'P:1', 'P:1', ''::VARCHAR, 0 UNION ALL SELEC
 r AS (SELECT row_number() OVER (ORDER BY hops, string_split(ids, ',')) AS rank, hops::BIGINT AS hops, path, ids AS edge_ids FROM p WHERE node = (SELECT last FROM z))
 SELECT * FROM r WHERE rank <= 20""")
 def lp_paths(spark, sf):
-    edges = V.builds_towards(spark, sf)
+    edges = cut(V.builds_towards(spark, sf), loop_dir(spark), "edges")
     return progressions.paths(edges, "P:1", _last(edges), max_depth=4, max_paths=20)
 
 
@@ -323,7 +308,7 @@ def lp_paths(spark, sf):
 WITH RECURSIVE {V.BUILDS}, d(node_id, hops) AS (SELECT 'P:' || {LAST}, 0 UNION SELECT source, hops + 1 FROM d JOIN bt ON target = node_id WHERE hops < 4)
 SELECT node_id, bit_or((1 << hops)::BIGINT)::BIGINT AS lengths, min(hops)::BIGINT AS shortest, max(hops)::BIGINT AS longest FROM d GROUP BY node_id""")
 def lp_reach_dp(spark, sf):
-    edges = V.builds_towards(spark, sf)
+    edges = cut(V.builds_towards(spark, sf), loop_dir(spark), "edges")
     return progressions.target_reach(edges, _last(edges), 4)
 
 
@@ -335,17 +320,10 @@ def judgment_excerpt(spark, sf):
     return progressions.excerpt(rows, "text", 64).select("conv_id", "turn", "excerpt", "cut_off").join(total, F.lit(True))
 
 
-@query("""
-SELECT 'lifted' AS stage, l_orderkey, l_partkey, NULL::VARCHAR AS flag, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 200
-UNION ALL SELECT 'lowered', l_orderkey, l_partkey, 'A', l_linestatus FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 200""")
-def compact_rehydrate(spark, sf):
-    return _compacted(table(spark, sf, "lineitem").where("l_orderkey < 200"))
-
-
 @query("""
 SELECT 'lifted' AS stage, l_orderkey, l_partkey, NULL::VARCHAR AS flag, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'A'
 UNION ALL SELECT 'lowered', l_orderkey, l_partkey, 'A', l_linestatus FROM lineitem WHERE l_returnflag = 'A'""")
-def compact_rehydrate_all(spark, sf):
+def compact_rehydrate(spark, sf):
     return _compacted(table(spark, sf, "lineitem"))
 
 
@@ -432,19 +410,11 @@ def findings_identity(spark, sf):
     return validation.report(validation.edge_identity(edges, nodes)).groupBy("code").agg(F.count("*").alias("n")).where("n > 0")
 
 
-@query("""
-WITH c AS (SELECT p_partkey, p_type, count(DISTINCT l_suppkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_suppkey % 10 = 0 GROUP BY p_partkey, p_type)
-SELECT 'parent-too-few' AS code, 'P:' || p_partkey AS record_id FROM c WHERE n < 1 AND p_type IN ('STANDARD', 'PROMO') UNION ALL SELECT 'parent-too-many', 'P:' || p_partkey FROM c WHERE n > 3 AND p_type = 'STANDARD'
-UNION ALL SELECT 'parent-type', 'P:' || p_partkey FROM c WHERE n > 0 AND p_type NOT IN ('STANDARD', 'PROMO')""")
-def findings_parents(spark, sf):
-    return _parent_findings(spark, sf, V.dag(spark, sf).where(F.col("source").rlike("0$")))
-
-
 @query("""
 WITH c AS (SELECT p_partkey, p_type, count(DISTINCT l_suppkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_type)
 SELECT 'parent-too-few' AS code, 'P:' || p_partkey AS record_id FROM c WHERE n < 1 AND p_type IN ('STANDARD', 'PROMO') UNION ALL SELECT 'parent-too-many', 'P:' || p_partkey FROM c WHERE n > 3 AND p_type = 'STANDARD'
 UNION ALL SELECT 'parent-type', 'P:' || p_partkey FROM c WHERE n > 0 AND p_type NOT IN ('STANDARD', 'PROMO')""")
-def findings_parents_all(spark, sf):
+def findings_parents(spark, sf):
     return _parent_findings(spark, sf, V.dag(spark, sf))
 
 
@@ -469,17 +439,10 @@ def findings_lp(spark, sf):
     return found.unionByName(validation.decision_counts(decided).withColumnRenamed("decision", "item"))
 
 
-@query("""
-WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 500), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 500 AND l_linenumber <> 7 UNION ALL SELECT 1, -1)
-SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
-def set_reconcile(spark, sf):
-    return _reconciled(table(spark, sf, "lineitem").where("l_orderkey < 500"))
-
-
 @query("""
 WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <> 7 UNION ALL SELECT 1, -1)
 SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
-def set_reconcile_all(spark, sf):
+def set_reconcile(spark, sf):
     return _reconciled(table(spark, sf, "lineitem"))
 
 

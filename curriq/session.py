@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def loop_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (one machine, tests), under a temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset on one machine (tests), under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="curriq-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/curriq-{uuid.uuid4().hex}"

@@ -25,10 +25,75 @@ def test_tokens_agree(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.lexical_tokens("t").alias("native"), T.exact_tokens("t").alias("exact")).orderBy("i").collect()
     assert rows[0].native == rows[0].exact == ["strasse", "grösse"]
     assert rows[1].native == rows[1].exact == ["a", "b", "c", "d"] and rows[2].exact == [] and rows[3].exact is None
-    assert rows[4].exact == ["fine", "1", "2"]  # the native form doesn't decompose
+    assert rows[4].native == rows[4].exact == ["fine", "1", "2"] and rows[5].native == rows[5].exact
     assert T.facet_text("  A  b\tC ") == "a b c"
 
 
+def test_plain_characters():
+    """Each of them, and any next to another, is folded by lower case and ss as by NFKC and case folding."""
+    import re
+    import unicodedata
+
+    plain = [c for c in map(chr, range(0x10000)) if re.match(f"[{T.PLAIN}]", c)]
+    assert len(plain) > 400 and all(T.fold(c) == c.lower().replace("ß", "ss") for c in plain)
+    assert not any(unicodedata.combining(c) or unicodedata.normalize("NFKC", f"a{c}e") != f"a{c}e" for c in plain)
+
+
+def test_search_folds_both_sides(spark):
+    texts = ["cafe\u0301 noir", "\ufb01sh", "ΟΔΟΣ", "İzmir", "Ｆｕｌｌ width", "plain fish"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = lambda hits: sorted(r.id for r in hits.collect())
+    for query, want in (("café", [0]), ("FISH", [1, 5]), ("οδος", [2]), ("ΟΔΟΣ", [2]), ("i\u0307zmir", [3]), ("full", [4])):
+        assert found(search.token_search(docs, "t", query, keep=("id",))) == want, query
+        assert found(search.phrase_search(docs, "t", query, keep=("id",))) == want, query
+    assert found(search.phrase_search(docs, "t", "CAFÉ noir", keep=("id",))) == [0] and found(search.phrase_search(docs, "t", "full WIDTH", keep=("id",))) == [4]
+    tags = docs.select("id", F.array("t").alias("tags"))
+    assert [r.id for r in search.tag_search(tags, "id", "tags", " ﬁsh").collect()] == [1]
+    assert [r.id for r in search.code_search(docs, "t", "FISH", T.CodeRules(), keep=("id",)).collect()] == [1]
+    assert [r.id for r in tags.where(catalog.member_filter("tags", ["οδοσ"])).collect()] == [2]
+
+
+def test_postings_are_read_by_token(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the w{i % 7} x{i}") for i in range(200)] + [(900, None)], "id long, t string")
+    index = search.write_postings(docs, "id", "t", str(tmp_path / "postings"), buckets=8)
+    hits = search.posting_search(index, "id", "w3 THE", every=True, buckets=8)
+    assert sorted(r.id for r in hits.collect()) == list(range(3, 200, 7)) and {r.matched_terms for r in hits.collect()} == {"the,w3"}
+    assert "PartitionFilters: [isnotnull(bucket" in hits._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in hits._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        search.posting_search(index, "id", "...", buckets=8)
+
+
+def test_cycle_witness_of_a_long_cycle(spark):
+    n = 40
+    ring = [(f"e{i}", f"n{i:02d}", f"n{(i + 1) % n:02d}") for i in range(n)] + [("t1", "n05", "t"), ("t2", "t", "u"), ("s", "s", "n00")]
+    ids = traversal.cycle_witness(spark.createDataFrame(ring, "edge_id string, source string, target string"))
+    assert sorted(ids) == sorted(f"e{i}" for i in range(n))
+    ends = {e: (a, b) for e, a, b in ring}
+    assert all(ends[a][1] == ends[b][0] for a, b in zip(ids, ids[1:] + ids[:1]))
+    assert traversal.cycle_witness(spark.createDataFrame(ring[: n - 1], "edge_id string, source string, target string")) == []
+
+
+def test_work_limit(spark, monkeypatch):
+    monkeypatch.setattr(progressions, "MAX_EXAMINED", 10)
+    rows = [("a", "s", "x")] + [(f"b{i:02d}", "x", f"y{i}") for i in range(30)] + [("c", "x", "s")]
+    edges = spark.createDataFrame(rows, "edge_id string, source string, target string").withColumn("label", F.lit("buildsTowards"))
+    _, taken, reason = progressions.traverse(edges, "s", max_depth=1)
+    assert reason == "work_limit" and [r.edge_id for r in taken.collect()] == ["a"]
+    monkeypatch.setattr(progressions, "MAX_EXAMINED", 100)
+    _, taken, reason = progressions.traverse(edges, "s", max_depth=1)
+    assert reason == "depth_limit" and sorted(r.edge_id for r in taken.collect()) == ["a", "c"]
+
+
+def test_filters_are_checked():
+    from curriq.operators import scopes
+
+    known = {"grade": ["G1", "G2"]}
+    assert scopes.normalized_filters({"grade": [" g2", "G1"]}, known) == {"grade": ["g1", "g2"]}
+    for bad in ({"colour": ["x"]}, {"grade": ["g1", "G1 "]}, {"grade": [" "]}, {"grade": ["g9"]}):
+        with pytest.raises(ValueError):
+            scopes.normalized_filters(bad, known)
+
+
 def test_codes(spark):
     rules = T.CodeRules((".", "-"))
     assert rules.normalize(" B4 .1,a ") == "b4.1a" and rules.normalize_prefix("B4.1.-") == "b4.1"
@@ -49,7 +114,7 @@ def test_search(spark):
             search.query_terms(bad)
     assert tuple(search.index_statistics(docs, "id", "t").first()) == (3, 5, 3)
     tags = spark.createDataFrame([(1, ["Ring", "ring", "Ring"]), (2, None)], "id int, tags array<string>")
-    assert sorted(r.tag for r in search.tag_search(tags, "id", "tags", "RING", T.facet_key).collect()) == ["Ring", "ring"]
+    assert sorted(r.tag for r in search.tag_search(tags, "id", "tags", "RING").collect()) == ["Ring", "ring"]
 
 
 def test_facets(spark):

@@ -24,16 +24,16 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-def test_compact_rehydrate_all(spark, folder):
-    got = Counter((r.stage, r.l_orderkey, r.l_partkey, r.flag, r.status) for r in plans.QUERIES["compact_rehydrate_all"](spark, folder).collect())
+def test_compact_rehydrate(spark, folder):
+    got = Counter((r.stage, r.l_orderkey, r.l_partkey, r.flag, r.status) for r in plans.QUERIES["compact_rehydrate"](spark, folder).collect())
     assert got == Counter((stage, o, p, flag, status) for o, p, _, _, f, status in LINES if f == "A" for stage, flag in (("lifted", None), ("lowered", "A")))
 
 
-def test_set_reconcile_all(spark, folder):
-    got = Counter((r.l_orderkey, r.l_partkey, r.side) for r in plans.QUERIES["set_reconcile_all"](spark, folder).collect())
+def test_set_reconcile(spark, folder):
+    got = Counter((r.l_orderkey, r.l_partkey, r.side) for r in plans.QUERIES["set_reconcile"](spark, folder).collect())
     assert got == Counter([(o, p, "left") for o, p, _, n, _, _ in LINES if n == 7] + [(1, -1, "right")])
 
 
-def test_findings_parents_all(spark, folder):
-    got = sorted((r.code, r.record_id) for r in plans.QUERIES["findings_parents_all"](spark, folder).collect())
+def test_findings_parents(spark, folder):
+    got = sorted((r.code, r.record_id) for r in plans.QUERIES["findings_parents"](spark, folder).collect())
     assert got == [("parent-too-few", "P:4"), ("parent-too-many", "P:1"), ("parent-type", "P:3")]
