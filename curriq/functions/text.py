@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Ranges of characters that lower case (and ss for the sharp s) folds as NFKC and case folding do, next to any other of them.
 PLAIN = r"\x00-\x7F\xA1-\xA7\xA9\xAB\xAC\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u045F\u2013\u2014\u2018-\u201E\u2022\u20AC"
+#: A token's borders.
+_BORDER = (r"(?<![\p{L}\p{M}\p{N}])", r"(?![\p{L}\p{M}\p{N}])")
 _RUNS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -72,6 +74,28 @@ def lexical_tokens(text: str | Column) -> Column:
     return F.when(~_odd(c), F.regexp_extract_all(_lower(c), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).otherwise(exact_tokens(F.when(_odd(c), c)))
 
 
+def lexical_matches(text: str | Column, terms: list[str]) -> Column:
+    """The ones of terms (folded tokens) that a text has, in their order; null for null.
+
+    A term is looked for in the text itself, up to its first place, so no list of tokens is built for plain rows.
+    """
+    c = _column(text)
+    low = _lower(c)
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)) & low.rlike(f"{_BORDER[0]}{t}{_BORDER[1]}"), t) for t in terms]))
+    return F.when(~_odd(c), found).otherwise(F.array_intersect(F.array(*map(F.lit, terms)), exact_tokens(F.when(_odd(c), c))))
+
+
+def holds_phrase(text: str | Column, terms: list[str]) -> Column:
+    """Do the terms stand one after another? Tokens are apart by anything but letters, marks and numbers."""
+    c = _column(text)
+    low = _lower(c)
+    inside = low.rlike(_BORDER[0] + r"[^\p{L}\p{M}\p{N}]+".join(terms) + _BORDER[1])
+    for t in dict.fromkeys(terms):
+        inside = F.contains(low, F.lit(t)) & inside
+    exact = F.concat(F.lit(" "), F.array_join(exact_tokens(F.when(_odd(c), c)), " "), F.lit(" "))
+    return F.when(~_odd(c), inside).otherwise(F.contains(exact, F.lit(f" {' '.join(terms)} ")))
+
+
 def facet_key(value: str | Column) -> Column:
     """Folded text with single spaces and none at the ends; punctuation stays."""
     c = _column(value)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curriq.functions.text import CodeRules, facet_key, facet_text, lexical_tokens, split_tokens
+from curriq.functions.text import CodeRules, facet_key, facet_text, holds_phrase, lexical_matches, lexical_tokens, split_tokens
 
 FULL_SCORE, PREFIX_SCORE = 1_000_000, 500_000
 MAX_QUERY_CHARS, MAX_TERMS = 512, 32
@@ -34,7 +34,7 @@ def token_search(docs: DataFrame, text: str, query: str, every: bool = False, ke
     most: different terms that a query may have; component texts are searched without such a bound.
     """
     terms = sorted(set(query_terms(query, most)))
-    held = docs.where(F.col(text).isNotNull()).withColumn("matched", F.array_intersect(F.array(*map(F.lit, terms)), lexical_tokens(text)))
+    held = docs.where(F.col(text).isNotNull()).withColumn("matched", lexical_matches(text, terms))
     n = F.size("matched").cast("long")
     hits = held.where(n == len(terms) if every else n > 0)
     score = F.expr(f"CAST({FULL_SCORE} * CAST(size(matched) AS BIGINT) AS BIGINT) div {len(terms)}")
@@ -44,8 +44,7 @@ def token_search(docs: DataFrame, text: str, query: str, every: bool = False, ke
 def phrase_search(docs: DataFrame, text: str, query: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows that hold the query's tokens one after another."""
     terms = query_terms(query)
-    joined = F.concat(F.lit(" "), F.array_join(lexical_tokens(text), " "), F.lit(" "))
-    hits = docs.where(F.col(text).isNotNull()).where(F.contains(joined, F.lit(f" {' '.join(terms)} ")))
+    hits = docs.where(F.col(text).isNotNull()).where(holds_phrase(text, terms))
     return hits.select(*keep, F.lit(FULL_SCORE).cast("long").alias("score"), F.lit(",".join(terms)).alias("matched_terms"), F.lit(len(set(terms))).cast("long").alias("query_terms"))
 
 

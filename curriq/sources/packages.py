@@ -9,8 +9,8 @@ import hashlib
 import json
 import os
 import re
-import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,27 +110,88 @@ def change_status(folder: str, before: bytes, status: str) -> dict:
     return manifest
 
 
-def publish(staged: str, target: str) -> None:
-    """Move a complete package to its place; an error if there is one already."""
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    if os.path.exists(target):
-        raise FileExistsError(target)
-    os.rename(staged, target)
+def _store(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path: the same store that Spark's readers and writers use."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    store, at = _store(spark, path)
+    out = store.create(at, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Move a complete package to its place; an error if there is one already.
+
+    The place is claimed by a marker that only one writer can create, so two publishers can't both pass.
+    """
+    store, to = _store(spark, target)
+    store.mkdirs(to.getParent())
+    claim = _store(spark, f"{target}.claim")[1]
+    try:
+        store.create(claim, False).close()
+    except Exception as error:
+        raise FileExistsError(f"{target} is being published") from error
+    try:
+        if store.exists(to) or not store.rename(_store(spark, staged)[1], to):
+            raise FileExistsError(target)
+    finally:
+        store.delete(claim, False)
 
 
 def build_package(nodes: DataFrame, edges: DataFrame, folder: str, manifest: dict) -> dict:
     """Write node and edge tables with a manifest into a new package folder: staged beside it, checked and then moved."""
-    staged = f"{folder}.staged"
-    shutil.rmtree(staged, ignore_errors=True)
+    spark, staged = nodes.sparkSession, f"{folder}.staged-{uuid.uuid4().hex}"
     nodes.write.parquet(f"{staged}/nodes")
     edges.write.partitionBy("label").parquet(f"{staged}/relationships")
-    files = {r["path"]: r["sha256"] for r in observed_files(nodes.sparkSession, staged).collect()}  # a package's files
+    files = {r["path"]: r["sha256"] for r in observed_files(spark, staged).collect()}  # a package's files
     done = manifest | {"checksums": files, "artifactSetSha256": artifact_set_sha256(list(files.values())), "validation": {"status": "pending"}}
-    (Path(staged) / MANIFEST).write_text(json.dumps(done, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-    publish(staged, folder)
+    write_file(spark, f"{staged}/{MANIFEST}", json.dumps(done, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+    publish(spark, staged, folder)
     return done
 
 
+def read_artifact(spark: SparkSession, folder: str, manifest: dict, name: str, most: int = 32 << 20) -> bytes:
+    """A declared file of a package by its logical name (in `artifacts`) or path; its checksum has to be the declared one."""
+    path = (manifest.get("artifacts") or {}).get(name, name)
+    declared = (manifest.get("checksums") or {}).get(path)
+    if declared is None:
+        raise LookupError(f"the manifest doesn't declare {name}")
+    row = spark.read.format("binaryFile").load(f"{folder}/{path}").where(F.col("length") <= most).select("content").first()
+    if row is None:
+        raise ValueError(f"{name} is longer than {most} bytes")
+    if "sha256:" + hashlib.sha256(row[0]).hexdigest() != declared:
+        raise ValueError(f"{name} isn't what the manifest declares")
+    return bytes(row[0])
+
+
+def load_profile(root: str | Path, profile_id: str, version: str) -> dict:
+    """<root>/<id>/<version>/profile.json, which has to name exactly this id and version."""
+    if not re.fullmatch(r"[a-z0-9][a-z0-9-]*", profile_id) or not re.fullmatch(r"[0-9]+(\.[0-9]+)*", version):
+        raise ValueError(f"no profile is named {profile_id} {version}")
+    profile = strict_object((Path(root) / profile_id / version / "profile.json").read_text("utf-8"))
+    if (profile.get("profileId"), profile.get("profileVersion")) != (profile_id, version):
+        raise ValueError(f"the profile at {profile_id}/{version} names another")
+    return profile
+
+
+def load_package(spark: SparkSession, folder: str) -> tuple[dict, DataFrame, DataFrame, DataFrame]:
+    """(manifest, nodes, edges, findings) of a package as built: files against the manifest, then ids, endpoints and loops."""
+    from curriq.operators import validation
+
+    manifest, _ = read_manifest(folder)
+    nodes, edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/relationships")
+    declared = spark.createDataFrame(list((manifest.get("checksums") or {}).items()), "path string, sha256 string")
+    observed = observed_files(spark, folder)
+    sized = declared.join(observed.select("path", "size"), "path", "left").withColumn("size", F.coalesce("size", F.lit(-1)))
+    ids = validation.duplicates(nodes, ["node_id"], "node-duplicate", "node_id", order="node_id")
+    findings = validation.report([validation.declared_against_observed(sized, observed), ids, *validation.edge_identity(edges.withColumn("seo", F.coalesce(F.col("seo"), F.lit(0))) if "seo" in edges.columns else edges.withColumn("seo", F.lit(0)), nodes)])
+    return manifest, nodes, edges, findings
+
+
 def write_delivery(prefix: DataFrame, progressions: DataFrame, path: str) -> None:
     """Lines of the standards part in their order (line, value), then canonical progression lines by (label, edge_id)."""
     first = prefix.select(F.lit(0).alias("part"), F.col("line").cast("long").alias("n"), F.lit("").alias("label"), F.lit("").alias("id"), "value")

@@ -1,4 +1,8 @@
-"""New deliveries as a stream: each micro-batch of files is decoded and validated, and findings are appended to a table."""
+"""New deliveries as a stream: each micro-batch of files is decoded and validated, and written below its batch id.
+
+A batch that is run again after a failure overwrites its own folder, so every file's rows are there once. Readers see the
+tables as a whole: `batch` is a partition column.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from curriq.sources.wire import read_nodes
 
 
-def watch_nodes(spark: SparkSession, folder: str, nodes_out: str, findings_out: str, checkpoint: str) -> StreamingQuery:
-    """Decode node files that appear in a folder, each once; ends when all that are there are done."""
-    files = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("path"))
+def take_batch(batch: DataFrame, number: int, nodes_out: str, findings_out: str) -> None:
+    """Decode the files that a batch names (path) and write its part of both tables."""
+    paths = [r[0] for r in batch.toLocalIterator()]  # names of a micro-batch's files
+    if paths:
+        for rows, out in zip(read_nodes(batch.sparkSession, paths), (nodes_out, findings_out), strict=True):
+            rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    def take(batch: DataFrame, _: int) -> None:
-        paths = [r[0] for r in batch.toLocalIterator()]  # names of a micro-batch's files
-        if paths:
-            nodes, findings = read_nodes(batch.sparkSession, paths)
-            nodes.write.mode("append").parquet(nodes_out)
-            findings.write.mode("append").parquet(findings_out)
 
-    return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def watch_nodes(spark: SparkSession, folder: str, nodes_out: str, findings_out: str, checkpoint: str) -> StreamingQuery:
+    """Decode node files that appear in a folder, each once; ends when all that are there are done."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.jsonl").load(folder).select("path")  # names alone: contents aren't read here
+    return files.writeStream.foreachBatch(lambda batch, number: take_batch(batch, number, nodes_out, findings_out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

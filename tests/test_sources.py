@@ -4,7 +4,7 @@ import json
 import pytest
 
 from curriq.sources import packages, wire
-from curriq.streaming.intake import watch_nodes
+from curriq.streaming.intake import take_batch, watch_nodes
 
 
 def node(i, label="StandardsFrameworkItem", **p):
@@ -65,7 +65,7 @@ def test_packages(spark, tmp_path):
     folder = tmp_path / "root" / "fw" / sid
     manifest = packages.build_package(nodes, edges, str(folder), {"frameworkId": "fw", "graphPackageId": "p", "graphType": "t", "packageRevision": 1, "framework": {"isCurrent": True, "languages": ["en"]}})
     with pytest.raises(FileExistsError):
-        packages.publish(str(tmp_path), str(folder))
+        packages.publish(spark, str(tmp_path), str(folder))
     found = packages.discover(tmp_path / "root")
     table = packages.manifest_table(spark, found)
     assert table.first().status == "pending"
@@ -74,6 +74,16 @@ def test_packages(spark, tmp_path):
     observed = packages.observed_files(spark, str(folder))
     sized = declared.join(observed.select("path", "size"), "path", "left")
     assert validation.declared_against_observed(sized, observed).count() == 0
+    _, nodes_back, edges_back, findings = packages.load_package(spark, str(folder))
+    assert nodes_back.count() == edges_back.count() == 1 and [r.code for r in findings.collect()] == ["target-unresolved"]
+    part = next(k for k in manifest["checksums"] if k.startswith("nodes/"))
+    assert packages.read_artifact(spark, str(folder), manifest | {"artifacts": {"nodes": part}}, "nodes")[:4] == b"PAR1"
+    with pytest.raises(LookupError):
+        packages.read_artifact(spark, str(folder), manifest, "nothing")
+    with pytest.raises(ValueError):
+        packages.read_artifact(spark, str(folder), manifest | {"checksums": {part: "sha256:0"}}, part)
+    with pytest.raises(ValueError):
+        packages.read_artifact(spark, str(folder), manifest, part, most=4)
     extra = folder / "extra.bin"
     extra.write_bytes(b"x")
     assert [r.code for r in validation.declared_against_observed(sized, packages.observed_files(spark, str(folder))).collect()] == ["file-undeclared"]
@@ -83,6 +93,19 @@ def test_packages(spark, tmp_path):
         packages.change_status(str(folder), before, "failed")
 
 
+def test_profile(tmp_path):
+    at = tmp_path / "some-profile" / "2.0"
+    at.mkdir(parents=True)
+    (at / "profile.json").write_text('{"profileId": "some-profile", "profileVersion": "2.0", "x": 1}')
+    assert packages.load_profile(tmp_path, "some-profile", "2.0")["x"] == 1
+    for name, version in (("../some-profile", "2.0"), ("some-profile", "latest")):
+        with pytest.raises(ValueError):
+            packages.load_profile(tmp_path, name, version)
+    (at / "profile.json").write_text('{"profileId": "other", "profileVersion": "2.0"}')
+    with pytest.raises(ValueError):
+        packages.load_profile(tmp_path, "some-profile", "2.0")
+
+
 def test_shards(spark, tmp_path):
     rows = spark.createDataFrame([(f"r{i}", i) for i in range(200)], "id string, v int")
     packages.write_shards(rows, "id", str(tmp_path / "s"))
@@ -106,3 +129,11 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"n{k}.jsonl").write_text("\n".join(NODES))
         watch_nodes(spark, str(tmp_path / "in"), str(tmp_path / "nodes"), str(tmp_path / "findings"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == 8 and spark.read.parquet(str(tmp_path / "findings")).count() == 12
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    (tmp_path / "n.jsonl").write_text("\n".join(NODES))
+    batch = spark.createDataFrame([(str(tmp_path / "n.jsonl"),)], "path string")
+    for number in (0, 0, 1):
+        take_batch(batch, number, str(tmp_path / "nodes"), str(tmp_path / "findings"))
+    assert spark.read.parquet(str(tmp_path / "nodes")).groupBy("batch").count().orderBy("batch").collect() == [(0, 4), (1, 4)]
