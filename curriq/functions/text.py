@@ -57,7 +57,8 @@ def _column(c: str | Column) -> Column:
 
 
 def _odd(c: Column) -> Column:
-    return c.rlike(f"[^{PLAIN}]")
+    # text of as many bytes as characters is ASCII, and plain without a look at each character
+    return (F.octet_length(c) != F.length(c)) & c.rlike(f"[^{PLAIN}]")
 
 
 def _lower(c: Column) -> Column:
@@ -80,18 +81,24 @@ def lexical_matches(text: str | Column, terms: list[str]) -> Column:
     A term is looked for in the text itself, up to its first place, so no list of tokens is built for plain rows.
     """
     c = _column(text)
-    low = _lower(c)
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)) & low.rlike(f"{_BORDER[0]}{t}{_BORDER[1]}"), t) for t in terms]))
+    own = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)) & low.rlike(f"{_BORDER[0]}{t}{_BORDER[1]}"), t) for t in terms]))
+    # a lambda's variable is computed once, however often it is used
+    found = F.transform(F.array(_lower(c)), own)[0]
     return F.when(~_odd(c), found).otherwise(F.array_intersect(F.array(*map(F.lit, terms)), exact_tokens(F.when(_odd(c), c))))
 
 
 def holds_phrase(text: str | Column, terms: list[str]) -> Column:
     """Do the terms stand one after another? Tokens are apart by anything but letters, marks and numbers."""
     c = _column(text)
-    low = _lower(c)
-    inside = low.rlike(_BORDER[0] + r"[^\p{L}\p{M}\p{N}]+".join(terms) + _BORDER[1])
-    for t in dict.fromkeys(terms):
-        inside = F.contains(low, F.lit(t)) & inside
+    pattern = _BORDER[0] + r"[^\p{L}\p{M}\p{N}]+".join(terms) + _BORDER[1]
+
+    def run(low: Column) -> Column:
+        test = low.rlike(pattern)
+        for t in dict.fromkeys(terms):  # plain containment first: it is far cheaper
+            test = F.contains(low, F.lit(t)) & test
+        return test
+
+    inside = F.exists(F.array(_lower(c)), run)
     exact = F.concat(F.lit(" "), F.array_join(exact_tokens(F.when(_odd(c), c)), " "), F.lit(" "))
     return F.when(~_odd(c), inside).otherwise(F.contains(exact, F.lit(f" {' '.join(terms)} ")))
 
