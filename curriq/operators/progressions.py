@@ -109,6 +109,37 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 16, max_p
     return best.select(F.row_number().over(Window.orderBy("hops", "ids")).cast("long").alias("rank"), "hops", F.array_join("nodes", ">").alias("path"), F.array_join("ids", ",").alias("edge_ids"))
 
 
+def path_search(edges: DataFrame, source: str, target: str, max_depth: int = 16, max_paths: int = 20) -> tuple[DataFrame, list[str]]:
+    """(paths as `paths` gives them, reasons): `depth_limit` if a connection of more than max_depth hops exists,
+    `path_limit` if there are more than max_paths within it. Without a reason the list of connections is whole."""
+    folder = loop_dir(edges.sparkSession)
+    edges = cut(edges.select("edge_id", "source", "target"), folder, "edges")
+    found = cut(paths(edges, source, target, max_depth, max_paths + 1), folder, "found")  # one more tells
+    reasons = ["depth_limit"] * reaches_beyond(edges, source, target, max_depth) + ["path_limit"] * (found.count() > max_paths)
+    return found.where(F.col("rank") <= max_paths), reasons
+
+
+def reaches_beyond(edges: DataFrame, source: str, target: str, hops: int) -> bool:
+    """Whether some walk of more than `hops` edges leads from source to target; on acyclic edges every walk is a path.
+
+    Nodes exactly hops + 1 edges away are found level by level, and followed until the target or nothing new is met.
+    """
+    spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
+    further = lambda nodes: nodes.withColumnRenamed("node_id", "source").join(edges, "source").select(F.col("target").alias("node_id")).distinct()
+    frontier = spark.createDataFrame([(source,)], "node_id string")
+    for n in range(hops + 1):
+        frontier = cut(further(frontier), folder, f"away-{n}")
+        if frontier.isEmpty():
+            return False
+    seen, step = frontier, 0
+    while not frontier.isEmpty():
+        if not frontier.where(F.col("node_id") == target).isEmpty():
+            return True
+        frontier = cut(further(frontier).join(seen, "node_id", "left_anti"), folder, f"new-{step}")
+        seen, step = cut(seen.unionByName(frontier), folder, f"seen-{step}"), step + 1
+    return False
+
+
 def target_reach(edges: DataFrame, target: str, max_depth: int, ready: bool = False) -> DataFrame:
     """node_id, lengths (bit n: the target is n hops away on some walk), shortest, longest; lengths up to max_depth.
 

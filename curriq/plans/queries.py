@@ -304,6 +304,18 @@ def lp_paths(spark, sf):
     return progressions.paths(edges, "P:1", _last(edges), max_depth=4, max_paths=20)
 
 
+@query(f"""
+WITH RECURSIVE {V.BUILDS}, z AS (SELECT 'P:' || {LAST} AS last), w AS (SELECT DISTINCT b.target AS node_id FROM bt a JOIN bt b ON b.source = a.target WHERE a.source = 'P:1'),
+away AS (SELECT DISTINCT bt.target AS node_id FROM w JOIN bt ON bt.source = w.node_id),
+r(node_id) AS (SELECT node_id FROM away UNION SELECT target FROM r JOIN bt ON source = r.node_id),
+n AS (SELECT (SELECT count(*) FROM bt, z WHERE source = 'P:1' AND target = last) + (SELECT count(*) FROM bt a JOIN bt b ON b.source = a.target, z WHERE a.source = 'P:1' AND b.target = last AND a.target <> last) AS n)
+SELECT least(n, 1)::BIGINT AS returned, concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM r, z WHERE node_id = last) THEN 'depth_limit' END, CASE WHEN n > 1 THEN 'path_limit' END) AS reasons FROM n""")
+def lp_path_reasons(spark, sf):
+    edges = cut(V.builds_towards(spark, sf), loop_dir(spark), "edges")
+    found, reasons = progressions.path_search(edges, "P:1", _last(edges), max_depth=2, max_paths=1)
+    return found.agg(F.count("*").alias("returned")).withColumn("reasons", F.lit(",".join(reasons)))
+
+
 @query(f"""
 WITH RECURSIVE {V.BUILDS}, d(node_id, hops) AS (SELECT 'P:' || {LAST}, 0 UNION SELECT source, hops + 1 FROM d JOIN bt ON target = node_id WHERE hops < 4)
 SELECT node_id, bit_or((1 << hops)::BIGINT)::BIGINT AS lengths, min(hops)::BIGINT AS shortest, max(hops)::BIGINT AS longest FROM d GROUP BY node_id""")

@@ -206,6 +206,20 @@ def test_progression_paths_against_enumeration(spark):
         progressions.paths(edges, "n0", "n0")
 
 
+def test_path_search_reasons(spark):
+    r = random.Random(5)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in itertools.combinations(range(7), 2) if r.random() < 0.6} | {("n0", "n1"), ("n0", "n2"), ("n1", "n2"), ("n2", "n6"), ("n6", "z")})
+    edges = edges_of(spark, pairs)
+    every = all_paths(pairs, "n0", "n6", 9)
+    longest = max(p.count(">") for p in every)
+    for depth, most in [(longest, len(every)), (longest, 1), (longest - 1, len(every)), (2, 1)]:
+        within = [p for p in every if p.count(">") <= depth]
+        found, reasons = progressions.path_search(edges, "n0", "n6", depth, most)
+        assert [x.path for x in found.orderBy("rank").collect()] == within[:most]
+        assert reasons == ["depth_limit"] * (longest > depth) + ["path_limit"] * (len(within) > most)
+    assert progressions.path_search(edges, "z", "n0", 3)[1] == []
+
+
 def test_progression_traversal_bounds(spark):
     edges = edges_of(spark, DIAMOND)
     nodes, taken, reason = progressions.traverse(edges, "root", max_depth=1)
