@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curriq.operators.validation import finding
+from curriq.operators.traversal import peel
+from curriq.operators.validation import declared_against_observed, finding
 
 DIRECTED, UNDIRECTED = ("buildsTowards",), ("relatesTo", "noRelationship", "needsReview")
 
@@ -119,3 +120,66 @@ def directory_identity(manifests: DataFrame) -> DataFrame:
     """Manifests whose directory (framework_id/snapshot_id) isn't what they say."""
     own = F.concat_ws("/", "framework_id", "snapshot_id")
     return finding(manifests.where(~F.col("directory").eqNullSafe(own)), "package-directory", "package_id", F.concat(F.lit("expected "), own))
+
+
+def topology_counts(edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """A report's counts (name, n) against edges (source, target) that have to be without cycles: graph_edges, graph_nodes,
+    and cyclic_edges and cyclic_nodes, which have to be declared as 0."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id"))
+    facts = edges.agg(F.count("*").alias("e")).join(ends.agg(F.count_distinct("node_id").alias("v")), F.lit(True))  # one row each
+    return declared_counts(declared, facts.select(F.expr("stack(4, 'graph_edges', e, 'graph_nodes', v, 'cyclic_edges', 0L, 'cyclic_nodes', 0L) AS (name, n)")), "topology-count")
+
+
+def topology_cycles(edges: DataFrame) -> DataFrame:
+    """Edges (edge_id, source, target) that `peel` leaves: on a cycle or below one."""
+    return finding(edges.join(peel(edges).distinct(), ["source", "target"], "left_semi"), "topology-cycle", "edge_id", "on a cycle or below one")
+
+
+def normalized_delivery(delivery: DataFrame, prefix: DataFrame, suffix: DataFrame, types: tuple[str, ...] = ("hasChild", "supports")) -> list[DataFrame]:
+    """A delivery's lines (line, label, edge_id, value) against the lines of its hierarchy part (line, label, value), which
+    come first and unchanged, and the canonical progression lines (label, edge_id, value), which follow by (label, edge_id).
+
+    Lines are met by number and by value, and each by the number after it, so no task sees the whole delivery.
+    """
+    # one row: where the progression part starts
+    start = F.broadcast(prefix.agg(F.coalesce(F.max("line") + 1, F.lit(0)).alias("start")))
+    placed = delivery.join(start, F.lit(True))
+    first = placed.where("line < start").select("line", F.col("value").alias("there"))
+    changed = prefix.join(first, "line", "left").where(~F.col("value").eqNullSafe(F.col("there")))
+    rest = placed.where("line >= start").select("line", "label", "edge_id", "value")
+    keys = ["label", "edge_id", "value"]
+    there, wanted = rest.groupBy(*keys).agg(F.count("*").alias("n")), suffix.groupBy(*keys).agg(F.count("*").alias("m"))
+    both = there.join(wanted, keys, "full_outer").fillna(0, ["n", "m"])
+    after = rest.select((F.col("line") - 1).alias("line"), F.struct("label", "edge_id").alias("next"))
+    turned = rest.join(after, "line").where(F.struct("label", "edge_id") > F.col("next"))
+    return [
+        finding(changed, "delivery-prefix", "line", "the hierarchy part's line isn't there"), finding(prefix.where(~F.col("label").isin(*types) | F.col("label").isNull()), "delivery-prefix-type", "line", "no line of the hierarchy part"),
+        finding(both.where("n < m"), "delivery-missing", "edge_id", "the canonical line isn't there"), finding(both.where("n > m"), "delivery-surplus", "edge_id", "no canonical line"), finding(turned, "delivery-order", "line", "the next line comes before it"),
+    ]
+
+
+def archive(record: dict[str, str], package: dict[str, str], declared: DataFrame, observed: DataFrame) -> DataFrame:
+    """An evidence archive: the record's fields against the package's, then its files (path, sha256, size) against those there."""
+    spark = declared.sparkSession
+    names = sorted(set(record) | set(package))
+    fields = spark.createDataFrame([(n, record.get(n), package.get(n)) for n in names], "field string, recorded string, own string")
+    told = F.concat(F.coalesce("recorded", F.lit("null")), F.lit(" and "), F.coalesce("own", F.lit("null")))
+    return finding(fields.where(~F.col("recorded").eqNullSafe(F.col("own"))), "archive-record", "field", told).unionByName(declared_against_observed(declared, observed))
+
+
+def slim_derivation(shipped: DataFrame, derived: DataFrame, key: str) -> list[DataFrame]:
+    """Shipped slim records against those derived anew from the full ones: keys on one side only, and other values."""
+    columns = [c for c in derived.columns if c != key]
+    packed = lambda rows, name: rows.select(key, F.struct(*columns).alias(name))
+    met = packed(shipped, "own").join(packed(derived, "anew"), key)
+    return [*exact_cover(shipped, derived, key, "slim"), finding(met.where(~F.col("own").eqNullSafe(F.col("anew"))), "slim-derivation", key, "differs from its derivation")]
+
+
+def slim_records(records: DataFrame, edges: DataFrame, doc_key: str) -> list[DataFrame]:
+    """Slim records (edge_id, decision, source_uuid, target_uuid, identity_key) against their edges (edge_id, label, source,
+    target): exactly one for each edge, its decision the label, its ends the edge's, its key made of both."""
+    met = edges.join(records, "edge_id")
+    identity = F.concat_ws(":", F.lit(f"lc:curriculum:{doc_key}:relationship"), "label", "source", "target")
+    same = F.col("decision").eqNullSafe(F.col("label")) & F.col("source_uuid").eqNullSafe(F.col("source")) & F.col("target_uuid").eqNullSafe(F.col("target")) & F.col("identity_key").eqNullSafe(identity)
+    twice = records.groupBy("edge_id").agg(F.count("*").alias("n")).where("n > 1")
+    return [*exact_cover(records, edges, "edge_id", "slim-record"), finding(met.where(~same), "slim-record-mismatch", "edge_id", "decision, ends or key aren't the edge's"), finding(twice, "slim-record-twice", "edge_id", "several records of an edge")]

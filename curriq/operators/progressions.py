@@ -5,6 +5,8 @@ Edges: edge_id, label (buildsTowards or relatesTo), source, target.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,30 @@ def discover(edges: DataFrame, nodes: DataFrame, match: Column, scope: str = "ei
     return joined.where(keep).select("position", "label", "edge_id", "source", "target", side.alias("connection")).orderBy("position").limit(limit)
 
 
+@dataclass
+class Walk:
+    """nodes (node_id, depth, arrival), edges (edge_id, source, target, depth), reasons that ended or cut the walk, edges
+    looked at (all, and those at the depth bound), and limited (node_id, n): edges at the bound to nodes that it keeps out."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    reasons: list[str]
+    examined: int
+    examined_at_bound: int
+    limited: DataFrame | None
+    adjacency: DataFrame
+
+
 def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max_edges: int = 100, down: bool = True) -> tuple[DataFrame, DataFrame, str | None]:
-    """((node_id, depth), (edge_id, source, target, depth), reason) of a bounded breadth-first walk in order of arrival.
+    """((node_id, depth), (edge_id, source, target, depth), reason) of `walk`; a bound that ended it goes before depth_limit."""
+    found = walk(edges, start, max_depth, max_nodes, max_edges, down)
+    return found.nodes.select("node_id", "depth"), found.edges, found.reasons[-1] if found.reasons else None
+
+
+def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max_edges: int = 100, down: bool = True) -> Walk:
+    """A bounded breadth-first walk in order of arrival.
 
-    A level's edges are taken in order of (arrival of their node, edge_id). At the depth bound, edges to nodes already
+    A level's edges are looked at in order of (arrival of their node, edge_id). At the depth bound, edges to nodes already
     returned are kept, others counted as `depth_limit`. The edge that would break a bound ends the walk and isn't taken.
     A walk looks at MAX_EXAMINED edges at most; where that ends it, the reason is `work_limit`.
     """
@@ -45,42 +67,66 @@ def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250,
     spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
     edges = cut(edges.select("edge_id", "source", "target"), folder, "edges")
     seen = cut(spark.createDataFrame([(start, 0, 0)], "node_id string, depth int, arrival long"), folder, "nodes-0")
-    taken, n_nodes, n_edges, depth, frontier, reason = None, 1, 0, 0, seen, None
-    while reason is None and depth <= max_depth:
+    taken, n_nodes, n_edges, depth, frontier, ended = None, 1, 0, 0, seen, None
+    examined, at_bound, limited = 0, 0, None
+    while ended is None and depth <= max_depth:
         step = frontier.select(F.col("node_id").alias(near), F.col("arrival").alias("from_arrival")).join(edges.select("edge_id", near, far), near)
         if taken is not None:
             step = step.join(taken.select("edge_id"), "edge_id", "left_anti")
         # one edge more than can be taken, or looked at, tells that a bound is broken
-        work = MAX_EXAMINED - n_edges
-        step = cut(step.orderBy("from_arrival", "edge_id").limit(1 + (work if depth == max_depth else min(work, max_edges - n_edges))), folder, f"level-{depth}")
-        spent = step.count() > work
-        if spent:
-            step = step.orderBy("from_arrival", "edge_id").limit(work)
+        work, last = MAX_EXAMINED - examined, depth == max_depth
+        step = cut(step.orderBy("from_arrival", "edge_id").limit(1 + (work if last else min(work, max_edges - n_edges))), folder, f"level-{depth}")
         known = seen.select(F.col("node_id").alias(far), F.lit(1).alias("known"))
         order = Window.orderBy("from_arrival", "edge_id")
-        step = step.join(known, far, "left").withColumn("old", F.col("known").isNotNull())
-        first = F.row_number().over(Window.partitionBy(far).orderBy("from_arrival", "edge_id"))
-        step = step.withColumn("is_new", (~F.col("old") & (first == 1)).cast("int"))
-        if depth == max_depth:
-            if not step.where(~F.col("old")).isEmpty():
-                reason = "depth_limit"
-            reason = "work_limit" if spent else reason
-            step = step.where("old").withColumn("is_new", F.lit(0))
-        running = order.rowsBetween(Window.unboundedPreceding, 0)
-        step = cut(step.withColumn("nodes", F.sum("is_new").over(running) + n_nodes).withColumn("edges", F.row_number().over(order) + n_edges), folder, f"edges-{depth}")
-        over = step.where((F.col("nodes") > max_nodes) | (F.col("edges") > max_edges)).orderBy("edges").limit(1).collect()
+        step = step.withColumn("place", F.row_number().over(order)).where(F.col("place") <= work).join(known, far, "left")
+        first = F.row_number().over(Window.partitionBy(far).orderBy("place"))
+        is_new = F.col("known").isNull() & (first == 1)
+        # at the bound nodes are kept out, and edges to them aren't taken
+        step = step.withColumn("taken", (F.col("known").isNotNull() if last else F.lit(True)).cast("int")).withColumn("is_new", (F.lit(False) if last else is_new).cast("int"))
+        running = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        step = cut(step.withColumn("nodes", F.sum("is_new").over(running) + n_nodes).withColumn("edges", F.sum("taken").over(running) + n_edges), folder, f"edges-{depth}")
+        spent = spark.read.parquet(f"{folder}/level-{depth}").count() > work
+        over = step.where((F.col("taken") == 1) & ((F.col("nodes") > max_nodes) | (F.col("edges") > max_edges))).orderBy("place").limit(1).collect()
         if over:
-            reason = "node_limit" if over[0]["nodes"] > max_nodes else "edge_limit"
-            step = step.where(F.col("edges") < over[0]["edges"])
-        rows = step.select("edge_id", "source", "target", F.lit(depth + 1).alias("depth"))
+            ended = "node_limit" if over[0]["nodes"] > max_nodes else "edge_limit"
+            looked, step = over[0]["place"], step.where(F.col("place") < over[0]["place"])
+        else:
+            ended, looked = "work_limit" if spent else None, step.count()
+        examined += looked
+        if last:
+            at_bound, limited = looked, step.where("taken = 0").groupBy(F.col(near).alias("node_id")).agg(F.count("*").alias("n"))
+        rows = step.where("taken = 1").select("edge_id", "source", "target", F.lit(depth + 1).alias("depth"))
         taken = rows if taken is None else taken.unionByName(rows)
         frontier = cut(step.where("is_new = 1").select(F.col(far).alias("node_id"), F.lit(depth + 1).alias("depth"), F.col("nodes").cast("long").alias("arrival")), folder, f"nodes-{depth + 1}")
         seen, depth = seen.unionByName(frontier), depth + 1
-        reason = reason or ("work_limit" if spent else None)
         n_nodes, n_edges = seen.count(), taken.count()
         if frontier.isEmpty():
             break
-    return seen.select("node_id", "depth"), taken, reason
+    cut_off = limited is not None and not limited.isEmpty()
+    return Walk(seen, taken, ["depth_limit"] * cut_off + [ended] * (ended is not None), examined, at_bound, limited, edges.select(F.col(near).alias("node_id")))
+
+
+def walk_frontier(found: Walk) -> DataFrame:
+    """node_id, depth, edges, pending, limited of every returned node: its edges in the walk's direction, those not looked
+    at (with the one that ended the walk) and those to nodes beyond the depth bound. The frontier: pending or limited isn't 0."""
+    degrees = found.adjacency.join(found.nodes.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.count("*").alias("edges"))
+    placed = found.nodes.join(degrees, "node_id", "left").fillna(0, ["edges"])
+    # the walk looks at whole nodes in order of arrival; a window over the returned nodes, which max_nodes bounds
+    before = F.coalesce(F.sum("edges").over(Window.orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocked = bool(found.reasons) and found.reasons[-1] in ("node_limit", "edge_limit")
+    done = F.least(F.col("edges"), F.greatest(F.lit(0), F.lit(found.examined - blocked) - F.col("before")))
+    shown = placed.withColumn("before", before).withColumn("pending", F.col("edges") - done)
+    if found.limited is None:
+        return shown.select("node_id", "depth", "edges", "pending", F.lit(0).cast("long").alias("limited"))
+    return shown.join(found.limited, "node_id", "left").select("node_id", "depth", "edges", "pending", F.coalesce("n", F.lit(0)).alias("limited"))
+
+
+def walk_counters(found: Walk) -> DataFrame:
+    """One row: examined, examined_at_bound, fully_examined (nodes), returned_nodes, returned_edges, exhausted, reasons."""
+    nodes = walk_frontier(found).agg(F.count_if(F.col("pending") == 0).alias("fully_examined"), F.count("*").alias("returned_nodes"))
+    shown = nodes.join(found.edges.agg(F.count("*").alias("returned_edges")), F.lit(True))  # one row each
+    fixed = [F.lit(found.examined).cast("long").alias("examined"), F.lit(found.examined_at_bound).cast("long").alias("examined_at_bound")]
+    return shown.select(*fixed, "fully_examined", "returned_nodes", "returned_edges", F.lit(not found.reasons).alias("exhausted"), F.lit(",".join(found.reasons)).alias("reasons"))
 
 
 def paths(edges: DataFrame, source: str, target: str, max_depth: int = 16, max_paths: int = 20) -> DataFrame:

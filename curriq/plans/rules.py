@@ -10,6 +10,7 @@ from curriq.operators import evidence, progressions, scopes, search, statistics,
 from curriq.plans import views as V
 from curriq.plans.registry import query
 from curriq.session import cut, loop_dir, table
+from curriq.sources.packages import slim
 
 RULES = CodeRules()
 TOKENS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}]+')"
@@ -319,3 +320,81 @@ SELECT edge_id, CASE WHEN n > 3 THEN 'edge_limit' END AS reason FROM o, n""")
 def lp_traverse_reason(spark, sf):
     _, taken, reason = progressions.traverse(V.builds_towards(spark, sf), "P:1", max_depth=1, max_edges=3)
     return taken.where("depth = 1").select("edge_id", F.lit(reason if reason == "edge_limit" else None).cast("string").alias("reason"))
+
+
+@query(f"""
+WITH {V.BUILDS}, l1 AS (SELECT source, target FROM bt WHERE source = 'P:1'), k AS (SELECT 'P:1' AS node_id, 0 AS depth UNION ALL SELECT DISTINCT target, 1 FROM l1)
+SELECT k.node_id, k.depth::INTEGER AS depth, count(bt.edge_id) AS edges, 0::BIGINT AS pending, count(bt.edge_id) FILTER (WHERE k.depth = 1 AND bt.target NOT IN (SELECT node_id FROM k)) AS limited
+FROM k LEFT JOIN bt ON bt.source = k.node_id GROUP BY k.node_id, k.depth""")
+def lp_traverse_frontier(spark, sf):
+    return progressions.walk_frontier(progressions.walk(V.builds_towards(spark, sf), "P:1", max_depth=1))
+
+
+@query(f"""
+WITH {V.BUILDS}, o AS (SELECT edge_id, target, row_number() OVER (ORDER BY edge_id) AS n FROM bt WHERE source = 'P:1'), k AS (SELECT target FROM o WHERE n <= 3)
+SELECT 4::BIGINT AS examined, 0::BIGINT AS examined_at_bound, (SELECT count(*) FROM k WHERE target NOT IN (SELECT source FROM bt)) AS fully_examined, 4::BIGINT AS returned_nodes, 3::BIGINT AS returned_edges, FALSE AS exhausted, 'edge_limit' AS reasons
+WHERE (SELECT count(*) FROM o) > 3""")
+def lp_traverse_counters(spark, sf):
+    """The fourth edge ends the walk; no row where part 1 has none."""
+    counters = progressions.walk_counters(progressions.walk(V.builds_towards(spark, sf), "P:1", max_depth=5, max_edges=3))
+    return counters.where("reasons = 'edge_limit' AND examined = 4")
+
+
+@query("""
+WITH n AS (SELECT count(*)::BIGINT AS c FROM supplier)
+SELECT 'delivery-prefix' AS code, (s_suppkey - 1)::VARCHAR AS record_id FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'delivery-prefix-type', (s_suppkey - 1)::VARCHAR FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 'delivery-missing', lpad(p_partkey::VARCHAR, 12, '0') FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'delivery-surplus', lpad(p_partkey::VARCHAR, 12, '0') FROM part WHERE p_partkey % 50 = 0
+UNION ALL SELECT 'delivery-order', (c + 7)::VARCHAR FROM n UNION ALL SELECT 'delivery-order', (c + 8)::VARCHAR FROM n""")
+def findings_delivery(spark, sf):
+    """Suppliers are the hierarchy part's lines, parts the progression lines; parts 8 and 10 changed places."""
+    key = F.col("s_suppkey")
+    prefix = table(spark, sf, "supplier").select((key - 1).cast("long").alias("line"), F.when(key % 4 == 0, "relatesTo").otherwise("hasChild").alias("label"), F.col("s_name").alias("value"))
+    parts = table(spark, sf, "part").select("p_partkey", F.lit("buildsTowards").alias("label"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("edge_id"), F.col("p_name").alias("value"))
+    start = prefix.agg(F.count("*").alias("start"))
+    place = F.when(F.col("p_partkey") == 8, 10).when(F.col("p_partkey") == 10, 8).otherwise(F.col("p_partkey"))
+    own = parts.join(start, F.lit(True)).select((F.col("start") + place - 1).alias("line"), "label", "edge_id", F.when(F.col("p_partkey") % 50 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("value"))
+    first = prefix.select("line", "label", F.lit(None).cast("string").alias("edge_id"), F.when((F.col("line") + 1) % 3 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("value"))
+    return validation.report(evidence.normalized_delivery(first.unionByName(own), prefix, parts.drop("p_partkey"))).select("code", "record_id")
+
+
+@query(f"""
+WITH {V.BUILDS}
+SELECT 'topology-count' AS code, 'graph_edges' AS record_id, 'declared ' || (count(*) + 1) || ', observed ' || count(*) AS message FROM bt UNION ALL SELECT 'topology-count', 'cyclic_nodes', 'declared 2, observed 0'
+UNION ALL SELECT 'topology-cycle', 'x:1', 'on a cycle or below one' UNION ALL SELECT 'topology-cycle', 'x:2', 'on a cycle or below one'""")
+def findings_topology(spark, sf):
+    """Counts of the progression edges, two of them wrong; the hierarchy with a cycle of two edges."""
+    edges = cut(V.builds_towards(spark, sf).select("edge_id", "source", "target"), loop_dir(spark), "edges")
+    facts = edges.agg(F.count("*").alias("e")).join(edges.select(F.explode(F.array("source", "target")).alias("v")).agg(F.count_distinct("v").alias("v")), F.lit(True))
+    declared = facts.select(F.expr("stack(4, 'graph_edges', e + 1, 'graph_nodes', v, 'cyclic_edges', 0L, 'cyclic_nodes', 2L) AS (name, n)"))
+    loop = spark.createDataFrame([("x:1", "a", "b"), ("x:2", "b", "a")], "edge_id string, source string, target string")
+    return _findings([evidence.topology_counts(edges, declared), evidence.topology_cycles(V.tree(spark, sf).select("edge_id", "source", "target").unionByName(loop))])
+
+
+@query("""
+WITH d AS (SELECT doc_id FROM documents) SELECT 'archive-record' AS code, 'framework_id' AS record_id, 'en and fr' AS message
+UNION ALL SELECT 'file-missing', 'doc/' || doc_id, 'declared and not there' FROM d WHERE doc_id % 7 = 0 UNION ALL SELECT 'file-size', 'doc/' || doc_id, 'another size' FROM d WHERE doc_id % 7 = 1
+UNION ALL SELECT 'file-checksum', 'doc/' || doc_id, 'another checksum' FROM d WHERE doc_id % 7 = 2 UNION ALL SELECT 'file-undeclared', 'doc/x', 'there and not declared'""")
+def findings_archive(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("n_chars").cast("long").alias("size"))
+    kind = F.col("k") % 7
+    there = docs.where(kind != 0).select("path", F.when(kind == 2, "0").otherwise(F.col("sha256")).alias("sha256"), F.when(kind == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size")).unionByName(spark.createDataFrame([("doc/x", "0", 1)], "path string, sha256 string, size long"))
+    return _findings([evidence.archive({"framework_id": "en", "snapshot_id": "1"}, {"framework_id": "fr", "snapshot_id": "1"}, docs.drop("k"), there)])
+
+
+@query(f"""
+WITH {V.BUILDS}
+SELECT 'slim-missing' AS code, edge_id AS record_id FROM bt WHERE s % 13 = 0 UNION ALL SELECT 'slim-surplus', 'x:1' UNION ALL SELECT 'slim-derivation', edge_id FROM bt WHERE s % 13 = 1
+UNION ALL SELECT 'slim-record-missing', edge_id FROM bt WHERE s % 13 = 0 UNION ALL SELECT 'slim-record-surplus', 'x:1' UNION ALL SELECT 'slim-record-mismatch', edge_id FROM bt WHERE s % 13 IN (1, 2) UNION ALL SELECT 'slim-record-twice', edge_id FROM bt WHERE s % 13 = 3""")
+def findings_slim(spark, sf):
+    """Full records made slim, some of them lost, changed (1), with another key (2) or twice (3)."""
+    edges = cut(V.builds_towards(spark, sf), loop_dir(spark), "edges")
+    key = F.concat_ws(":", F.lit("lc:curriculum:K:relationship"), "label", "source", "target")
+    full = edges.select("edge_id", F.col("label").alias("decision"), F.col("source").alias("source_uuid"), F.col("target").alias("target_uuid"), F.when(F.col("s") % 13 == 2, "other").otherwise(key).alias("identity_key"), F.repeat(F.lit("reason "), 20).alias("rationale"), "s")
+    derived = slim(full, ["rationale"])
+    kind = F.col("s") % 13
+    shipped = derived.where(kind != 0).withColumn("decision", F.when(kind == 1, "relatesTo").otherwise(F.col("decision")))
+    surplus = spark.range(1).select(F.lit("x:1").alias("edge_id"), *[F.lit(None).cast(t).alias(c) for c, t in derived.dtypes if c != "edge_id"])
+    shipped = shipped.unionByName(surplus)
+    twice = shipped.unionByName(shipped.where(kind == 3))
+    found = [*evidence.slim_derivation(shipped, derived, "edge_id"), *evidence.slim_records(twice.select("edge_id", "decision", "source_uuid", "target_uuid", "identity_key"), edges, "K")]
+    return validation.report(found).select("code", "record_id")

@@ -84,6 +84,41 @@ def test_work_limit(spark, monkeypatch):
     assert reason == "depth_limit" and sorted(r.edge_id for r in taken.collect()) == ["a", "c"]
 
 
+def test_walk_tells_its_frontier(spark, monkeypatch):
+    """root > a, b; a > c; b > c, d; c > d, in order of edge ids."""
+    edges = edges_of(spark, DIAMOND)
+    of = lambda found: {r.node_id: (r.depth, r.edges, r.pending, r.limited) for r in progressions.walk_frontier(found).collect()}
+    counters = lambda found: tuple(progressions.walk_counters(found).first())
+    whole = progressions.walk(edges, "root", max_depth=5)
+    assert counters(whole) == (6, 0, 5, 5, 6, True, "") and all(v[2:] == (0, 0) for v in of(whole).values())
+    bound = progressions.walk(edges, "root", max_depth=1)
+    assert bound.reasons == ["depth_limit"] and of(bound) == {"root": (0, 2, 0, 0), "a": (1, 1, 0, 1), "b": (1, 2, 0, 2)}
+    assert counters(bound) == (5, 3, 3, 3, 2, False, "depth_limit")
+    ended = progressions.walk(edges, "root", max_depth=5, max_edges=3)
+    assert ended.reasons == ["edge_limit"] and of(ended) == {"root": (0, 2, 0, 0), "a": (1, 1, 0, 0), "b": (1, 2, 2, 0), "c": (2, 1, 1, 0)}
+    assert counters(ended) == (4, 0, 2, 4, 3, False, "edge_limit")
+    monkeypatch.setattr(progressions, "MAX_EXAMINED", 4)
+    spent = progressions.walk(edges, "root", max_depth=1)
+    assert spent.reasons == ["depth_limit", "work_limit"] and of(spent)["b"] == (1, 2, 1, 1)
+    assert of(progressions.walk(edges, "nowhere", max_depth=2)) == {"nowhere": (0, 0, 0, 0)}
+
+
+def test_delivery_lines(spark):
+    from curriq.operators import evidence, validation
+
+    lines = lambda rows: spark.createDataFrame(rows, "line long, label string, edge_id string, value string")
+    prefix = lines([(0, "hasChild", None, "p0"), (1, "supports", None, "p1")])
+    tail = [("buildsTowards", "a", "va"), ("relatesTo", "b", "vb")]
+    suffix = spark.createDataFrame(tail, "label string, edge_id string, value string")
+    check = lambda d, p=prefix: sorted(r.code for r in validation.report(evidence.normalized_delivery(d, p, suffix)).collect())
+    head = [(0, "hasChild", None, "p0"), (1, "supports", None, "p1")]
+    assert check(lines(head + [(2, *tail[0]), (3, *tail[1])])) == []
+    assert check(lines(head + [(2, *tail[1]), (3, *tail[0])])) == ["delivery-order"]
+    assert check(lines(head + [(2, *tail[0]), (3, *tail[1]), (4, *tail[1])])) == ["delivery-surplus"]
+    assert check(lines([(0, "hasChild", None, "x"), head[1], (2, *tail[0])])) == ["delivery-missing", "delivery-prefix"]
+    assert check(lines([(0, *tail[0]), (1, *tail[1])]), prefix.where("false")) == []
+
+
 def test_filters_are_checked():
     from curriq.operators import scopes
 
