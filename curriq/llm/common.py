@@ -82,6 +82,20 @@ def give_back() -> None:
         trim(0)
 
 
+_held: dict[tuple, object] = {}
+
+
+def keep_one(operator: str, key, make: Callable):
+    """What a Python worker keeps between tasks, made once. Spark hands workers from stage to stage, so a worker holds one
+    such thing at a time: another operator's tables, index or tokenizer goes when the next one is made."""
+    if (operator, key) not in _held:
+        _held.clear()
+        give_back()
+        _held[operator, key] = make()
+        give_back()  # what making it took
+    return _held[operator, key]
+
+
 def released(task: Callable) -> Callable:
     """A function for mapInArrow that gives freed memory back at its end."""
 

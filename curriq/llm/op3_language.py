@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curriq.llm.common import bucket_of, released, spread, table
+from curriq.llm.common import bucket_of, keep_one, released, spread, table
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -173,15 +173,9 @@ def fit(docs: DataFrame) -> Network | None:
     return train(windows, np.array([place[r[1]] for r in got]), names)
 
 
-_applied: dict[int, tuple] = {}
-
-
 def _scores(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the best language, its probability) of each text."""
-    if id(net) not in _applied:
-        _applied.clear()
-        _applied[id(net)] = (net, net.tables())
-    tables = _applied[id(net)][1]
+    tables = keep_one("op3", id(net), lambda: (net, net.tables()))[1]  # holds the network too, so that its id stays its own
     sums, total = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts))
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     windows, owner, sizes = windows_of(raw)

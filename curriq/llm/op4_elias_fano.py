@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curriq.llm.common import cut, give_back, released, shared_dir, spread, table
+from curriq.llm.common import cut, keep_one, released, shared_dir, spread, table
 
 END_ID = 2
 #: Ids of a shard: it is closed with the document that reaches this number.
@@ -286,14 +286,8 @@ class PieceTokenizer:
         return ids, lengths
 
 
-_tokenizers: dict[str, PieceTokenizer] = {}
-
-
 def tokenizer(path: str) -> PieceTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = PieceTokenizer(path)
-        give_back()  # what parsing the file took
-    return _tokenizers[path]
+    return keep_one("op4", path, lambda: PieceTokenizer(path))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.llm.common import SHINGLE, chunks, mix, released, shingle_hashes, spread, table, word_hashes
+from curriq.llm.common import SHINGLE, chunks, keep_one, mix, released, shingle_hashes, spread, table, word_hashes
 
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 18, 4, 16
@@ -219,14 +219,8 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_indexes: dict[int, ItemIndex] = {}
-
-
 def _index(shared) -> ItemIndex:
-    if shared.id not in _indexes:
-        _indexes.clear()
-        _indexes[shared.id] = ItemIndex(shared.value)
-    return _indexes[shared.id]
+    return keep_one("op7", shared.id, lambda: ItemIndex(shared.value))
 
 
 class _Shared:
