@@ -16,6 +16,8 @@ MODULES = {
     "op8_bagminhash_dedup": "op8_dedup",
     "op9_bloom_url_filter": "op9_urls",
     "op10_weighted_mix": "op10_mix",
+    "op11_line_dedup": "op11_lines",
+    "op12_prefix_trie": "op12_trie",
 }
 
 
