@@ -18,6 +18,7 @@ MODULES = {
     "op10_weighted_mix": "op10_mix",
     "op11_line_dedup": "op11_lines",
     "op12_prefix_trie": "op12_trie",
+    "op13_token_alignment": "op13_alignment",
 }
 
 
