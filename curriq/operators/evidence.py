@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curriq.operators.traversal import peel
-from curriq.operators.validation import declared_against_observed, finding
-
-DIRECTED, UNDIRECTED = ("buildsTowards",), ("relatesTo", "noRelationship", "needsReview")
+from curriq.operators.validation import DECISIONS, claim_endpoints, decision_counts, declared_against_observed, finding
 
 
 def field_equality(rows: DataFrame, record: str, pairs: dict[str, tuple[str, str]], code: str) -> DataFrame:
@@ -76,29 +74,65 @@ def disjoint_ids(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return finding(new.select(key).intersect(existing.select(key)), "id-taken", key, "the id is in use")
 
 
-def claim_rules(claims: DataFrame, items: DataFrame) -> list[DataFrame]:
-    """claims (claim_id, first_id, second_id, decision, direction): known and different ends in order of ids, a direction
-    for directed decisions and none for others, and one claim for each unordered pair."""
-    ends = claims.select("claim_id", F.explode(F.array("first_id", "second_id")).alias("node_id"))
-    directed = F.col("decision").isin(*DIRECTED)
-    has = F.col("direction").isin("first_to_second", "second_to_first")
-    pair = claims.groupBy(F.least("first_id", "second_id").alias("x"), F.greatest("first_id", "second_id").alias("y")).agg(F.count("*").alias("n"), F.min("claim_id").alias("claim_id"))
+def claim_rules(claims: DataFrame) -> list[DataFrame]:
+    """Final claims, published or not, each against its candidate and its trace.
+
+    claims: pair_id, first_id, second_id, decision, direction, source, target; candidate (pair_id, first_id, second_id,
+    admissible: decisions with directions) and producer (pair_id, first_id, second_id) as structs. A claim decides on its
+    candidate's pair, whose ends differ, in one of the ways that the candidate admits; its ends may be in any order. Only
+    buildsTowards has a direction, the published ends follow from both, and a pair, in whatever order, is decided once.
+    """
+    same = lambda other: F.struct("pair_id", "first_id", "second_id").eqNullSafe(F.struct(*[F.col(f"{other}.{c}") for c in ("pair_id", "first_id", "second_id")]))
+    admitted = F.exists("candidate.admissible", lambda a: a["decision"].eqNullSafe(F.col("decision")) & a["direction"].eqNullSafe(F.col("direction")))
+    ends = F.struct("source", "target")
+    derived = claim_endpoints(claims.withColumn("own", ends))
+    low, high = F.least("first_id", "second_id"), F.greatest("first_id", "second_id")
+    pairs = claims.groupBy(low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"), F.min("pair_id").alias("pair_id")).where("n > 1")
+    ids = claims.groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1")
+    directed = F.col("decision") == "buildsTowards"
     return [
-        finding(ends.join(items.select("node_id"), "node_id", "left_anti").select("claim_id").distinct(), "claim-endpoint", "claim_id", "an end is no item"), finding(claims.where("NOT first_id < second_id"), "claim-order", "claim_id", "ends aren't in order of ids"),
-        finding(claims.where(~F.col("decision").isin(*DIRECTED, *UNDIRECTED)), "claim-decision", "claim_id", "unknown decision"), finding(claims.where((directed & ~F.coalesce(has, F.lit(False))) | (~directed & F.col("direction").isNotNull())), "claim-direction", "claim_id", "direction and decision don't fit"),
-        finding(pair.where("n > 1"), "claim-pair", "claim_id", "several claims of a pair"),
+        finding(claims.where(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False))), "claim-decision", "pair_id", "unknown decision"),
+        finding(claims.where(directed != F.col("direction").isNotNull()), "lp_judgment_direction", "pair_id", "only buildsTowards has a direction"),
+        finding(claims.where(~(same("candidate") & (F.col("first_id") != F.col("second_id")) & admitted)), "lp_claim_identity_mismatch", "pair_id", "not a decision that the candidate pair admits"),
+        finding(derived.where(~F.col("own").eqNullSafe(ends)), "lp_claim_endpoint_mismatch", "pair_id", "ends don't follow from decision and direction"),
+        finding(claims.where(~same("producer")), "lp_trace_identity_mismatch", "pair_id", "the producer judged another pair"),
+        finding(pairs, "lp_final_pair_conflict", "pair_id", "several claims of a pair"), finding(ids, "lp_final_pair_conflict", "pair_id", "several claims of a pair id"),
     ]
 
 
-def credit(edges: DataFrame, provenance: DataFrame, shown: Column) -> DataFrame:
-    """Edges whose author credit isn't the identity string that their provenance (edge_id, ...) gives."""
-    return finding(edges.join(provenance, "edge_id").where(~F.col("author").eqNullSafe(shown)), "source-credit", "edge_id", F.concat(F.lit("expected "), shown))
+def review_rules(claims: DataFrame, unresolved: DataFrame, declared: DataFrame, content: str = "content") -> list[DataFrame]:
+    """The excluded claims (unresolved: pair_id, content) are those that need review, value for value and as often; and
+    declared counts (name: total_needs_review, total_claims and the four decisions; n) are the claims'."""
+    times = lambda rows, n: rows.groupBy("pair_id", F.sha2(F.col(content).cast("binary"), 256).alias("hash")).agg(F.count("*").alias(n))
+    review = claims.where("decision = 'needs_review'")
+    met = times(review, "n").join(times(unresolved, "m"), ["pair_id", "hash"], "full_outer").where("NOT (n <=> m)").select("pair_id").distinct()
+    totals = claims.agg(F.count("*").alias("c"), F.count_if(F.col("decision") == "needs_review").alias("r")).select(F.expr("stack(2, 'total_claims', c, 'total_needs_review', r) AS (name, n)"))
+    observed = decision_counts(claims).withColumnRenamed("decision", "name").unionByName(totals)
+    return [finding(met, "lp_unresolved_mismatch", "pair_id", "not in review and excluded alike"), declared_counts(declared, observed, "lp_final_counts_mismatch")]
 
 
-def cycle_counts(cycles: DataFrame, declared: DataFrame) -> DataFrame:
-    """Diagnostics of cycles (cycle_id, node_id, edge_id) against the report's counts (name, n): cycles, nodes, edges."""
-    facts = cycles.agg(F.count_distinct("cycle_id").alias("cycles"), F.count_distinct("node_id").alias("nodes"), F.count_distinct("edge_id").alias("edges"))
-    return declared_counts(declared, facts.select(F.expr("stack(3, 'cycles', cycles, 'nodes', nodes, 'edges', edges) AS (name, n)")), "cycle-count")
+def credit(edges: DataFrame, roots: DataFrame, provenance: DataFrame, generator: str, approver: str, template: str) -> DataFrame:
+    """Edges whose credit isn't that of their generator and of their framework's root.
+
+    edges: edge_id, package_id, label, source, target, author, provider, license, attribution_statement. roots, a row a
+    package: package_id, and name, author, provider, license, attribution_statement, case_identifier_uuid. provenance:
+    edge_id, doc_key, identity_key, approved_by, template and source, a struct of the root's fields (its name as title).
+    The template's {source_attribution_statement} stands for the root's statement.
+    """
+    if template.count("{source_attribution_statement}") != 1:
+        raise ValueError("the template names the source's statement once")
+    fields = ("attribution_statement", "author", "case_identifier_uuid", "license", "provider", "title")
+    root = roots.select("package_id", F.struct(*[F.col("name" if f == "title" else f).alias(f) for f in fields]).alias("root"))
+    before, after = template.split("{source_attribution_statement}")
+    own = edges.join(root, "package_id", "left").join(provenance.withColumnRenamed("source", "__source"), "edge_id", "left")
+    identity = F.concat(F.lit("lc:curriculum:"), F.col("doc_key"), F.lit(":relationship:"), F.col("label"), F.lit(":"), F.col("source"), F.lit(":"), F.col("target"))
+    wanted = {
+        **{f"source {f}": (F.col("__source")[f], F.col("root")[f]) for f in fields}, "identity key": (F.col("identity_key"), identity), "approval": (F.col("approved_by"), F.lit(approver)), "provider": (F.col("provider"), F.lit(approver)),
+        "author": (F.col("author"), F.lit(generator)), "license": (F.col("license"), F.col("root.license")), "template": (F.col("template"), F.lit(template)),
+        "statement": (F.col("attribution_statement"), F.concat(F.lit(before), F.col("root.attribution_statement"), F.lit(after))),
+    }
+    told = F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.lit(name)) for name, (a, b) in wanted.items()]))
+    return finding(own.withColumn("__told", told).where(F.size("__told") > 0), "lp_source_credit_mismatch", "edge_id", F.array_join("__told", ", "))
 
 
 def shard_index(declared: DataFrame, observed: DataFrame, shards: int = 64) -> list[DataFrame]:

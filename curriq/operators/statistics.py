@@ -54,12 +54,14 @@ def shard_of(key: str, shards: int = 64):
 
 
 def bucketed_digest(rows: DataFrame, key: str, value: str, shards: int = 64) -> DataFrame:
-    """(bucket, n, sha256) for each shard of keys, in two levels: values with the same first three hex digits of their hash
-    are hashed together in order, and a shard's at most 4,096 such hashes once more, so that no task gathers a shard."""
-    marked = rows.select(shard_of(key, shards), F.sha2(F.col(value), 256).alias("h"))
+    """(bucket, n, sha256) for each shard of keys, in three levels: equal values are counted, those with the same first three
+    hex digits of their hash are hashed together in order, each with its count, and a shard's at most 4,096 such hashes once
+    more. So no task gathers a shard, and a value that very many rows have is one line."""
+    marked = rows.select(shard_of(key, shards), F.sha2(F.col(value), 256).alias("h")).groupBy("bucket", "h").agg(F.count("*").alias("n"))
     line = lambda c: F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list(c)), "\n"), F.lit("\n")), 256)
-    parts = marked.groupBy("bucket", F.substring("h", 1, 3).alias("head")).agg(F.count("*").alias("n"), line("h").alias("part"))
-    return parts.groupBy("bucket").agg(F.sum("n").alias("n"), line(F.concat("head", "part")).alias("sha256"))
+    counted = F.concat_ws(" ", F.coalesce("h", F.lit("null")), F.col("n").cast("string"))
+    parts = marked.groupBy("bucket", F.substring("h", 1, 3).alias("head")).agg(F.sum("n").alias("n"), line(counted).alias("part"))
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n"), line(F.concat(F.coalesce("head", F.lit("null")), "part")).alias("sha256"))
 
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curriq.operators.traversal import peel, reachable
 
 LABELS = ("hasChild", "supports", "buildsTowards", "relatesTo")
-DECISIONS = ("buildsTowards", "relatesTo", "noRelationship", "needsReview")
+#: What a claim on two standards can decide; the first two are published as edges.
+DECISIONS = ("buildsTowards", "relatesTo", "no_relation", "needs_review")
 
 
 def finding(rows: DataFrame, code: str, record: str, message: Column | str, severity: str = "error") -> DataFrame:
@@ -34,9 +35,18 @@ def status(findings: DataFrame, quarantine: bool = False) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, keys: list[str], code: str, record: str, order: str = "seo") -> DataFrame:
-    """Every row but the first of its key."""
-    w = Window.partitionBy(*keys).orderBy(order, record)
-    return finding(rows.withColumn("r", F.row_number().over(w)).where("r > 1"), code, record, F.concat_ws(" ", F.lit("repeats"), *[F.col(k).cast("string") for k in keys]))
+    """Every row but the first of its key, by (order, record); of rows that are equal in both, one is the first.
+
+    Rows are counted by (key, order, record) and each key's least comes from partial aggregates, so a frequent key isn't
+    gathered in one task.
+    """
+    place = [order] if record == order else [order, record]
+    own = [k for k in keys if k not in place]
+    known = rows.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys))).groupBy(*own, *place).agg(F.count("*").alias("times"))
+    first = known.groupBy(*keys).agg(F.min(F.struct(*place)).alias("__first"), F.sum("times").alias("__all")).where("__all > 1")
+    later = known.join(first, keys).withColumn("times", F.col("times") - (F.struct(*place) == F.col("__first")).cast("long")).where("times > 0")
+    later = later.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return finding(later, code, record, F.concat_ws(" ", F.lit("repeats"), *[F.col(k).cast("string") for k in keys]))
 
 
 def node_identity(nodes: DataFrame) -> list[DataFrame]:
@@ -132,8 +142,9 @@ def orphan_components(nodes: DataFrame, supports: DataFrame) -> DataFrame:
 def progression_graph(edges: DataFrame, standards: DataFrame) -> list[DataFrame]:
     """Endpoints that are no standards, self loops, relatesTo not in canonical order, and pairs that two edges join."""
     ids = standards.select("node_id")
-    pair = Window.partitionBy(F.least("source", "target"), F.greatest("source", "target"))
-    twice = edges.withColumn("n", F.count("*").over(pair)).where("n > 1")
+    pair = {"low": F.least("source", "target"), "high": F.greatest("source", "target")}
+    several = edges.withColumns(pair).groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1")
+    twice = edges.withColumns(pair).join(several, ["low", "high"])
     return [
         *[finding(edges.join(ids.withColumnRenamed("node_id", end), end, "left_anti"), f"lp-{end}", "edge_id", f"the {end} is no standard") for end in ("source", "target")],
         finding(edges.where("source = target"), "lp-self-loop", "edge_id", "source and target are the same"), finding(edges.where("label = 'relatesTo' AND source > target"), "lp-order", "edge_id", "relatesTo isn't in order of ids"), finding(twice, "lp-pair", "edge_id", "another edge joins the pair"),
@@ -147,9 +158,11 @@ def decision_counts(claims: DataFrame, decision: str = "decision") -> DataFrame:
 
 
 def claim_endpoints(claims: DataFrame) -> DataFrame:
-    """claims (first_id, second_id, direction) with source and target; none for directions that name no order."""
-    forward, back = F.col("direction") == "first_to_second", F.col("direction") == "second_to_first"
-    return claims.withColumn("source", F.when(forward, F.col("first_id")).when(back, F.col("second_id"))).withColumn("target", F.when(forward, F.col("second_id")).when(back, F.col("first_id")))
+    """claims (first_id, second_id, decision, direction) with the source and target that they publish: in the direction's
+    order for buildsTowards, in order of ids for relatesTo, none for other decisions."""
+    ends = F.array("first_id", "second_id")
+    pair = F.when(F.col("decision") == "buildsTowards", F.when(F.col("direction") == "second_to_first", F.reverse(ends)).otherwise(ends)).when(F.col("decision") == "relatesTo", F.sort_array(ends))
+    return claims.withColumns({"source": pair[0], "target": pair[1]})
 
 
 def declared_against_observed(declared: DataFrame, observed: DataFrame) -> DataFrame:

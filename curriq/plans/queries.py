@@ -397,8 +397,8 @@ def stat_labels(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT (('0x' || substr(sha256(doc_id::VARCHAR), 1, 2))::BIGINT % 64)::BIGINT AS bucket, sha256(text) AS h FROM documents),
-p AS (SELECT bucket, substr(h, 1, 3) AS head, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h) || chr(10)) AS part FROM m GROUP BY ALL)
+WITH m AS (SELECT (('0x' || substr(sha256(doc_id::VARCHAR), 1, 2))::BIGINT % 64)::BIGINT AS bucket, sha256(text) AS h, count(*) AS n FROM documents GROUP BY ALL),
+p AS (SELECT bucket, substr(h, 1, 3) AS head, sum(n)::BIGINT AS n, sha256(string_agg(h || ' ' || n, chr(10) ORDER BY h) || chr(10)) AS part FROM m GROUP BY ALL)
 SELECT bucket, sum(n)::BIGINT AS n, sha256(string_agg(head || part, chr(10) ORDER BY head || part) || chr(10)) AS sha256 FROM p GROUP BY bucket""")
 def shard_digest(spark, sf):
     return statistics.bucketed_digest(table(spark, sf, "documents"), "doc_id", "text")
@@ -441,13 +441,13 @@ def _parent_findings(spark: SparkSession, sf: str, edges: DataFrame) -> DataFram
 WITH {V.PROGRESSIONS}, e AS (SELECT source, target, label FROM lp UNION ALL SELECT 'P:2', 'P:1', 'relatesTo' UNION ALL SELECT 'P:3', 'P:3', 'buildsTowards' UNION ALL SELECT target, source, 'buildsTowards' FROM bt WHERE source = 'P:1'),
 w AS (SELECT *, count(*) OVER (PARTITION BY least(source, target), greatest(source, target)) AS n FROM e)
 SELECT 'lp-order' AS item, count(*)::BIGINT AS n FROM e WHERE label = 'relatesTo' AND source > target UNION ALL SELECT 'lp-self-loop', count(*)::BIGINT FROM e WHERE source = target UNION ALL SELECT 'lp-pair', count(*)::BIGINT FROM w WHERE n > 1
-UNION ALL SELECT d, (SELECT count(*) FROM labels WHERE CASE WHEN toxic = 1 THEN 'needsReview' WHEN quality = 1 THEN 'buildsTowards' ELSE 'noRelationship' END = d)::BIGINT FROM (SELECT unnest(['buildsTowards', 'relatesTo', 'noRelationship', 'needsReview']) AS d)""")
+UNION ALL SELECT d, (SELECT count(*) FROM labels WHERE CASE WHEN toxic = 1 THEN 'needs_review' WHEN quality = 1 THEN 'buildsTowards' ELSE 'no_relation' END = d)::BIGINT FROM (SELECT unnest(['buildsTowards', 'relatesTo', 'no_relation', 'needs_review']) AS d)""")
 def findings_lp(spark, sf):
     edges = V.progressions(spark, sf).select("edge_id", "label", "source", "target")
     planted = spark.createDataFrame([("x1", "relatesTo", "P:2", "P:1"), ("x2", "buildsTowards", "P:3", "P:3")], "edge_id string, label string, source string, target string")
     turned = edges.where("source = 'P:1' AND label = 'buildsTowards'").select(F.concat(F.lit("x:"), "edge_id").alias("edge_id"), "label", F.col("target").alias("source"), F.col("source").alias("target"))
     found = validation.report(validation.progression_graph(edges.unionByName(planted).unionByName(turned), V.part_nodes(spark, sf))).groupBy(F.col("code").alias("item")).agg(F.count("*").alias("n"))
-    decided = table(spark, sf, "labels").select(F.when(F.col("toxic") == 1, "needsReview").when(F.col("quality") == 1, "buildsTowards").otherwise("noRelationship").alias("decision"))
+    decided = table(spark, sf, "labels").select(F.when(F.col("toxic") == 1, "needs_review").when(F.col("quality") == 1, "buildsTowards").otherwise("no_relation").alias("decision"))
     return found.unionByName(validation.decision_counts(decided).withColumnRenamed("decision", "item"))
 
 

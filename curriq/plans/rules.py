@@ -207,30 +207,63 @@ def findings_components(spark, sf):
     return _findings(evidence.properties(rows, "o_orderkey", ["priority"], ["status"]))
 
 
+CLAIMS = f"""{V.BUILDS},
+c AS (SELECT s, t, 'c:' || s || '>' || t AS pair_id, 'P:' || s AS f, 'P:' || t AS g, CASE s % 4 WHEN 0 THEN 'relatesTo' WHEN 1 THEN 'no_relation' WHEN 2 THEN 'needs_review' ELSE 'buildsTowards' END AS decision, CASE WHEN s % 4 = 3 OR t % 19 = 0 THEN CASE WHEN t % 2 = 0 THEN 'first_to_second' ELSE 'second_to_first' END END AS direction FROM bt)"""
+
+
+def _claims(spark, sf) -> DataFrame:
+    """A claim on each pair of parts; every 19th part has claims with a direction, whatever they decide, every 23rd candidates
+    that admit one decision less, every 29th other ends, every 31st a producer of another pair; part 5's are there again, turned."""
+    edges = cut(V.builds_towards(spark, sf).select("s", "t", "source", "target"), loop_dir(spark), "edges")
+    kind = F.col("s") % 4
+    decision = F.when(kind == 0, "relatesTo").when(kind == 1, "no_relation").when(kind == 2, "needs_review").otherwise("buildsTowards")
+    direction = F.when((kind == 3) | (F.col("t") % 19 == 0), F.when(F.col("t") % 2 == 0, "first_to_second").otherwise("second_to_first"))
+    both = edges.select("s", "t", F.concat(F.lit("c:"), F.col("s").cast("string"), F.lit(">"), F.col("t").cast("string")).alias("pair_id"), F.col("source").alias("first_id"), F.col("target").alias("second_id"), decision.alias("decision"), direction.alias("direction"))
+    turned = both.where("s = 5").select("s", "t", F.concat("pair_id", F.lit("!")).alias("pair_id"), F.col("second_id").alias("first_id"), F.col("first_id").alias("second_id"), "decision", "direction")
+    ends = validation.claim_endpoints(both.unionByName(turned))
+    own = [F.col(c) for c in ("first_id", "second_id")]
+    admissible = F.array(F.struct(F.col("decision"), F.col("direction")), F.struct(F.lit("needs_review").alias("decision"), F.lit(None).cast("string").alias("direction")))
+    ends = ends.withColumn("candidate", F.struct("pair_id", *own, F.when(F.col("t") % 23 != 0, admissible).otherwise(F.slice(admissible, 2, 1)).alias("admissible")))
+    ends = ends.withColumn("producer", F.struct(F.when(F.col("t") % 31 == 0, "x").otherwise(F.col("pair_id")).alias("pair_id"), *own))
+    return ends.withColumn("source", F.when(F.col("t") % 29 == 0, "nobody").otherwise(F.col("source")))
+
+
 @query(f"""
-WITH {V.BUILDS}, c AS (SELECT 'c:P:' || s || '>P:' || t AS claim_id, s, t, 'P:' || s AS f, 'P:' || t AS g, s % 5 <> 0 AS directed, t % 4 <> 0 AS has FROM bt),
-e AS (SELECT claim_id, f, g, directed, has, s, t FROM c UNION ALL SELECT claim_id || '!', g, f, directed, has, t, s FROM c WHERE s = 1)
-SELECT 'claim-endpoint' AS code, claim_id AS record_id FROM e WHERE s % 50 = 0 OR t % 50 = 0 UNION ALL SELECT 'claim-order', claim_id FROM e WHERE f >= g UNION ALL SELECT 'claim-direction', claim_id FROM e WHERE directed <> has
-UNION ALL SELECT 'claim-pair', min(claim_id) FROM e GROUP BY least(f, g), greatest(f, g) HAVING count(*) > 1
+WITH {CLAIMS}, e AS (SELECT * FROM c UNION ALL SELECT s, t, pair_id || '!', g, f, decision, direction FROM c WHERE s = 5)
+SELECT 'lp_judgment_direction' AS code, pair_id AS record_id FROM e WHERE t % 19 = 0 AND s % 4 <> 3 UNION ALL SELECT 'lp_claim_identity_mismatch', pair_id FROM e WHERE t % 23 = 0 AND NOT (s % 4 = 2 AND t % 19 <> 0)
+UNION ALL SELECT 'lp_claim_endpoint_mismatch', pair_id FROM e WHERE t % 29 = 0 UNION ALL SELECT 'lp_trace_identity_mismatch', pair_id FROM e WHERE t % 31 = 0
+UNION ALL SELECT 'lp_final_pair_conflict', pair_id FROM c WHERE s = 5
+UNION ALL SELECT 'lp_unresolved_mismatch', pair_id FROM e WHERE decision = 'needs_review' AND t % 13 = 0
+UNION ALL SELECT 'lp_final_counts_mismatch', 'no_relation' UNION ALL SELECT 'lp_final_counts_mismatch', 'total_needs_review' WHERE EXISTS (SELECT 1 FROM e WHERE decision = 'needs_review' AND t % 13 = 0)
 UNION ALL SELECT 'provenance-missing', edge_id FROM bt WHERE s % 13 = 0 UNION ALL SELECT 'provenance-surplus', 'x:1' UNION ALL SELECT 'id-taken', edge_id FROM bt WHERE s = 2""")
 def findings_evidence(spark, sf):
-    edges = cut(V.builds_towards(spark, sf), loop_dir(spark), "edges")
-    claims = edges.select(F.concat(F.lit("c:"), "source", F.lit(">"), "target").alias("claim_id"), F.col("source").alias("first_id"), F.col("target").alias("second_id"), F.when(F.col("s") % 5 == 0, "relatesTo").otherwise("buildsTowards").alias("decision"), F.when(F.col("t") % 4 != 0, "first_to_second").alias("direction"))
-    turned = claims.where("first_id = 'P:1'").select(F.concat("claim_id", F.lit("!")).alias("claim_id"), F.col("second_id").alias("first_id"), F.col("first_id").alias("second_id"), "decision", "direction")
-    items = table(spark, sf, "part").where("p_partkey % 50 <> 0").select(V.ident("P", "p_partkey").alias("node_id"))
+    claims = cut(_claims(spark, sf).withColumn("content", F.to_json(F.struct("pair_id", "first_id", "second_id", "decision"))), loop_dir(spark), "claims")
+    excluded = claims.where("decision = 'needs_review' AND t % 13 <> 0")
+    declared = claims.groupBy(F.col("decision").alias("name")).agg(F.count("*").alias("n")).withColumn("n", F.col("n") + (F.col("name") == "no_relation").cast("long"))
+    totals = claims.agg(F.count("*").alias("n")).select(F.lit("total_claims").alias("name"), "n").unionByName(excluded.agg(F.count("*").alias("n")).select(F.lit("total_needs_review").alias("name"), "n"))
+    edges = V.builds_towards(spark, sf)
     records = edges.where("s % 13 <> 0").select("edge_id").unionByName(spark.createDataFrame([("x:1",)], "edge_id string"))
-    found = [*evidence.claim_rules(claims.unionByName(turned), items), *evidence.exact_cover(records, edges.select("edge_id"), "edge_id", "provenance"), evidence.disjoint_ids(edges, edges.where("s = 2"), "edge_id")]
+    found = [*evidence.claim_rules(claims), *evidence.review_rules(claims, excluded, declared.unionByName(totals)), *evidence.exact_cover(records, edges.select("edge_id"), "edge_id", "provenance"), evidence.disjoint_ids(edges, edges.where("s = 2"), "edge_id")]
     return validation.report(found).select("code", "record_id")
 
 
+CREDIT = "Made by a model. Source: {source_attribution_statement}. Not endorsed."
+
+
 @query(f"""
-WITH {V.BUILDS}, p AS (SELECT edge_id, p_name || ' (' || p_brand || ')' AS shown, CASE WHEN p_partkey % 10 = 0 THEN p_name ELSE p_name || ' (' || p_brand || ')' END AS author FROM bt JOIN part ON p_partkey = s)
-SELECT 'source-credit' AS code, edge_id AS record_id, 'expected ' || shown AS message FROM p WHERE author <> shown""")
+WITH {V.BUILDS}, k AS (SELECT edge_id, concat_ws(', ', CASE WHEN s % 11 = 0 THEN 'source title' END, CASE WHEN s % 7 = 0 THEN 'identity key' END, CASE WHEN t % 9 = 0 THEN 'author' END, CASE WHEN t % 10 = 0 THEN 'statement' END) AS message FROM bt)
+SELECT 'lp_source_credit_mismatch' AS code, edge_id AS record_id, message FROM k WHERE message <> ''""")
 def findings_credit(spark, sf):
-    joined = V.builds_towards(spark, sf).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("s"))
-    shown = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
-    edges = joined.select("edge_id", F.when(F.col("s") % 10 == 0, F.col("p_name")).otherwise(shown).alias("author"))
-    return _findings([evidence.credit(edges, joined.select("edge_id", "p_name", "p_brand"), shown)])
+    """The framework of a progression edge is its source part's brand; every few edges have one field wrong."""
+    joined = V.builds_towards(spark, sf).join(V.part_nodes(spark, sf).select("p_partkey", F.col("brand").alias("package_id")), F.col("p_partkey") == F.col("s"))
+    roots = V.part_nodes(spark, sf).select(F.col("brand").alias("package_id")).distinct().select("package_id", F.concat(F.lit("Framework "), "package_id").alias("name"), F.lit("board").alias("author"), F.lit("ministry").alias("provider"), F.lit("open").alias("license"), F.concat(F.lit("by "), "package_id").alias("attribution_statement"), F.sha2(F.col("package_id").cast("binary"), 256).alias("case_identifier_uuid"))
+    own = F.regexp_replace(F.lit(CREDIT), r"\{.*\}", F.concat(F.lit("by "), F.col("package_id")))
+    edges = joined.select("edge_id", "package_id", "label", "source", "target", F.when(F.col("t") % 9 == 0, "board").otherwise("model").alias("author"), F.lit("maker").alias("provider"), F.lit("open").alias("license"), F.when(F.col("t") % 10 == 0, CREDIT).otherwise(own).alias("attribution_statement"))
+    key = F.concat_ws(":", F.lit("lc:curriculum:K:relationship"), "label", "source", F.when(F.col("s") % 7 == 0, "x").otherwise(F.col("target")))
+    title = F.when(F.col("s") % 11 == 0, "?").otherwise(F.col("name")).alias("title")
+    source = F.struct("attribution_statement", "author", "case_identifier_uuid", "license", "provider", title)
+    provenance = joined.join(roots, "package_id").select("edge_id", F.lit("K").alias("doc_key"), key.alias("identity_key"), F.lit("maker").alias("approved_by"), F.lit(CREDIT).alias("template"), source.alias("source"))
+    return _findings([evidence.credit(edges, roots, provenance, "model", "maker", CREDIT)])
 
 
 @query("""
@@ -306,20 +339,22 @@ def standard_provenance(spark, sf):
     return docs.select("doc_id", F.concat(F.lit("uuid-"), F.col("doc_id").cast("string")).alias("uuid")).join(rows, "uuid").select("doc_id", "record.quality", "record.toxic")
 
 
-@query("SELECT count(*) AS entries, 64 AS length FROM part")
+@query(f"""
+WITH {V.PARTS}, r AS (SELECT node_id, '{{"node_id":"' || node_id || '","normalized_code":"' || lower(code) || '"}}' AS row_ FROM parts),
+m AS (SELECT (('0x' || substr(sha256(node_id), 1, 2))::BIGINT % 64)::BIGINT AS bucket, sha256(row_) AS h, count(*) AS n FROM r GROUP BY ALL),
+p AS (SELECT bucket, substr(h, 1, 3) AS head, sum(n)::BIGINT AS n, sha256(string_agg(h || ' ' || n, chr(10) ORDER BY h) || chr(10)) AS part FROM m GROUP BY ALL),
+b AS (SELECT bucket, sum(n)::BIGINT AS n, sha256(string_agg(head || part, chr(10) ORDER BY head || part) || chr(10)) AS sha FROM p GROUP BY bucket)
+SELECT sum(n)::BIGINT AS entries, sha256(string_agg(lpad(bucket::VARCHAR, 2, '0') || ' ' || sha, chr(10) ORDER BY lpad(bucket::VARCHAR, 2, '0'))) AS fingerprint FROM b""")
 def index_fingerprint(spark, sf):
-    """The fingerprint is the library's own, so the query shows that it doesn't depend on the order or dealing of rows."""
-    rows = V.part_nodes(spark, sf).select("node_id", RULES.column("code").alias("normalized_code"))
-    one, two = statistics.fingerprint(rows, "node_id"), statistics.fingerprint(rows.repartition(5, "normalized_code"), "node_id")
-    return one.join(two.select(F.col("fingerprint").alias("again")), F.lit(True)).where("fingerprint = again").select("entries", F.length("fingerprint").alias("length"))
+    return statistics.fingerprint(V.part_nodes(spark, sf).select("node_id", RULES.column("code").alias("normalized_code")), "node_id")
 
 
 @query(f"""
-WITH {V.BUILDS}, o AS (SELECT edge_id, target FROM bt WHERE source = 'P:1' ORDER BY edge_id LIMIT 3), n AS (SELECT count(*) AS n FROM bt WHERE source = 'P:1')
-SELECT edge_id, CASE WHEN n > 3 THEN 'edge_limit' END AS reason FROM o, n""")
+WITH {V.BUILDS}, o AS (SELECT edge_id FROM bt WHERE source = 'P:1' ORDER BY edge_id LIMIT 3), n AS (SELECT count(*) AS n, (SELECT count(*) FROM bt b JOIN bt a ON a.target = b.source WHERE a.source = 'P:1' AND b.target NOT IN (SELECT target FROM bt WHERE source = 'P:1')) AS below FROM bt WHERE source = 'P:1')
+SELECT edge_id, CASE WHEN n > 3 THEN 'edge_limit' WHEN below > 0 THEN 'depth_limit' END AS reason FROM o, n""")
 def lp_traverse_reason(spark, sf):
     _, taken, reason = progressions.traverse(V.builds_towards(spark, sf), "P:1", max_depth=1, max_edges=3)
-    return taken.where("depth = 1").select("edge_id", F.lit(reason if reason == "edge_limit" else None).cast("string").alias("reason"))
+    return taken.where("depth = 1").select("edge_id", F.lit(reason).cast("string").alias("reason"))
 
 
 @query(f"""
@@ -331,13 +366,12 @@ def lp_traverse_frontier(spark, sf):
 
 
 @query(f"""
-WITH {V.BUILDS}, o AS (SELECT edge_id, target, row_number() OVER (ORDER BY edge_id) AS n FROM bt WHERE source = 'P:1'), k AS (SELECT target FROM o WHERE n <= 3)
-SELECT 4::BIGINT AS examined, 0::BIGINT AS examined_at_bound, (SELECT count(*) FROM k WHERE target NOT IN (SELECT source FROM bt)) AS fully_examined, 4::BIGINT AS returned_nodes, 3::BIGINT AS returned_edges, FALSE AS exhausted, 'edge_limit' AS reasons
-WHERE (SELECT count(*) FROM o) > 3""")
+WITH {V.BUILDS}, l AS (SELECT target FROM bt WHERE source = 'P:1'), k AS (SELECT 'P:1' AS node_id UNION SELECT target FROM l), d AS (SELECT edge_id, target FROM bt WHERE source IN (SELECT target FROM l)),
+c AS (SELECT (SELECT count(*) FROM l) AS one, (SELECT count(*) FROM d) AS two, (SELECT count(*) FROM d WHERE target IN (SELECT node_id FROM k)) AS inside, (SELECT count(*) FROM k) AS nodes)
+SELECT one + two AS examined, two AS examined_at_bound, nodes AS fully_examined, nodes AS returned_nodes, one + inside AS returned_edges, two = inside AS exhausted, CASE WHEN two > inside THEN 'depth_limit' ELSE '' END AS reasons FROM c""")
 def lp_traverse_counters(spark, sf):
-    """The fourth edge ends the walk; no row where part 1 has none."""
-    counters = progressions.walk_counters(progressions.walk(V.builds_towards(spark, sf), "P:1", max_depth=5, max_edges=3))
-    return counters.where("reasons = 'edge_limit' AND examined = 4")
+    """Part 1 and its neighbours: edges between them are returned, those further on only counted."""
+    return progressions.walk_counters(progressions.walk(V.builds_towards(spark, sf), "P:1", max_depth=1, max_nodes=2000, max_edges=4000))
 
 
 @query("""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curriq.functions import text as T
-from curriq.operators import catalog, paging, progressions, search, statistics, traversal, validation
+from curriq.operators import catalog, evidence, paging, progressions, search, statistics, traversal, validation
 
 DIAMOND = [("root", "a"), ("root", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("b", "d")]
 
@@ -170,7 +170,7 @@ def test_paging(spark):
         paging.keyset_page(rows, ["a", "b"], [9, 9], 4)
     cursor = paging.encode_cursor("q", "i", ["é", 1])
     assert "=" not in cursor and paging.decode_cursor(cursor, "q", "i") == ["é", 1]
-    for args in ((cursor, "x", "i"), (cursor[:-3], "q", "i"), ("!", "q", "i")):
+    for args in ((cursor, "x", "i"), (cursor[:-3], "q", "i"), ("!", "q", "i"), (cursor + "!!", "q", "i"), (cursor + "\n", "q", "i"), (" " + cursor, "q", "i"), (cursor + "==", "q", "i")):
         with pytest.raises(ValueError):
             paging.decode_cursor(*args)
     text, at, parts = "aé日😀" * 5, 0, []
@@ -319,10 +319,62 @@ def test_parents(spark):
     assert found == {("parent-too-many", "s"), ("parent-multiple", "s"), ("parent-too-few", "h"), ("parent-fallback", "e4")}
 
 
-def test_claims(spark):
-    claims = spark.createDataFrame([("a", "b", "first_to_second", "relatesTo"), ("a", "b", "second_to_first", None), ("a", "b", None, "noRelationship")], "first_id string, second_id string, direction string, decision string")
-    assert [(r.source, r.target) for r in validation.claim_endpoints(claims).collect()] == [("a", "b"), ("b", "a"), (None, None)]
-    assert {r.decision: r.n for r in validation.decision_counts(claims).collect()} == {"buildsTowards": 0, "relatesTo": 1, "noRelationship": 1, "needsReview": 0}
+CLAIM = "pair_id string, first_id string, second_id string, decision string, direction string, source string, target string, candidate struct<pair_id:string,first_id:string,second_id:string,admissible:array<struct<decision:string,direction:string>>>, producer struct<pair_id:string,first_id:string,second_id:string>, content string"
+
+
+def claim(pair_id, first, second, decision, direction=None, source=None, target=None, **other):
+    admissible = [("buildsTowards", "first_to_second"), ("buildsTowards", "second_to_first"), ("relatesTo", None), ("no_relation", None), ("needs_review", None)]
+    candidate, producer = other.get("candidate", (pair_id, first, second, admissible)), other.get("producer", (pair_id, first, second))
+    return (pair_id, first, second, decision, direction, source, target, candidate, producer, other.get("content", pair_id))
+
+
+def test_claims_that_are_in_order(spark):
+    """Every kind of claim that may stand, ends in any order of ids."""
+    claims = spark.createDataFrame([claim("1", "b", "a", "buildsTowards", "first_to_second", "b", "a"), claim("2", "c", "a", "buildsTowards", "second_to_first", "a", "c"), claim("3", "c", "b", "relatesTo", None, "b", "c"), claim("4", "d", "a", "no_relation"), claim("5", "d", "b", "needs_review")], CLAIM)
+    assert validation.report(evidence.claim_rules(claims)).collect() == []
+    assert [(r.source, r.target) for r in validation.claim_endpoints(claims).orderBy("pair_id").collect()] == [("b", "a"), ("a", "c"), ("b", "c"), (None, None), (None, None)]
+    assert {r.decision: r.n for r in validation.decision_counts(claims).collect()} == {"buildsTowards": 2, "relatesTo": 1, "no_relation": 1, "needs_review": 1}
+    declared = spark.createDataFrame([("buildsTowards", 2), ("relatesTo", 1), ("no_relation", 1), ("needs_review", 1), ("total_claims", 5), ("total_needs_review", 1)], "name string, n long")
+    assert validation.report(evidence.review_rules(claims, claims.where("pair_id = '5'"), declared)).collect() == []
+    wrong = evidence.review_rules(claims, claims.where("pair_id = '4'"), declared.where("name <> 'relatesTo'"))
+    assert sorted((r.code, r.record_id) for r in validation.report(wrong).collect()) == [("lp_final_counts_mismatch", "relatesTo"), ("lp_unresolved_mismatch", "4"), ("lp_unresolved_mismatch", "5")]
+
+
+def test_claims_that_are_not(spark):
+    rows = [
+        claim("direction", "a", "b", "relatesTo", "first_to_second", "a", "b"), claim("none", "a", "c", "buildsTowards", None, "a", "c"), claim("self", "d", "d", "no_relation"), claim("admitted", "a", "e", "needs_review", candidate=("admitted", "a", "e", [("relatesTo", None)])),
+        claim("turned", "b", "a", "buildsTowards", "second_to_first", "b", "a"), claim("ends", "b", "c", "no_relation", None, "b", "c"), claim("trace", "b", "d", "no_relation", producer=("trace", "d", "b")), claim("old", "b", "e", "noRelationship"), claim("old", "c", "e", "no_relation"),
+    ]
+    found = sorted((r.code, r.record_id) for r in validation.report(evidence.claim_rules(spark.createDataFrame(rows, CLAIM))).collect())
+    assert found == [
+        ("claim-decision", "old"), ("lp_claim_endpoint_mismatch", "ends"), ("lp_claim_endpoint_mismatch", "turned"), ("lp_claim_identity_mismatch", "admitted"), ("lp_claim_identity_mismatch", "direction"), ("lp_claim_identity_mismatch", "none"), ("lp_claim_identity_mismatch", "old"), ("lp_claim_identity_mismatch", "self"),
+        ("lp_final_pair_conflict", "direction"), ("lp_final_pair_conflict", "old"), ("lp_judgment_direction", "direction"), ("lp_judgment_direction", "none"), ("lp_trace_identity_mismatch", "trace"),
+    ]
+
+
+def test_repeated_keys(spark):
+    """Every row but the first of its key, wholly equal rows too; a key of nulls isn't one."""
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "p"), (None, 2, "q")], "k string, seo long, id string")
+    assert sorted((r.record_id, r.seo) for r in validation.duplicates(rows, ["k"], "twice", "id").collect()) == [("x", 3), ("y", 1)]
+    assert sorted(r.record_id for r in validation.duplicates(rows, ["id"], "twice", "id").collect()) == ["y"]
+
+
+def test_credit_of_generated_edges(spark):
+    template = "Made here. Source: {source_attribution_statement}. Not endorsed."
+    roots = spark.createDataFrame([("p", "Root", "board", "ministry", "open", "by the board", "u1")], "package_id string, name string, author string, provider string, license string, attribution_statement string, case_identifier_uuid string")
+    edge = ("e", "p", "relatesTo", "s1", "t1", "model", "maker", "open", "Made here. Source: by the board. Not endorsed.")
+    source = ("by the board", "board", "u1", "open", "ministry", "Root")
+    record = ("e", "K", "lc:curriculum:K:relationship:relatesTo:s1:t1", "maker", template, source)
+
+    def told(edge=edge, record=record):
+        edges = spark.createDataFrame([edge], "edge_id string, package_id string, label string, source string, target string, author string, provider string, license string, attribution_statement string")
+        records = spark.createDataFrame([record], "edge_id string, doc_key string, identity_key string, approved_by string, template string, source struct<attribution_statement:string,author:string,case_identifier_uuid:string,license:string,provider:string,title:string>")
+        return [r.message for r in evidence.credit(edges, roots, records, "model", "maker", template).collect()]
+
+    assert told() == []
+    assert told(edge=(*edge[:5], "board", *edge[6:])) == ["author"] and told(edge=(*edge[:6], "x", *edge[7:])) == ["provider"] and told(edge=(*edge[:8], "by the board")) == ["statement"]
+    assert told(record=(*record[:2], "other", *record[3:])) == ["identity key"] and told(record=(*record[:5], (*source[:5], "Rot"))) == ["source title"] and told(record=(*record[:3], "x", "y", source)) == ["approval, template"]
+    assert told(record=("other", *record[1:])) != []
 
 
 def test_catalog(spark):
