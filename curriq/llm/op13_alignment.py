@@ -8,9 +8,10 @@ Groups and links come from a transducer over residuals: its state is the side th
 the other side hasn't matched yet. The side behind supplies the next token, which is linked to the leading one; what is left
 over of the longer of both is the next residual, and an empty one closes the group. Transitions are kept by (state, token).
 
-Texts are cut into units, white space and what follows up to the next white space: neither tokenizer has a token across
+Texts are cut into units, white space and what follows up to the next white space (a single line end alone): neither tokenizer has a token across
 such a cut (where a piece of B's vocabulary would have one, the unit goes on), so a unit's groups are the same wherever it
-stands, and a worker keeps them by unit. The stores of units and transitions start anew beyond a size; this changes nothing else.
+stands, and a worker keeps them by unit. Beyond a size the store of units
+keeps those that it met again, and that of transitions starts anew; this changes nothing else.
 
 Documents' distinct pairs are written once, in packed columns; counts come from sums in tasks before the shuffle. Tasks
 then look counts up in a sorted table of all pairs, or, where these are more than BROADCAST_PAIRS, by a join on the pair.
@@ -38,7 +39,7 @@ from curriq.llm.common import cut, keep_one, released, shared_dir, spread, table
 from curriq.llm.op4_elias_fano import spans
 
 #: Units and transitions that a worker keeps.
-STORE_UNITS, STORE_MOVES = 300_000, 1_000_000
+STORE_UNITS, STORE_MOVES = 400_000, 1_000_000
 #: Pairs of a table that is sent to all tasks, 24 bytes each; pairs that a task sums up before it passes them on.
 BROADCAST_PAIRS, SUM_PAIRS = 4_000_000, 2_000_000
 #: Bytes of units that B encodes in one call.
@@ -87,31 +88,37 @@ class Transducer:
             self.states.append(new)
         return self.numbers[new]
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]] | None:
-        """(groups as (first A, A end, first B, B end), links) of two tokenizations; None if their bytes differ."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[tuple[int, int]]] | None:
+        """(groups, as `a1,a2|b1`, and links) of two tokenizations; None if their bytes differ."""
         if len(self.moves) > STORE_MOVES:
             self._start()
         groups, links = [], []
+        moves, states = self.moves, self.states
+        names_a, names_b = list(map(str, a)), list(map(str, b))
         i = j = i0 = j0 = state = 0
-        while i < len(a) or j < len(b):
-            from_a = self.states[state][0] == self.B
-            if (i if from_a else j) == len(a if from_a else b):
-                return None
-            token = a[i] if from_a else b[j]
-            new = self.moves.get((state, token))
-            if new is None:
-                new = self.moves[state, token] = self._move(state, token)
-            if new < 0:
-                return None
+        n, m = len(a), len(b)
+        while i < n or j < m:
+            from_a = states[state][0]  # B leads or nothing is left over: A's turn
             if from_a:
+                if i == n:
+                    return None
+                token = a[i]
                 if state:
                     links.append((token, b[j - 1]))
                 i += 1
             else:
+                if j == m:
+                    return None
+                token = b[j]
                 links.append((a[i - 1], token))
                 j += 1
-            if new == 0:
-                groups.append((i0, i, j0, j))
+            new = moves.get((state, token))
+            if new is None:
+                new = moves[state, token] = self._move(state, token)
+            if new <= 0:
+                if new < 0:
+                    return None
+                groups.append(",".join(names_a[i0:i]) + "|" + ",".join(names_b[j0:j]))
                 i0, j0 = i, j
             state = new
         return None if state else (groups, links)
@@ -139,10 +146,9 @@ class Aligner:
         glued = {m for p in pieces for m in re.findall(f"[^{WHITE}▁]([{WHITE}▁])", p)}
         on = "".join(sorted(re.escape(c.replace("▁", " ")) for c in glued))
         more = f"(?:[{on}][{WHITE}]*[^{WHITE}]*)*" if on else ""
-        self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+")
+        self.units = re.compile(f"\n(?=[^{WHITE}])|[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+")
         self.simple = re.compile(f" ?[^{WHITE}]+")
-        self.end_a, self.skip_a = self.a.encode("\n", add_special_tokens=False).ids[-1], len(self.a.encode("a", add_special_tokens=False).ids)
-        self.end_b, self.skip_b = self.b.encode("\n")[-1], len(self.b.encode("a"))
+        self.white = re.compile(f"[{WHITE}]")
         if any("\n" in p for p in pieces) or len(self.b.encode("\n")) != 2:
             raise ValueError("B must take a line end as one token that no other merges with")
         self._start()
@@ -150,79 +156,86 @@ class Aligner:
     def _start(self) -> None:
         self.number: dict[str, int] = {}
         self.texts: list[bytes] = []  # groups, as they are hashed
-        self.ok, self.n_a, self.n_b, self.n_groups, self.n_links = array("b"), array("q"), array("q"), array("q"), array("q")
-        self.links = array("q")
-
-    def _ids(self, units: list[str], encode, end: int, skip: int) -> list[list[int]]:
-        """Ids of each unit as it stands inside a text. Units with no white space but a leading space are encoded together,
-        parted by line ends, which no token crosses; skip is the number of ids before the first unit."""
-        out: list[list[int]] = [[]] * len(units)
-        plain, size = [], 0
-
-        def call() -> None:
-            ids = encode("\n" + "\n".join([units[i] for i in plain]))
+        self.sizes = array("q")  # of each unit: 1 if both tokenizers give its bytes, ids of A and B, groups, links
+        self.links, self.uses = array("q"), array("q")
+
+    def _ids(self, plain: list[str], odd: list[str], encode) -> list[list[int]]:
+        """Ids of units as they stand inside a text, plain ones first. Plain units have no white space but a leading space:
+        they are encoded together, parted by line ends, which no token crosses. Before an odd one stands a letter, or a
+        line end if it doesn't begin with white space, whose ids go again."""
+        first = {lead: len(encode(lead)) for lead in "a\n"}
+        end = encode("\n")[-1]
+        out: list[list[int]] = []
+        start = 0
+        while start < len(plain):
+            stop, size = start, 0
+            while stop < len(plain) and size <= CALL_BYTES:
+                size += len(plain[stop])
+                stop += 1
+            ids = encode("\n" + "\n".join(plain[start:stop]))
             ends = np.flatnonzero(np.array(ids, dtype=np.int64) == end).tolist()
-            if len(ends) != len(plain):
+            if len(ends) != stop - start:
                 raise ValueError("a unit without line ends was encoded with one")
-            for i, x, y in zip(plain, ends, [*ends[1:], len(ids)], strict=True):
-                out[i] = ids[x + 1 : y]
-            plain.clear()
-
-        for i, unit in enumerate(units):
-            if self.simple.fullmatch(unit):
-                plain.append(i)
-                size += len(unit)
-                if size > CALL_BYTES:
-                    call()
-                    size = 0
-            else:
-                out[i] = None
-        if plain:
-            call()
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            out[i] = self._alone(units[i], encode, skip)
-        return out
-
-    def _alone(self, unit: str, encode, skip: int) -> list[int]:
-        """A unit that begins with a run of white space; before it stands a letter, whose ids go again."""
-        return encode("a" + unit)[skip:]
+            out += [ids[x + 1 : y] for x, y in zip(ends, [*ends[1:], len(ids)], strict=True)]
+            start = stop
+        leads = ["a" if self.white.match(unit) else "\n" for unit in odd]
+        return out + [encode(lead + unit)[first[lead] :] for lead, unit in zip(leads, odd, strict=True)]
 
     def learn(self, units: list[str]) -> None:
-        a_bytes = self.transducer.token_bytes[0]
-        ids_a = self._ids(units, lambda t: self.a.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.end_a, self.skip_a)
-        ids_b = self._ids(units, self.b.encode, self.end_b, self.skip_b)
-        for unit, a, b in zip(units, ids_a, ids_b, strict=True):
-            found = self.transducer.align(a, b) if b"".join([a_bytes[i] for i in a]) == unit.encode("utf-8", "surrogatepass") else None
+        simple = self.simple.fullmatch
+        plain, odd = [u for u in units if simple(u)], [u for u in units if not simple(u)]
+        ids_a = self._ids(plain, odd, lambda t: self.a.encode_batch_fast([t], add_special_tokens=False)[0].ids)
+        ids_b = self._ids(plain, odd, self.b.encode)
+        a_bytes, size_b, align = self.transducer.token_bytes[0], self.size_b, self.transducer.align
+        sizes = []
+        for unit, a, b in zip(chain(plain, odd), ids_a, ids_b, strict=True):
+            found = align(a, b) if b"".join([a_bytes[i] for i in a]) == unit.encode("utf-8", "surrogatepass") else None
             groups, links = found or ([], [])
             self.number[unit] = len(self.texts)
-            self.texts.append(";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups]).encode())
-            self.ok.append(found is not None)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_groups.append(len(groups))
-            self.n_links.append(len(links))
-            self.links.extend([x * self.size_b + y for x, y in links])
+            self.texts.append(";".join(groups).encode())
+            sizes += (found is not None, len(a), len(b), len(groups), len(links))
+            self.links.extend([x * size_b + y for x, y in links])
+        self.sizes.extend(sizes)
+        self.uses.extend([0] * len(units))
+
+    def forget(self) -> None:
+        """Keep the units that were met more than once since the store was last made smaller, up to half of it."""
+        uses, sizes = np.frombuffer(self.uses, np.int64), np.frombuffer(self.sizes, np.int64).reshape(-1, 5)
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > STORE_UNITS // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: STORE_UNITS // 2]])
+        starts = np.cumsum(sizes[:, 4]) - sizes[:, 4]
+        links, _ = spans(np.frombuffer(self.links, np.int64), starts[kept], sizes[kept, 4])
+        texts, chosen = [self.texts[i] for i in kept.tolist()], sizes[kept]
+        names = list(self.number)  # in order of their numbers
+        number = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self._start()
+        self.number, self.texts = number, texts
+        self.sizes.frombytes(chosen.tobytes())
+        self.links.frombytes(links.tobytes())
+        self.uses.frombytes(np.zeros(len(kept), np.int64).tobytes())
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts: numbers (rows n_a, n_b, n_groups, n_links), groups_sha256; and the distinct pairs of each text in
         order, their links, and where each text's pairs end."""
         if len(self.number) > STORE_UNITS:
-            self._start()
+            self.forget()
         cuts = [self.units.findall(" " + t) if t else [] for t in texts]
         new = set(chain.from_iterable(cuts)).difference(self.number)
         if new:
             self.learn(list(new))
-        sizes = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cuts)), dtype=np.int64, count=int(sizes.sum()))
-        owner = np.repeat(np.arange(len(cuts)), sizes)
-        good = sizes > 0
-        good[owner[np.frombuffer(self.ok, np.int8)[at] == 0]] = False
-        ends = np.cumsum(sizes).tolist()
-        said = [hashlib.sha256(b";".join([self.texts[i] for i in at[e - n : e].tolist()])).hexdigest() if fine else "" for e, n, fine in zip(ends, sizes.tolist(), good.tolist(), strict=True)]
+        count = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cuts)), dtype=np.int64, count=int(count.sum()))
+        owner = np.repeat(np.arange(len(cuts)), count)
+        sizes, uses = np.frombuffer(self.sizes, np.int64).reshape(-1, 5), np.frombuffer(self.uses, np.int64)
+        uses += np.bincount(at, minlength=len(uses))
+        good = count > 0
+        good[owner[sizes[at, 0] == 0]] = False
+        ends = np.cumsum(count).tolist()
+        said = [hashlib.sha256(b";".join([self.texts[i] for i in at[e - n : e].tolist()])).hexdigest() if fine else "" for e, n, fine in zip(ends, count.tolist(), good.tolist(), strict=True)]
         at, owner = at[good[owner]], owner[good[owner]]
-        n_links = np.frombuffer(self.n_links, np.int64)
-        numbers = np.stack([np.bincount(owner, weights=np.frombuffer(x, np.int64)[at], minlength=len(cuts)) for x in (self.n_a, self.n_b, self.n_groups, self.n_links)]).astype(np.int64)
-        pairs, count = spans(np.frombuffer(self.links, np.int64), (np.cumsum(n_links) - n_links)[at], n_links[at])
+        numbers = np.stack([np.bincount(owner, weights=sizes[at, k], minlength=len(cuts)) for k in range(1, 5)]).astype(np.int64)
+        pairs, count = spans(np.frombuffer(self.links, np.int64), (np.cumsum(sizes[:, 4]) - sizes[:, 4])[at], sizes[at, 4])
         pairs = np.sort(pairs + np.repeat(owner * self.all_pairs, count))
         firsts = np.flatnonzero(np.diff(pairs, prepend=-1))
         times = np.diff(firsts, append=len(pairs))

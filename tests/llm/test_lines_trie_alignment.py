@@ -218,6 +218,20 @@ def test_alignment_on_awkward_texts(spark, plain_alignment):
     assert op13_alignment.alignment(docs.where(F.lit(False)), *PATHS).collect() == []
 
 
+def test_a_store_of_units_that_is_too_small(monkeypatch):
+    """Units that the store forgets are learnt again."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "a"]) + str(rng.randrange(200)) for _ in range(60)) for _ in range(40)]
+    whole = op13_alignment.Aligner(*PATHS)
+    expected = [whole.documents([t]) for t in texts]
+    monkeypatch.setattr(op13_alignment, "STORE_UNITS", 50)
+    small = op13_alignment.Aligner(*PATHS)
+    for text, want in zip(texts, expected, strict=True):
+        for a, b in zip(small.documents([text]), want, strict=True):
+            assert np.array_equal(a, b)
+    assert len(small.number) < 150
+
+
 def test_transducer_on_any_cuts():
     """Two random cuts of one byte string: groups end where both cuts do, links are overlaps."""
     rng = random.Random(4)
