@@ -7,41 +7,99 @@ from pyspark.sql import functions as F
 
 from curriq.functions.text import CodeRules
 from curriq.operators.catalog import member_filter
-from curriq.session import cut, loop_dir
+from curriq.operators.traversal import cycle_witness
+from curriq.session import cut, forget, loop_dir
 
 SELECTORS = ("node_id", "case_uuid", "case_uri", "code")
 
 
-def nearest_scopes(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node_id, scope_type, scope_id): for each coded node and wanted type (scope_type) the nearest ancestors of that type.
+class ScopeError(ValueError):
+    """A coded node without a scope, or a cycle on the way up; `witness` names nodes or, of a cycle, its edges."""
 
-    Every branch of parents is followed on its own and ends at its first match. All nodes go up together, one join a
-    level; ways that meet are one row from there on. A node without any scope of a type has one row with a null scope_id.
-    edges: source, target; nodes: node_id, statement_type.
+    def __init__(self, message: str, witness: list[str]):
+        super().__init__(f"{message}: {', '.join(witness)}")
+        self.witness = witness
+
+
+def _ways_up(edges: DataFrame, nodes: DataFrame, asked: DataFrame, folder: str) -> DataFrame:
+    """(scope_type, at, up, hit): for each wanted type the edges that lead up from asked nodes (node_id, scope_type) as far
+    as branches go, a branch ending at its first parent of the type. Each (node, type) goes up once."""
+    ups = cut(edges.select(F.col("target").alias("at"), F.col("source").alias("up")).distinct().join(nodes.select(F.col("node_id").alias("up"), "statement_type"), "up"), folder, "ups")
+    front = seen = asked.select(F.col("node_id").alias("at"), "scope_type")
+    found, step = None, 0
+    while True:
+        level = cut(front.join(ups, "at").select("scope_type", "at", "up", F.coalesce(F.col("statement_type") == F.col("scope_type"), F.lit(False)).alias("hit")), folder, f"ways-{step}")
+        found = level if found is None else found.unionByName(level)
+        front = cut(level.where("NOT hit").select(F.col("up").alias("at"), "scope_type").distinct().join(seen, ["at", "scope_type"], "left_anti"), folder, f"front-{step}")
+        if front.isEmpty():
+            return found
+        seen, step = seen.unionByName(front), step + 1
+
+
+def resolved_scopes(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node_id, scope_type, scope_id), (scope_type, source, target)): the nearest ancestors of each wanted type
+    (scope_type) of each coded node, and the edges of ways up that a cycle leaves unsettled.
+
+    Every branch of parents ends at its first match. A (node, type) is settled once all its other parents are, and then holds
+    its matches and theirs: ways up are met once each, in levels from the top, and what stands above two nodes is settled
+    once. Nodes on a cycle, or below one, are never settled. edges: source, target; nodes: node_id, statement_type.
     """
-    folder = loop_dir(edges.sparkSession)
-    ups = cut(edges.select(F.col("target").alias("at"), F.col("source").alias("up")).join(nodes.select(F.col("node_id").alias("up"), "statement_type"), "up"), folder, "ups")
-    asked = cut(coded.select("node_id").distinct().join(F.broadcast(wanted.select("scope_type").distinct()), F.lit(True)), folder, "asked")  # a profile's scope types
-    front, found = asked.withColumn("at", F.col("node_id")), None
-    for depth in range(max_depth):
-        step = cut(front.join(ups, "at").select("node_id", "scope_type", F.col("up").alias("at"), (F.col("statement_type") == F.col("scope_type")).alias("hit")).distinct(), folder, f"level-{depth}")
-        if step.isEmpty():
-            break
-        hits = step.where("hit").select("node_id", "scope_type", F.col("at").alias("scope_id"))
-        found = hits if found is None else found.unionByName(hits)
-        front = step.where("NOT coalesce(hit, false)").select("node_id", "scope_type", "at")
-    if found is None:
-        return asked.withColumn("scope_id", F.lit(None).cast("string"))
-    return asked.join(found.distinct(), ["node_id", "scope_type"], "left")
+    spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
+    types = wanted.select("scope_type").distinct().collect()  # a profile's scope types
+    asked = coded.select("node_id").distinct().withColumn("scope_type", F.explode(F.array(*[F.lit(r[0]) for r in types]))) if types else coded.select("node_id", F.lit("").alias("scope_type")).limit(0)
+    asked = cut(asked, folder, "asked")
+    ways = cut(_ways_up(edges, nodes, asked, folder), folder, "ways")
+    own = ["at", "scope_type"]
+    matches = cut(ways.where("hit").select(*own, F.col("up").alias("scope_id")), folder, "matches-0")
+    left = cut(ways.where("NOT hit").select(*own, "up"), folder, "left-0")
+    # nodes without other parents are settled at once
+    places = ways.select(*own).unionByName(ways.where("NOT hit").select(F.col("up").alias("at"), "scope_type")).distinct()
+    settled = cut(places.join(left.select(*own).distinct(), own, "left_anti"), folder, "settled-0")
+    step = 0
+    while not settled.isEmpty():
+        above = settled.select(F.col("at").alias("up"), "scope_type")
+        passed = left.join(above, ["up", "scope_type"], "left_semi")
+        handed = passed.join(matches.select(F.col("at").alias("up"), "scope_type", "scope_id"), ["up", "scope_type"]).select(*own, "scope_id")
+        rest = cut(left.join(above, ["up", "scope_type"], "left_anti"), folder, f"left-{step + 1}")
+        matches = cut(matches.unionByName(handed).distinct(), folder, f"matches-{step + 1}")
+        settled = cut(passed.select(*own).distinct().join(rest.select(*own).distinct(), own, "left_anti"), folder, f"settled-{step + 1}")
+        forget(spark, folder, f"left-{step}", f"matches-{step}", f"settled-{step}")
+        left, step = rest, step + 1
+    open_ = left.select("scope_type", F.col("up").alias("source"), F.col("at").alias("target"))
+    stuck = open_.select(F.col("target").alias("node_id"), "scope_type").distinct()
+    done = asked.join(stuck, ["node_id", "scope_type"], "left_anti")
+    return done.join(matches.select(F.col("at").alias("node_id"), "scope_type", "scope_id"), ["node_id", "scope_type"], "left"), open_
+
+
+def scope_problems(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(problem, node_id, scope_type): coded nodes without a scope (scope-missing), or on or below a cycle (scope-cycle)."""
+    found, left = resolved_scopes(edges, nodes, coded, wanted)
+    stuck = left.select(F.col("target").alias("node_id"), "scope_type").distinct().join(coded.select("node_id").distinct(), "node_id", "left_semi")
+    shown = lambda rows, name: rows.select(F.lit(name).alias("problem"), "node_id", "scope_type")
+    return shown(found.where("scope_id IS NULL"), "scope-missing").unionByName(shown(stuck, "scope-cycle"))
+
+
+def nearest_scopes(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame, missing_ok: bool = False) -> DataFrame:
+    """(node_id, scope_type, scope_id) as `resolved_scopes` gives them; ScopeError for a cycle, with the edges of one, and,
+    unless missing_ok, for nodes without a scope, with the first five of them."""
+    found, left = resolved_scopes(edges, nodes, coded, wanted)
+    if not left.isEmpty():
+        stuck = left.select("source", "target").distinct()
+        ring = cycle_witness(stuck.select(F.concat_ws(">", "source", "target").alias("edge_id"), "source", "target"))
+        raise ScopeError("a cycle above coded nodes", ring)
+    lost = [] if missing_ok else [r[0] for r in found.where("scope_id IS NULL").select("node_id").distinct().orderBy("node_id").limit(5).collect()]
+    if lost:
+        raise ScopeError("coded nodes without a scope", lost)
+    return found
 
 
 def code_index(codes: DataFrame, rules: CodeRules) -> DataFrame:
-    """codes (node_id, statement_type, code, scope_id) by (statement_type, scope_key, normalized_code): nodes, first_node.
+    """codes (node_id, statement_type, code, scope_type, scope_id) by (statement_type, scope_key, normalized_code): nodes, first_node.
 
-    scope_key holds a node's scopes in order, comma-joined; a node without scopes has an empty one.
+    scope_key holds a node's scopes as type=id in order, comma-joined; a node without scopes has an empty one.
     """
     named = codes.where("code IS NOT NULL").withColumn("normalized_code", rules.column("code"))
-    own = named.groupBy("node_id", "statement_type", "normalized_code").agg(F.array_join(F.array_sort(F.collect_set("scope_id")), ",").alias("scope_key"))
+    own = named.groupBy("node_id", "statement_type", "normalized_code").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("scope_id").isNotNull(), F.concat_ws("=", "scope_type", "scope_id")))), ",").alias("scope_key"))
     return own.groupBy("statement_type", "scope_key", "normalized_code").agg(F.count("*").alias("nodes"), F.min("node_id").alias("first_node"))
 
 

@@ -34,7 +34,7 @@ asked AS (SELECT node_id, t AS scope_type FROM parts, (SELECT unnest(['NATION',
 
 def _scopes(spark, sf, *types: str) -> DataFrame:
     wanted = spark.createDataFrame([(t,) for t in types], "scope_type string")
-    return scopes.nearest_scopes(V.dag(spark, sf), _typed_nodes(spark, sf), V.part_nodes(spark, sf), wanted)
+    return scopes.nearest_scopes(V.dag(spark, sf), _typed_nodes(spark, sf), V.part_nodes(spark, sf), wanted, missing_ok=True)
 
 
 @query(f"WITH {SCOPES} SELECT a.node_id, a.scope_type, n.scope_id FROM asked a LEFT JOIN near n USING (node_id, scope_type)")
@@ -42,7 +42,20 @@ def code_scope_nearest(spark, sf):
     return _scopes(spark, sf, "NATION", "REGION")
 
 
-INDEX = f"""{SCOPES}, own AS (SELECT p.node_id, p.p_type AS statement_type, lower(p.brand) AS normalized_code, coalesce(string_agg(DISTINCT n.scope_id, ',' ORDER BY n.scope_id), '') AS scope_key
+@query(f"""
+WITH RECURSIVE {SCOPES}, u AS (SELECT source, target FROM dag UNION ALL SELECT 'P:3', 'P:4' UNION ALL SELECT 'P:4', 'P:3'),
+c(a, node) AS (SELECT source, target FROM u WHERE source IN ('P:3', 'P:4') UNION SELECT a, target FROM c JOIN u ON source = node),
+stuck AS (SELECT node AS node_id FROM c WHERE a IN (SELECT a FROM c WHERE node = a))
+SELECT 'scope-missing' AS problem, a.node_id, a.scope_type FROM asked a WHERE a.node_id NOT IN (SELECT node_id FROM stuck) AND NOT EXISTS (SELECT 1 FROM near n WHERE n.node_id = a.node_id AND n.scope_type = a.scope_type)
+UNION ALL SELECT 'scope-cycle', a.node_id, a.scope_type FROM asked a WHERE a.node_id IN (SELECT node_id FROM stuck)""")
+def code_scope_errors(spark, sf):
+    """Parts 3 and 4 stand above each other; parts that nobody sells have no nation and no region."""
+    wanted = spark.createDataFrame([("NATION",), ("REGION",)], "scope_type string")
+    loop = spark.createDataFrame([("h:a", "P:3", "P:4", 0), ("h:b", "P:4", "P:3", 0)], "edge_id string, source string, target string, seo long")
+    return scopes.scope_problems(V.dag(spark, sf).unionByName(loop), _typed_nodes(spark, sf), V.part_nodes(spark, sf), wanted)
+
+
+INDEX = f"""{SCOPES}, own AS (SELECT p.node_id, p.p_type AS statement_type, lower(p.brand) AS normalized_code, coalesce(string_agg(DISTINCT 'REGION=' || n.scope_id, ',' ORDER BY 'REGION=' || n.scope_id), '') AS scope_key
   FROM parts p LEFT JOIN near n ON n.node_id = p.node_id AND n.scope_type = 'REGION' GROUP BY ALL),
 idx AS (SELECT statement_type, scope_key, normalized_code, count(*) AS nodes, min(node_id) AS first_node FROM own GROUP BY ALL)"""
 

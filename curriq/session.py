@@ -28,3 +28,10 @@ def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
     path, schema = f"{folder}/{name}", df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def forget(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete what `cut` wrote, once no later plan reads it."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
