@@ -56,12 +56,12 @@ def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250,
     return found.nodes.select("node_id", "depth"), found.edges, found.reasons[-1] if found.reasons else None
 
 
-def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max_edges: int = 100, down: bool = True) -> Walk:
+def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max_edges: int = 100, down: bool = True, work: int = MAX_EXAMINED) -> Walk:
     """A bounded breadth-first walk in order of arrival.
 
     A level's edges are looked at in order of (arrival of their node, edge_id). At the depth bound, edges to nodes already
     returned are kept, others counted as `depth_limit`. The edge that would break a bound ends the walk and isn't taken.
-    A walk looks at MAX_EXAMINED edges at most; where that ends it, the reason is `work_limit`.
+    A walk looks at `work` edges at most; where that ends it, the reason is `work_limit`.
     """
     near, far = ("source", "target") if down else ("target", "source")
     spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
@@ -74,18 +74,18 @@ def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max
         if taken is not None:
             step = step.join(taken.select("edge_id"), "edge_id", "left_anti")
         # one edge more than can be taken, or looked at, tells that a bound is broken
-        work, last = MAX_EXAMINED - examined, depth == max_depth
-        step = cut(step.orderBy("from_arrival", "edge_id").limit(1 + (work if last else min(work, max_edges - n_edges))), folder, f"level-{depth}")
+        room, last = work - examined, depth == max_depth
+        step = cut(step.orderBy("from_arrival", "edge_id").limit(1 + (room if last else min(room, max_edges - n_edges))), folder, f"level-{depth}")
         known = seen.select(F.col("node_id").alias(far), F.lit(1).alias("known"))
         order = Window.orderBy("from_arrival", "edge_id")
-        step = step.withColumn("place", F.row_number().over(order)).where(F.col("place") <= work).join(known, far, "left")
+        step = step.withColumn("place", F.row_number().over(order)).where(F.col("place") <= room).join(known, far, "left")
         first = F.row_number().over(Window.partitionBy(far).orderBy("place"))
         is_new = F.col("known").isNull() & (first == 1)
         # at the bound nodes are kept out, and edges to them aren't taken
         step = step.withColumn("taken", (F.col("known").isNotNull() if last else F.lit(True)).cast("int")).withColumn("is_new", (F.lit(False) if last else is_new).cast("int"))
         running = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
         step = cut(step.withColumn("nodes", F.sum("is_new").over(running) + n_nodes).withColumn("edges", F.sum("taken").over(running) + n_edges), folder, f"edges-{depth}")
-        spent = spark.read.parquet(f"{folder}/level-{depth}").count() > work
+        spent = spark.read.parquet(f"{folder}/level-{depth}").count() > room
         over = step.where((F.col("taken") == 1) & ((F.col("nodes") > max_nodes) | (F.col("edges") > max_edges))).orderBy("place").limit(1).collect()
         if over:
             ended = "node_limit" if over[0]["nodes"] > max_nodes else "edge_limit"
@@ -107,7 +107,7 @@ def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max
 
 
 def walk_frontier(found: Walk) -> DataFrame:
-    """node_id, depth, edges, pending, limited of every returned node: its edges in the walk's direction, those not looked
+    """node_id, depth, arrival, edges, pending, limited of every returned node: its edges in the walk's direction, those not looked
     at (with the one that ended the walk) and those to nodes beyond the depth bound. The frontier: pending or limited isn't 0."""
     degrees = found.adjacency.join(found.nodes.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.count("*").alias("edges"))
     placed = found.nodes.join(degrees, "node_id", "left").fillna(0, ["edges"])
@@ -117,8 +117,8 @@ def walk_frontier(found: Walk) -> DataFrame:
     done = F.least(F.col("edges"), F.greatest(F.lit(0), F.lit(found.examined - blocked) - F.col("before")))
     shown = placed.withColumn("before", before).withColumn("pending", F.col("edges") - done)
     if found.limited is None:
-        return shown.select("node_id", "depth", "edges", "pending", F.lit(0).cast("long").alias("limited"))
-    return shown.join(found.limited, "node_id", "left").select("node_id", "depth", "edges", "pending", F.coalesce("n", F.lit(0)).alias("limited"))
+        return shown.select("node_id", "depth", "arrival", "edges", "pending", F.lit(0).cast("long").alias("limited"))
+    return shown.join(found.limited, "node_id", "left").select("node_id", "depth", "arrival", "edges", "pending", F.coalesce("n", F.lit(0)).alias("limited"))
 
 
 def walk_counters(found: Walk) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curriq.operators import framework_statistics as stats
+from curriq.operators import path_search
 from curriq.plans import views as V
 from curriq.plans.registry import query
-from curriq.session import table
+from curriq.session import cut, loop_dir, table
 
 
 def nodes(spark, sf) -> DataFrame:
@@ -73,3 +74,41 @@ SELECT section, value, n::BIGINT AS n, amount FROM (
   UNION ALL SELECT 'unreachable', NULL, (SELECT count(*) FROM items) + 1 + (SELECT count(*) FROM orders) - (SELECT count(*) FROM near) - (SELECT count(DISTINCT component) FROM kept WHERE component IN (SELECT component FROM kept JOIN near ON node = standard)), NULL)""")
 def framework_statistics(spark, sf):
     return stats.framework_statistics(nodes(spark, sf), edges(spark, sf), "p", "root")
+
+
+def _same_brand(spark, sf) -> DataFrame:
+    """Progressions between parts of one brand."""
+    brand = lambda key: table(spark, sf, "part").select(F.col("p_partkey").alias(key), F.col("p_brand").alias(f"{key}_brand"))
+    return V.builds_towards(spark, sf).join(brand("s"), "s").join(brand("t"), "t").where("s_brand = t_brand").select("edge_id", "source", "target", "s", "t")
+
+
+def _ends(edges: DataFrame) -> tuple[str, str]:
+    """The part with the most progressions, the first of them, and the last part two steps behind it, or else one step."""
+    s = edges.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").first()["s"]
+    own = edges.where(F.col("s") == s).select(F.col("t").alias("m"))
+    two = own.join(edges.select(F.col("s").alias("m"), "t"), "m").agg(F.max("t")).first()[0]
+    return f"P:{s}", f"P:{two if two is not None else own.agg(F.max('m')).first()[0]}"
+
+
+BRANDS = f"""{V.BUILDS}, e AS (SELECT bt.edge_id, bt.source, bt.target, bt.s, bt.t FROM bt JOIN part a ON a.p_partkey = s JOIN part b ON b.p_partkey = t WHERE a.p_brand = b.p_brand),
+f AS (SELECT s FROM e GROUP BY s ORDER BY count(*) DESC, s LIMIT 1), l AS (SELECT coalesce((SELECT max(b.t) FROM e a JOIN e b ON b.s = a.t JOIN f ON a.s = f.s), (SELECT max(t) FROM e JOIN f USING (s))) AS t),
+p(node, path, ids, hops) AS (SELECT 'P:' || s, 'P:' || s, []::VARCHAR[], 0 FROM f UNION ALL SELECT e.target, path || '>' || e.target, list_append(ids, e.edge_id), hops + 1 FROM p JOIN e ON e.source = node WHERE hops < 16 AND node <> 'P:' || (SELECT t FROM l)),
+r AS (SELECT row_number() OVER (ORDER BY hops, ids) AS rank, hops, path, ids, count(*) OVER () AS total FROM p WHERE node = 'P:' || (SELECT t FROM l))"""
+
+
+@query(f"WITH RECURSIVE {BRANDS} SELECT rank, hops::BIGINT AS hops, path, array_to_string(ids, ',') AS edge_ids FROM r WHERE rank <= 2")
+def lp_path_budget(spark, sf):
+    edges = cut(_same_brand(spark, sf), loop_dir(spark), "edges")
+    return path_search.search_paths(edges, *_ends(edges), max_paths=2).rows(spark)
+
+
+@query(f"""
+WITH RECURSIVE {BRANDS}, u(node) AS (SELECT 'P:' || t FROM l UNION SELECT source FROM u JOIN e ON e.target = node)
+SELECT least(max(rank), 2)::BIGINT AS returned, coalesce(max(total), 0)::BIGINT AS total_paths, CASE WHEN max(rank) > 2 THEN 'path_limit' ELSE '' END AS reasons, (SELECT count(*) FROM e JOIN u ON e.target = node)::BIGINT AS walked FROM r""")
+def lp_path_counters(spark, sf):
+    """What the search returns and leaves, and the edges that the walk up from the target looks at."""
+    edges = cut(_same_brand(spark, sf), loop_dir(spark), "edges")
+    source, target = _ends(edges)
+    counters = path_search.search_paths(edges, source, target, max_paths=2).counters(spark).select("returned", "total_paths", "reasons")
+    upwards = path_search.walk(edges, target, path_search.WORK, path_search.WORK + 1, path_search.WORK, down=False)
+    return counters.withColumn("walked", F.lit(upwards.examined).cast("long"))

@@ -375,7 +375,7 @@ WITH {V.BUILDS}, l1 AS (SELECT source, target FROM bt WHERE source = 'P:1'), k A
 SELECT k.node_id, k.depth::INTEGER AS depth, count(bt.edge_id) AS edges, 0::BIGINT AS pending, count(bt.edge_id) FILTER (WHERE k.depth = 1 AND bt.target NOT IN (SELECT node_id FROM k)) AS limited
 FROM k LEFT JOIN bt ON bt.source = k.node_id GROUP BY k.node_id, k.depth""")
 def lp_traverse_frontier(spark, sf):
-    return progressions.walk_frontier(progressions.walk(V.builds_towards(spark, sf), "P:1", max_depth=1))
+    return progressions.walk_frontier(progressions.walk(V.builds_towards(spark, sf), "P:1", max_depth=1)).drop("arrival")
 
 
 @query(f"""
