@@ -10,6 +10,7 @@ import json
 import os
 import re
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -94,7 +95,18 @@ def change_status(folder: str, before: bytes, status: str) -> dict:
     """Write a pending manifest's final status, in one step, if its bytes are still what was validated."""
     if status not in STATUSES[1:]:
         raise ValueError(f"{status} is no final status")
-    path = Path(folder) / MANIFEST
+    path, claim = Path(folder) / MANIFEST, f"{folder}.status"
+    try:  # one writer at a time compares and replaces
+        os.close(os.open(claim, os.O_CREAT | os.O_EXCL))
+    except FileExistsError as error:
+        raise RuntimeError("another writer changes the status") from error
+    try:
+        return _replace_status(path, before, status)
+    finally:
+        os.unlink(claim)
+
+
+def _replace_status(path: Path, before: bytes, status: str) -> dict:
     if path.read_bytes() != before:
         raise RuntimeError("the manifest has changed since it was read")
     manifest = strict_object(before.decode("utf-8"))
@@ -102,7 +114,7 @@ def change_status(folder: str, before: bytes, status: str) -> dict:
     if validation.get("status", "pending") != "pending":
         raise RuntimeError("the manifest isn't pending")
     validation["status"] = status
-    fd, name = tempfile.mkstemp(dir=folder, prefix=".manifest-")
+    fd, name = tempfile.mkstemp(dir=path.parent, prefix=".manifest-")
     with os.fdopen(fd, "w", encoding="utf-8") as f:
         json.dump(manifest, f, ensure_ascii=False, indent=2, sort_keys=True)
         f.write("\n")
@@ -123,14 +135,17 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def publish(spark: SparkSession, staged: str, target: str) -> None:
+def publish(spark: SparkSession, staged: str, target: str, stale_seconds: int = 3600) -> None:
     """Move a complete package to its place; an error if there is one already.
 
-    The place is claimed by a marker that only one writer can create, so two publishers can't both pass.
+    The place is claimed by a marker that only one writer can create, so two publishers can't both pass. A claim older than
+    stale_seconds was left by a publisher that died: moving a folder takes no such time.
     """
     store, to = _store(spark, target)
     store.mkdirs(to.getParent())
     claim = _store(spark, f"{target}.claim")[1]
+    if store.exists(claim) and time.time() - store.getFileStatus(claim).getModificationTime() / 1000 > stale_seconds:
+        store.delete(claim, False)
     try:
         store.create(claim, False).close()
     except Exception as error:

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,8 @@ def envelope_error(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Why a line is no strict envelope with string properties, or null."""
 
     def why(line: str) -> str | None:
+        if line is None:
+            return None
         try:
             row = strict_object(line)
         except (ValueError, RecursionError) as error:
@@ -75,11 +77,32 @@ def envelope_error(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def located_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, line (from 1), value of every line; one empty rest after the last line end isn't a line."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    body = F.regexp_replace("value", r"\n\z", "")
-    lines = files.where("value <> ''").select("path", F.posexplode(F.split(body, "\n")).alias("at", "value"))
-    return lines.select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    """path, line (from 1), value of every line; one empty rest after the last line end isn't a line.
+
+    Large files are read in splits. Rows of a split stand one after another in its task, so a line's number is that of the
+    lines of all earlier splits of the file, which a first pass counts, and its place within its own.
+    """
+    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    placed = splits.select("path", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    # a row for each split of a file, a millionth of the file at most
+    return rows.join(F.broadcast(placed), ["path", "start"]).select("path", (F.col("id") + F.col("shift")).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
+def plain_envelope(line: Column) -> Column:
+    """Is a line a strict envelope, as far as Spark's own reader can tell? Others are looked at once more (`envelope_error`).
+
+    The variant reader takes no repeated keys, NaN or infinities; a number with a large exponent could overflow.
+    """
+    v = F.try_parse_json(line)
+    strings = lambda values: F.forall(values, lambda x: F.schema_of_variant(x) == "STRING")
+    bag = F.map_values(F.try_variant_get(v, "$.properties", "map<string,variant>"))
+    lists = [F.coalesce(strings(F.try_variant_get(v, f"$.{k}", "array<variant>")), F.try_variant_get(v, f"$.{k}", "variant").isNull()) for k in ("labels", "source_labels", "target_labels")]
+    test = v.isNotNull() & ~line.rlike(r"[0-9][eE][+-]?[0-9]{3}") & ~line.rlike(r"[0-9]{300}") & F.coalesce(strings(bag), F.lit(False))
+    for own in lists:
+        test = test & own
+    return F.coalesce(test, F.lit(False))
 
 
 def _flag(value: Column) -> Column:
@@ -98,7 +121,9 @@ def _share(value: Column) -> Column:
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
-    return lines.withColumn("envelope", envelope_error("value")).withColumn("r", F.from_json("value", schema))
+    suspect = lines.withColumn("suspect", ~plain_envelope(F.col("value")))
+    told = F.when(F.col("suspect"), envelope_error(F.when(F.col("suspect"), F.col("value"))))
+    return suspect.withColumn("envelope", told).withColumn("r", F.from_json("value", schema)).drop("suspect")
 
 
 def read_nodes(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
