@@ -1,10 +1,10 @@
 """URL rules and a blocklist, with DataFrame functions only.
 
 Rules (host, path, verdict) are a short list of settings; the longest that fits decides. Other URLs are judged by a list:
-a blocked Bloom filter of the listed canonical URLs (2**16 blocks of 64 bits, 4 bits a URL, all in the block that the
-URL's hash names) passes possible hits on to an exact hash join with the list, which removes false positives. The filter
-is at most 2**16 rows of 16 bytes whatever the list's length, so it is broadcast; a longer list only lets more rows
-through to the join.
+a blocked Bloom filter of the listed canonical URLs (a block of 64 bits for each URLS_PER_BLOCK of them, 4 bits a URL, all in
+the block that the URL's hash names) passes possible hits on to an exact hash join with the list, which removes false
+positives. The number of blocks follows the list's length, so about one unlisted URL in a hundred is let through. Up to
+BROADCAST_BLOCKS blocks of 16 bytes are broadcast; those of a longer list meet the URLs by their numbers.
 
 Host: what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: then up to `?`, `#` or the end.
 Null URLs and those without `://` have an empty host and path, fit no rule and are on no list: allow. The canonical URL is
@@ -17,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curriq.llm.common import table
+from curriq.llm.common import cut, shared_dir, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-BLOCKS, BITS = 1 << 16, 4
+BITS, URLS_PER_BLOCK = 4, 4
+LEAST_BLOCKS, BROADCAST_BLOCKS = 1 << 10, 1 << 20
 
 
 def url_host(url: str) -> Column:
@@ -48,21 +49,33 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _bloom(url: str) -> tuple[Column, Column]:
+def blocks_for(listed_urls: int) -> int:
+    """The number of blocks, a power of 2, of a list of so many URLs."""
+    return max(LEAST_BLOCKS, 1 << max(0, (listed_urls - 1) // URLS_PER_BLOCK).bit_length())
+
+
+def _bloom(url: str, blocks: int) -> tuple[Column, Column]:
     """(block, mask) of a URL: one hash names the block, another the bits in it."""
     mask = F.lit(0).cast("long")
     for i in range(BITS):
         mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(1, {url}), {6 * i}) & 63 as int))"))
-    return F.pmod(F.xxhash64(F.col(url)), F.lit(BLOCKS)).cast("int"), mask
+    return F.pmod(F.xxhash64(F.col(url)), F.lit(blocks)), mask
+
+
+def filtered(urls: DataFrame, own: DataFrame, listed_urls: int) -> DataFrame:
+    """urls with a column `maybe`: does the filter of own (canonical) pass the URL? True for every listed one."""
+    blocks = blocks_for(listed_urls)
+    block, mask = _bloom("canonical", blocks)
+    bloom = own.groupBy(block.alias("block")).agg(F.bit_or(mask).alias("bits"))
+    bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
+    tried = urls.withColumn("block", block).withColumn("mask", mask).join(bloom, "block", "left")
+    return tried.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))).drop("block", "bits", "mask")
 
 
 def listed_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """urls with a column `listed`: is the canonical URL in the table listed(canonical)?"""
-    own = listed.select("canonical").where("canonical <> ''").distinct()
-    block, mask = _bloom("canonical")
-    bloom = own.groupBy(block.alias("block")).agg(F.bit_or(mask).alias("bits"))  # at most BLOCKS rows
-    tried = urls.withColumn("block", block).withColumn("mask", mask).join(F.broadcast(bloom), "block", "left")
-    tried = tried.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))).drop("block", "bits", "mask")
+    own = cut(listed.select("canonical").where("canonical <> ''").distinct(), shared_dir(urls.sparkSession), "listed")
+    tried = filtered(urls, own, own.count())
     hits = tried.where("maybe").join(own.withColumn("found", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("found", F.lit(False))).drop("maybe", "found")
     return hits.unionByName(tried.where("NOT maybe").drop("maybe").withColumn("listed", F.lit(False)))
 
