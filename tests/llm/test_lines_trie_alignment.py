@@ -138,6 +138,18 @@ def test_trie_of_long_copies_over_many_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_trie_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = con.execute(op12_trie.ORACLE_SQL)
+    names = [d[0] for d in want.description]
+    got = op12_trie.op12_prefix_trie(spark, sf).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_trie_of_an_empty_table(spark):
     assert trie_of(spark, []) == []
 

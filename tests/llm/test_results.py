@@ -25,7 +25,6 @@ from curriq.llm import op7_decontaminate as op7
 from curriq.llm import op8_dedup as op8
 from curriq.llm import op9_urls as op9
 from curriq.llm import op11_lines as op11
-from curriq.llm import op12_trie as op12
 from curriq.llm import op10_mix as op10
 from curriq.llm import queries
 from curriq.llm.common import table, word_hashes
@@ -49,7 +48,7 @@ def jaccard(a, b):
     return low / (sum(a.values()) + sum(b.values()) - low) if a and b else 0.0
 
 
-@pytest.mark.parametrize("name,module", [("op2_branch_and_bound_topk", op2), ("op6_preference_format", op6), ("op9_bloom_url_filter", op9), ("op10_weighted_mix", op10), ("op11_line_dedup", op11), ("op12_prefix_trie", op12)])
+@pytest.mark.parametrize("name,module", [("op2_branch_and_bound_topk", op2), ("op6_preference_format", op6), ("op9_bloom_url_filter", op9), ("op10_weighted_mix", op10), ("op11_line_dedup", op11)])
 def test_against_sql(spark, name, module):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "labels", "conversations"):
