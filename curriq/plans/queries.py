@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curriq.functions.text import CodeRules
 from curriq.operators import catalog, paging, progressions, search, statistics, traversal, validation
-from curriq.plans import frameworks, rules, search_pages  # noqa: F401  (register their queries)
+from curriq.plans import frameworks, packages, rules, search_pages  # noqa: F401  (register their queries)
 from curriq.plans import views as V
 from curriq.plans.registry import QUERIES, SQL, query
 from curriq.session import cut, loop_dir, table
