@@ -22,13 +22,21 @@ def direct(edges: DataFrame, node_id: str) -> DataFrame:
     return own.withColumn("kind", kind).dropDuplicates(["edge_id"]).orderBy("label", "edge_id")
 
 
-def discover(edges: DataFrame, nodes: DataFrame, match: Column, scope: str = "either", position: int = 0, limit: int = 100) -> DataFrame:
+def discover(edges: DataFrame, nodes: DataFrame, match: Column, scope: str = "either", position: int = 0, limit: int = 100, after: tuple[str, str] | None = None) -> DataFrame:
     """A page of edges whose endpoints match as scope says (either, both, source, target), from a position in the
-    unfiltered order (label, edge_id) on; MAX_EXAMINED edges are looked at for one page."""
+    unfiltered order (label, edge_id) on; MAX_EXAMINED edges are looked at for one page.
+
+    after: the (label, edge_id) of the edge at position - 1. Whoever has it from the page before saves the search for the
+    position, which costs as many rows as it is deep.
+    """
     if scope not in ("either", "both", "source", "target"):
         raise ValueError(f"unknown scope {scope}")
-    first = edges.orderBy("label", "edge_id").limit(position + MAX_EXAMINED)
-    placed = first.withColumn("position", (F.row_number().over(Window.orderBy("label", "edge_id")) - 1).cast("long")).where(F.col("position") >= position)
+    order = ["label", "edge_id"]
+    start = 0
+    if after is not None:
+        edges, start = edges.where(F.struct(*order) > F.struct(*[F.lit(v).alias(c) for c, v in zip(order, after, strict=True)])), position
+    first = edges.orderBy(*order).limit(position - start + MAX_EXAMINED)
+    placed = first.withColumn("position", (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long")).where(F.col("position") >= position)
     flagged = nodes.select("node_id", match.alias("hit"))
     joined = placed.join(flagged.select(F.col("node_id").alias("source"), F.col("hit").alias("source_hit")), "source").join(flagged.select(F.col("node_id").alias("target"), F.col("hit").alias("target_hit")), "target")
     keep = {"either": F.col("source_hit") | F.col("target_hit"), "both": F.col("source_hit") & F.col("target_hit"), "source": F.col("source_hit"), "target": F.col("target_hit")}[scope]

@@ -65,7 +65,13 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def root_paths(edges: DataFrame, root: str, node_id: str, max_depth: int = 64, max_paths: int = 1000, max_occurrences: int = 100_000) -> tuple[DataFrame, str | None]:
-    """((rank, path, nodes), truncation): complete paths from root to node_id in order of their edges' keys from the node up.
+    """((rank, path, nodes), truncation) of `ranked_root_paths`, with a path's nodes as text and their number."""
+    found, reason = ranked_root_paths(edges, root, node_id, max_depth, max_paths, max_occurrences)
+    return found.select("rank", F.array_join("nodes", ">").alias("path"), F.size("nodes").cast("long").alias("nodes")), reason
+
+
+def ranked_root_paths(edges: DataFrame, root: str, node_id: str, max_depth: int = 64, max_paths: int = 1000, max_occurrences: int = 100_000) -> tuple[DataFrame, str | None]:
+    """((rank, nodes, edge_ids), truncation): complete paths from root to node_id in order of their edges' keys from the node up.
 
     Only edges among the node's ancestors are followed. The list ends before the first path that breaks a bound; the
     number of paths is named before the number of nodes on them. A node twice on a path is an error.
@@ -95,7 +101,7 @@ def root_paths(edges: DataFrame, root: str, node_id: str, max_depth: int = 64, m
     fits = (F.col("rank") <= max_paths) & (F.col("running") <= max_occurrences)
     over = ranked.where(~fits).orderBy("rank").limit(1).collect()
     reason = None if not over else "max_paths" if over[0]["rank"] > max_paths else "max_path_node_occurrences"
-    return ranked.where(fits).select("rank", F.array_join(F.reverse("nodes"), ">").alias("path"), F.col("length").alias("nodes")), reason
+    return ranked.where(fits).select("rank", F.reverse("nodes").alias("nodes"), F.reverse(F.transform("keys", lambda k: k["edge_id"])).alias("edge_ids")), reason
 
 
 def reachable(edges: DataFrame, start: DataFrame, symmetric: bool = False) -> DataFrame:

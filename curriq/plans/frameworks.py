@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curriq.operators import context
 from curriq.operators import framework_statistics as stats
 from curriq.operators import path_search
 from curriq.plans import views as V
@@ -112,3 +113,37 @@ def lp_path_counters(spark, sf):
     counters = path_search.search_paths(edges, source, target, max_paths=2).counters(spark).select("returned", "total_paths", "reasons")
     upwards = path_search.walk(edges, target, path_search.WORK, path_search.WORK + 1, path_search.WORK, down=False)
     return counters.withColumn("walked", F.lit(upwards.examined).cast("long"))
+
+
+def _context(spark, sf, max_bytes: int) -> context.Context:
+    """Nation 3 in the tree of customers and orders; every fifth edge has a status."""
+    edges = V.tree(spark, sf).withColumn("status", F.when(F.col("seo") % 5 == 0, "unresolvedRootFallback"))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    return context.standard_context(edges, nodes, "root", "N:3", context.Bounds(child_depth=2, max_bytes=max_bytes, reserve=0))
+
+
+CONTEXT = f"""{V.TREE}, st AS (SELECT *, CASE WHEN seo % 5 = 0 THEN 'unresolvedRootFallback' END AS status FROM tree),
+down AS (SELECT 'N:3' AS node, 0 AS depth UNION ALL SELECT target, 1 FROM tree WHERE source = 'N:3' UNION ALL SELECT b.target, 2 FROM tree a JOIN tree b ON b.source = a.target WHERE a.source = 'N:3'),
+up AS (SELECT 'N:3' AS node, 0 AS depth UNION ALL SELECT source, 1 FROM tree WHERE target = 'N:3' UNION ALL SELECT b.source, 2 FROM tree a JOIN tree b ON b.target = a.source WHERE a.target = 'N:3'),
+rows_ AS (SELECT 0 AS s, 'standard' AS section, 1 AS place, 'N:3' AS node_id, NULL AS edge_id, NULL::INTEGER AS depth, NULL AS path, NULL AS path_edges, NULL AS status
+  UNION ALL SELECT 1, 'direct_parents', row_number() OVER (ORDER BY seo, edge_id), source, edge_id, NULL, NULL, NULL, NULL FROM tree WHERE target = 'N:3' UNION ALL SELECT 2, 'direct_children', row_number() OVER (ORDER BY seo, edge_id), target, edge_id, NULL, NULL, NULL, NULL FROM tree WHERE source = 'N:3'
+  UNION ALL SELECT 3, 'ancestors', row_number() OVER (ORDER BY depth, node), node, NULL, depth, NULL, NULL, NULL FROM up UNION ALL SELECT 4, 'ancestor_edges', row_number() OVER (ORDER BY seo, edge_id), NULL, edge_id, NULL, NULL, NULL, NULL FROM tree WHERE source IN (SELECT node FROM up) AND target IN (SELECT node FROM up)
+  UNION ALL SELECT 5, 'descendants', row_number() OVER (ORDER BY depth, node), node, NULL, depth, NULL, NULL, NULL FROM down UNION ALL SELECT 6, 'descendant_edges', row_number() OVER (ORDER BY seo, edge_id), NULL, edge_id, NULL, NULL, NULL, NULL FROM tree WHERE source IN (SELECT node FROM down) AND target IN (SELECT node FROM down)
+  UNION ALL SELECT 7, 'root_paths', 1, NULL, NULL, NULL, '["root","' || a.source || '","N:3"]', '["' || b.edge_id || '","' || a.edge_id || '"]', NULL FROM tree a JOIN tree b ON b.target = a.source WHERE a.target = 'N:3'),
+all_ AS (SELECT * FROM rows_ UNION ALL SELECT 8, 'statuses', row_number() OVER (ORDER BY seo, edge_id), NULL, edge_id, NULL, NULL, NULL, status FROM st WHERE status IS NOT NULL AND (edge_id IN (SELECT edge_id FROM rows_) OR target = 'N:3' OR target IN (SELECT node FROM up))),
+o AS (SELECT *, row_number() OVER (ORDER BY s, place) AS ord, '{{' || concat_ws(',', '"section":"' || section || '"', '"place":' || place, '"node_id":"' || node_id || '"', '"edge_id":"' || edge_id || '"', '"depth":' || depth, '"path":' || path, '"path_edges":' || path_edges, '"status":"' || status || '"') || '}}' AS json FROM all_),
+m AS (SELECT ord, node_id AS id, TRUE AS is_node FROM o WHERE node_id IS NOT NULL UNION ALL SELECT ord, edge_id, FALSE FROM o WHERE edge_id IS NOT NULL UNION ALL SELECT ord, unnest(from_json(path, '["VARCHAR"]')), TRUE FROM o WHERE path IS NOT NULL UNION ALL SELECT ord, unnest(from_json(path_edges, '["VARCHAR"]')), FALSE FROM o WHERE path_edges IS NOT NULL),
+f AS (SELECT id, is_node, min(ord) AS ord FROM m GROUP BY id, is_node),
+w AS (SELECT f.ord, sum(strlen(CASE WHEN is_node THEN '{{"node_id":"' || id || '"}}' ELSE '{{"edge_id":"' || st.edge_id || '","source":"' || st.source || '","target":"' || st.target || '","seo":' || st.seo || CASE WHEN status IS NULL THEN '' ELSE ',"status":"' || status || '"' END || '}}' END))::BIGINT AS new_ FROM f LEFT JOIN st ON NOT is_node AND st.edge_id = id GROUP BY f.ord),
+z AS (SELECT o.*, strlen(json) + coalesce(new_, 0) AS bytes, (sum(strlen(json) + coalesce(new_, 0)) OVER (ORDER BY o.ord))::BIGINT AS running FROM o LEFT JOIN w ON w.ord = o.ord)"""
+
+
+@query(f"WITH {CONTEXT} SELECT section, place, node_id, edge_id, coalesce(depth, -1) AS depth, status, running FROM z WHERE running <= 20000")
+def context_bundle(spark, sf):
+    """The whole context, as far as 20,000 bytes go."""
+    return _context(spark, sf, 20_000).entries.select("section", "place", "node_id", "edge_id", F.coalesce("depth", F.lit(-1)).alias("depth"), "status", "running")
+
+
+@query(f"WITH {CONTEXT} SELECT section, count(*) AS entries, max(running)::BIGINT AS bytes FROM z WHERE running <= 1048576 GROUP BY section")
+def context_sections(spark, sf):
+    return _context(spark, sf, 1 << 20).entries.groupBy("section").agg(F.count("*").alias("entries"), F.max("running").alias("bytes"))
