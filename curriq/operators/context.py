@@ -34,8 +34,9 @@ class Bounds:
 @dataclass
 class Context:
     """entries (ord, section, place, node_id, edge_id, depth, path, status, bytes, running), nodes, edges, and what ended each
-    part: truncation by section, and `byte_limit` for the whole."""
+    part: truncation by section, and `byte_limit` for the whole. told: all entries, before the budget."""
 
+    told: DataFrame
     entries: DataFrame
     nodes: DataFrame
     edges: DataFrame
@@ -81,10 +82,10 @@ def standard_context(edges: DataFrame, nodes: DataFrame, root: str, node_id: str
     mentioned = told.select(F.explode(F.concat(F.array("edge_id"), F.coalesce("path_edges", F.array().cast("array<string>")))).alias("edge_id")).where("edge_id IS NOT NULL").distinct()
     statuses = edges.join(mentioned, "edge_id", "left_semi").where("status IS NOT NULL")
     told = told.unionByName(_entries(statuses, "statuses", seo, edge_id=F.col("edge_id"), status=F.col("status")))
-    return _admitted(cut(told, folder, "entries"), nodes, edges, b, {s: r for s, r in (("ancestors", up_cut), ("descendants", down_cut), ("root_paths", paths_cut)) if r})
+    return admitted(cut(told, folder, "entries"), nodes, edges, b, {s: r for s, r in (("ancestors", up_cut), ("descendants", down_cut), ("root_paths", paths_cut)) if r})
 
 
-def _admitted(told: DataFrame, nodes: DataFrame, edges: DataFrame, b: Bounds, truncation: dict[str, str]) -> Context:
+def admitted(told: DataFrame, nodes: DataFrame, edges: DataFrame, b: Bounds, truncation: dict[str, str]) -> Context:
     """Entries that the byte budget admits, and the nodes and edges that they mention."""
     folder = loop_dir(told.sparkSession)
     size = lambda rows, key: rows.select(key, F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long").alias("bytes"))
@@ -101,4 +102,4 @@ def _admitted(told: DataFrame, nodes: DataFrame, edges: DataFrame, b: Bounds, tr
     ended = {} if summed.where(F.col("running") > b.max_bytes - b.reserve).isEmpty() else {"byte_limit": "byte_limit"}
     within = lambda first, key: first.join(kept.select("ord"), "ord", "left_semi").select(key)
     shown = kept.select("ord", "section", "place", "node_id", "edge_id", "depth", "path", "status", "bytes", "running")
-    return Context(shown, nodes.join(within(first_nodes, "node_id"), "node_id", "left_semi"), edges.join(within(first_edges, "edge_id"), "edge_id", "left_semi"), truncation | ended)
+    return Context(told, shown, nodes.join(within(first_nodes, "node_id"), "node_id", "left_semi"), edges.join(within(first_edges, "edge_id"), "edge_id", "left_semi"), truncation | ended)
