@@ -5,10 +5,13 @@ Packages: framework_id, snapshot_id, package_id, graph_type, is_current, status,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curriq.functions.text import facet_key, facet_keys, facet_text
+from curriq.operators.paging import keyset_page
 
 
 def text_filter(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
@@ -70,3 +73,39 @@ def compare_sections(sections: DataFrame, hits: DataFrame, order: list[Column],
     w = Window.partitionBy("framework_id").orderBy(*order)
     best = hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return sections.select("framework_id").distinct().join(best, "framework_id", "left")
+
+
+@dataclass(frozen=True)
+class ListRequest:
+    """What frameworks are listed: free text, currency, graph types, statuses, normalized members of array columns, and a page."""
+
+    query: str = ""
+    current: bool | None = None
+    graph_types: tuple[str, ...] = ()
+    statuses: tuple[str, ...] = ()
+    members: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    limit: int = 25
+    after: tuple[str, str] | None = None
+
+
+def list_frameworks(packages: DataFrame, request: ListRequest) -> DataFrame:
+    """A page of snapshots (framework_id, snapshot_id, is_current, graph_types, package_ids, total) in order of their ids.
+
+    Filters are combined; a snapshot passes those on types and statuses if any of its packages does, so its row shows all of
+    them. Array columns of a snapshot's packages are put together. total counts what passes, whatever the page; `after` is the
+    last (framework_id, snapshot_id) of the page before and has to be among them. packages: as above, and name.
+    """
+    arrays = [c for c, _ in request.members]
+    whole = packages.groupBy("framework_id", "snapshot_id").agg(
+        F.max("is_current").alias("is_current"), F.sort_array(F.collect_set("graph_type")).alias("graph_types"), F.sort_array(F.collect_set("package_id")).alias("package_ids"), F.collect_set("status").alias("statuses"), F.min("name").alias("name"),
+        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in arrays],
+    )
+    if request.current is not None:
+        whole = whole.where(F.col("is_current") == request.current)
+    for column, wanted in (("graph_types", request.graph_types), ("statuses", request.statuses)):
+        whole = whole.where(F.arrays_overlap(column, F.array(*map(F.lit, wanted)))) if wanted else whole
+    for column, wanted in request.members:
+        whole = whole.where(member_filter(column, list(wanted)))
+    found = text_filter(whole, ["framework_id", "snapshot_id", "name"], request.query)
+    total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
+    return keyset_page(found.join(total, F.lit(True)).select("framework_id", "snapshot_id", "is_current", "graph_types", "package_ids", "total"), ["framework_id", "snapshot_id"], list(request.after) if request.after else None, request.limit)

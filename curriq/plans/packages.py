@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curriq.operators import evidence, package_rules, validation
+from curriq.operators import catalog, evidence, judgments, package_rules, validation
 from curriq.plans import rules
 from curriq.plans import views as V
 from curriq.plans.registry import query
@@ -105,3 +105,32 @@ def delivery_lines(spark, sf):
     item = F.array(F.lit("StandardsFrameworkItem"))
     edges = V.progressions(spark, sf).select("edge_id", "label", "source", "target", item.alias("source_labels"), item.alias("target_labels"), F.col("label").alias("relationship_type"), F.concat(F.lit('é/"'), F.col("s").cast("string")).alias("author"), F.lit(None).cast("string").alias("license"))
     return slim.wire_lines(edges)
+
+
+@query(f"""
+WITH {V.BUILDS}, w AS (SELECT bt.*, a.p_name AS an, b.p_name AS bn, a.p_size AS z FROM bt JOIN part a ON a.p_partkey = s JOIN part b ON b.p_partkey = t),
+j AS (SELECT *, repeat(an || ' é ', z) AS rationale, list_transform(range(s % 8), lambda i: repeat(bn, (i * t) % 60)) AS warnings FROM w)
+SELECT edge_id, an AS source_statement, bn AS target_statement, FALSE AS source_shortened, s % 11 <> 0 AS judged, CASE WHEN s % 11 <> 0 THEN substr(rationale, 1, 512) END AS rationale_excerpt, CASE WHEN s % 11 <> 0 THEN length(rationale) > 512 END AS rationale_excerpted,
+  coalesce(CASE WHEN s % 11 <> 0 THEN s % 8 END, -1)::BIGINT AS warning_count, CASE WHEN s % 11 <> 0 THEN array_to_string(list_transform(warnings[1:5], lambda x: substr(x, 1, 512)), '|') END AS warning_excerpts,
+  CASE WHEN s % 11 <> 0 THEN len(list_filter(warnings[1:5], lambda x: length(x) > 512)) > 0 END AS warnings_excerpted, CASE WHEN s % 11 <> 0 THEN s % 8 > 5 END AS warnings_omitted FROM j""")
+def lp_edge_evidence(spark, sf):
+    """Every edge with its ends and its judgment, which every eleventh part's edges lack."""
+    edges = V.builds_towards(spark, sf)
+    nodes = V.part_nodes(spark, sf).select("node_id", F.col("p_name").alias("description"), "p_partkey", "p_size")
+    ends = edges.where("s % 11 <> 0").join(nodes.select(F.col("p_partkey").alias("s"), F.col("description").alias("an"), "p_size"), "s").join(nodes.select(F.col("p_partkey").alias("t"), F.col("description").alias("bn")), "t")
+    rationale = F.repeat(F.concat("an", F.lit(" é ")), F.col("p_size").cast("int"))
+    kinds = F.when(F.col("s") % 8 > 0, F.sequence(F.lit(0), (F.col("s") % 8 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    judged = ends.select("edge_id", F.lit(0.5).alias("confidence"), rationale.alias("rationale"), F.transform(kinds, lambda i: F.repeat(F.col("bn"), (i * F.col("t") % 60).cast("int"))).alias("warnings"))
+    found = judgments.edge_evidence(edges.select("edge_id", "source", "target"), nodes, judged)
+    return found.select("edge_id", "source_statement", "target_statement", "source_shortened", "judged", "rationale_excerpt", "rationale_excerpted", F.coalesce("warning_count", F.lit(-1)).alias("warning_count"), F.array_join("warning_excerpts", "|").alias("warning_excerpts"), "warnings_excerpted", "warnings_omitted")
+
+
+@query(f"""
+WITH {rules.PACKAGES}, s AS (SELECT framework_id, CASE WHEN is_current THEN 'now' ELSE 'then' END AS snapshot_id, bool_or(is_current) AS is_current, list_sort(list_distinct(list(graph_type))) AS graph_types, list_sort(list(package_id)) AS package_ids, list(status) AS statuses, flatten(list(subjects)) AS subjects FROM packages GROUP BY framework_id, is_current),
+f AS (SELECT *, count(*) OVER () AS total FROM s WHERE list_contains(statuses, 'passed') AND list_has_any(list_transform(subjects, lambda x: lower(x)), ['long  text', 'fr']) AND contains(lower(framework_id || ' ' || snapshot_id || ' framework ' || framework_id), 'e') AND contains(snapshot_id, 'then'))
+SELECT framework_id, snapshot_id, is_current, array_to_string(graph_types, ',') AS graph_types, len(package_ids) AS packages, total FROM f ORDER BY framework_id, snapshot_id LIMIT 3""")
+def catalog_list(spark, sf):
+    """Text, members, statuses and a page in one request; a source's current package and its others are two snapshots."""
+    packages = rules._packages(spark, sf).withColumn("snapshot_id", F.when(F.col("is_current"), "now").otherwise("then")).withColumn("name", F.concat(F.lit("Framework "), "framework_id"))
+    page = catalog.list_frameworks(packages, catalog.ListRequest(query=" E then", statuses=("passed",), members=(("subjects", ("long text", "FR")),), limit=3))
+    return page.select("framework_id", "snapshot_id", "is_current", F.array_join("graph_types", ",").alias("graph_types"), F.size("package_ids").cast("long").alias("packages"), "total")
