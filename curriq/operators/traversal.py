@@ -122,17 +122,25 @@ def reachable(edges: DataFrame, start: DataFrame, symmetric: bool = False) -> Da
 
 
 def peel(edges: DataFrame) -> DataFrame:
-    """Edges (source, target) left after removing nodes without incoming edges again and again: empty without a cycle."""
+    """Edges (source, target) left after removing nodes without incoming edges again and again: empty without a cycle.
+
+    Edges are written once. A round takes those of the nodes that the round before removed, and a node goes once all its
+    incoming edges are taken, which a small table of open counts tells: each edge is taken once, however many rounds.
+    """
     folder, step = loop_dir(edges.sparkSession), 0
-    left = cut(edges.select("source", "target"), folder, "step-0")
-    before = left.count()
-    while before:
-        left = cut(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi"), folder, f"step-{step + 1}")
-        now, step = left.count(), step + 1
-        if now == before:
-            break
-        before = now
-    return left
+    edges = cut(edges.select("source", "target"), folder, "edges")
+    needs = cut(edges.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n")), folder, "needs")
+    gone = front = cut(edges.select(F.col("source").alias("node")).distinct().join(needs, "node", "left_anti").select("node"), folder, "gone-0")
+    open_ = needs.withColumn("n", F.lit(0).cast("long")).limit(0)  # (node, n): incoming edges taken so far
+    while not front.isEmpty():
+        taken = edges.join(front.withColumnRenamed("node", "source"), "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"))
+        counted = open_.unionByName(taken).groupBy("node").agg(F.sum("n").alias("n"))
+        met = cut(counted.join(needs.withColumnRenamed("n", "all"), "node").select("node", "n", (F.col("n") == F.col("all")).alias("done")), folder, f"met-{step + 1}")
+        front, open_ = met.where("done").select("node"), met.where("NOT done").select("node", "n")
+        gone, step = gone.unionByName(front), step + 1
+        if step % FOLD == 0:
+            gone = cut(gone, folder, f"gone-{step}")
+    return edges.join(gone.withColumnRenamed("node", "source"), "source", "left_anti")
 
 
 def cycle_witness(edges: DataFrame) -> list[str]:
