@@ -64,14 +64,15 @@ def traverse(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250,
     return found.nodes.select("node_id", "depth"), found.edges, found.reasons[-1] if found.reasons else None
 
 
-def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max_edges: int = 100, down: bool = True, work: int = MAX_EXAMINED) -> Walk:
+def walk(edges: DataFrame, start: str, max_depth: int, max_nodes: int = 250, max_edges: int = 100, down: bool = True, work: int | None = None) -> Walk:
     """A bounded breadth-first walk in order of arrival.
 
     A level's edges are looked at in order of (arrival of their node, edge_id). At the depth bound, edges to nodes already
     returned are kept, others counted as `depth_limit`. The edge that would break a bound ends the walk and isn't taken.
-    A walk looks at `work` edges at most; where that ends it, the reason is `work_limit`.
+    A walk looks at `work` edges (MAX_EXAMINED, unless told) at most; where that ends it, the reason is `work_limit`.
     """
     near, far = ("source", "target") if down else ("target", "source")
+    work = MAX_EXAMINED if work is None else work
     spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
     edges = cut(edges.select("edge_id", "source", "target"), folder, "edges")
     seen = cut(spark.createDataFrame([(start, 0, 0)], "node_id string, depth int, arrival long"), folder, "nodes-0")

@@ -96,6 +96,17 @@ def statement_codes(items: DataFrame, pattern: str, permitted: Column) -> list[D
     ]
 
 
+def aware_timestamps(rows: DataFrame, record: str, column: str) -> list[DataFrame]:
+    """Timestamps as text: those that are none, and those without an offset from UTC."""
+    text = F.col(column)
+    form = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?"
+    offset = text.rlike(form + r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    # Spark's reader wants seconds
+    whole = F.regexp_replace(text, r"^(.{10}[T ][0-9]{2}:[0-9]{2})(?=$|Z|[+-])", "$1:00")
+    is_one = text.rlike(form + r"(Z|[+-][0-9]{2}:?[0-9]{2})?$") & F.try_to_timestamp(whole).isNotNull()
+    return [finding(rows.where(text.isNotNull() & ~is_one), "timestamp-invalid", record, f"{column} is no timestamp"), finding(rows.where(is_one & ~offset), "timestamp-naive", record, f"{column} has no offset")]
+
+
 def grade_levels(items: DataFrame, known: list[str]) -> list[DataFrame]:
     levels = F.col("grade_level")
     return [
@@ -126,6 +137,27 @@ def parent_policy(edges: DataFrame, items: DataFrame, policies: DataFrame, most:
     return out
 
 
+def parent_dispatch(edges: DataFrame, items: DataFrame, policies: DataFrame, root_types: list[str], root: str, most: int | None = None) -> list[DataFrame]:
+    """Each item's parents by the one rule that holds for it: an item with a fallback edge by that of fallbacks, one of a root
+    type has the root once among its ordinary parents and no other, the others by their policies. Items without a type, or of
+    one without a policy, have none; a status other than the fallback's is an error on an ordinary edge.
+    """
+    known = items.join(policies.select("statement_type").distinct().unionByName(edges.sparkSession.createDataFrame([(t,) for t in root_types], "statement_type string")).distinct(), "statement_type", "left_semi")
+    fallback = edges.where("status = 'unresolvedRootFallback'").select(F.col("target").alias("node_id")).distinct()
+    plain = known.join(fallback, "node_id", "left_anti")
+    is_root = F.col("statement_type").isin(*root_types) if root_types else F.lit(False)
+    into = edges.join(plain.select(F.col("node_id").alias("target"), is_root.alias("__root")), "target")
+    strange = finding(into.where("status IS NOT NULL"), "relationship_status_not_applicable", "edge_id", "no status of an ordinary parent")
+    ordinary = into.where("status IS NULL")
+    tops = ordinary.where("__root").groupBy(F.col("target").alias("node_id")).agg(F.count_if(F.col("source") == root).alias("roots"), F.count("*").alias("parents"))
+    met = plain.where(is_root).join(tops, "node_id", "left").fillna(0, ["roots", "parents"])
+    of_roots = finding(met.where("roots <> 1 OR parents <> 1"), "root-type-parent", "node_id", "a root type has the framework as its only parent")
+    # fallback edges go along for their own rule, and for the items that it takes out
+    rest = ordinary.where("NOT __root").drop("__root").unionByName(edges.join(fallback.withColumnRenamed("node_id", "target"), "target", "left_semi").select(*[c for c in ordinary.columns if c != "__root"]))
+    others = parent_policy(rest, items, policies.where(~F.col("statement_type").isin(*root_types)) if root_types else policies, most, root)
+    return [strange, of_roots, *others]
+
+
 def hierarchy(edges: DataFrame, nodes: DataFrame, root: str) -> list[DataFrame]:
     """Cycles (nodes that peeling leaves) and nodes that the root doesn't reach."""
     start = edges.sparkSession.createDataFrame([(root,)], "node_id string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curriq.operators import catalog, evidence, judgments, package_rules, validation
+from curriq.operators import catalog, evidence, judgments, lp_graph, package_rules, statistics, validation
 from curriq.plans import rules
 from curriq.plans import views as V
 from curriq.plans.registry import query
@@ -134,3 +134,49 @@ def catalog_list(spark, sf):
     packages = rules._packages(spark, sf).withColumn("snapshot_id", F.when(F.col("is_current"), "now").otherwise("then")).withColumn("name", F.concat(F.lit("Framework "), "framework_id"))
     page = catalog.list_frameworks(packages, catalog.ListRequest(query=" E then", statuses=("passed",), members=(("subjects", ("long text", "FR")),), limit=3))
     return page.select("framework_id", "snapshot_id", "is_current", F.array_join("graph_types", ",").alias("graph_types"), F.size("package_ids").cast("long").alias("packages"), "total")
+
+
+@query(f"""
+WITH {V.PROGRESSIONS}, e AS (SELECT *, b.p_brand AS package_id FROM lp JOIN part b ON b.p_partkey = s), k AS (SELECT DISTINCT p_brand AS package_id FROM part),
+c AS (SELECT package_id, count(*) FILTER (WHERE label = 'buildsTowards') AS b, count(*) FILTER (WHERE label = 'relatesTo') AS r FROM e GROUP BY package_id)
+SELECT package_id, 'lp_endpoint_mismatch' AS code, edge_id AS record_id FROM e WHERE t % 7 = 0 OR s % 7 = 0 OR s % 10 = 9 UNION ALL SELECT package_id, 'lp_identity_mismatch', edge_id FROM e WHERE t % 11 = 0 UNION ALL SELECT package_id, 'lp_foreign_resolution_metadata', edge_id FROM e WHERE t % 13 = 0
+UNION ALL SELECT package_id, 'lp_relates_to_order', edge_id FROM e WHERE label = 'relatesTo' AND NOT CASE WHEN s % 10 = 9 THEN 'x' ELSE 'u' || s END < 'u' || t
+UNION ALL SELECT package_id, 'lp_undeclared', NULL FROM k WHERE package_id IN (SELECT package_id FROM e) AND package_id LIKE '%1' UNION ALL SELECT package_id, 'lp_evidence_not_validated', NULL FROM k WHERE package_id LIKE '%2'
+UNION ALL SELECT k.package_id, 'lp_manifest_count_mismatch', NULL FROM k LEFT JOIN c ON c.package_id = k.package_id WHERE coalesce(b, 0) <> 100 OR coalesce(r, 0) <> 500
+UNION ALL SELECT package_id, 'lp_pair_conflict', edge_id FROM (SELECT package_id, edge_id, row_number() OVER (PARTITION BY package_id, least(CASE WHEN s % 10 = 9 THEN 'x' ELSE 'u' || s END, 'u' || t), greatest(CASE WHEN s % 10 = 9 THEN 'x' ELSE 'u' || s END, 'u' || t) ORDER BY s, t, label) AS n FROM e) WHERE n > 1""")
+def findings_lp_graph(spark, sf):
+    """Brands as packages; every few edges name other values (the source's of every tenth part is x), types or metadata."""
+    brand = table(spark, sf, "part").select(F.col("p_partkey").alias("s"), F.col("p_brand").alias("package_id"))
+    item = F.array(F.lit("StandardsFrameworkItem"))
+    of = lambda side: {f"{side}_labels": item, f"{side}_entity": F.lit("StandardsFrameworkItem"), f"{side}_entity_key": F.lit("caseIdentifierUUID")}
+    uuid = lambda key: F.concat(F.lit("u"), F.col(key).cast("string"))
+    edges = V.progressions(spark, sf).join(brand, "s").withColumns({
+        **of("source"), **of("target"), "source_entity_value": F.when(F.col("s") % 10 == 9, "x").otherwise(uuid("s")), "target_entity_value": uuid("t"), "property_identifier": F.col("edge_id"),
+        "relationship_type": F.when(F.col("t") % 11 != 0, F.col("label")), "status": F.when(F.col("t") % 26 == 0, "odd"), "confidence": F.when(F.col("t") % 26 == 13, F.lit(0.5)),
+        "seo": F.col("s") * 10_000_000 + F.col("t") * 2 + (F.col("label") == "relatesTo").cast("int"),
+    })
+    standards = V.part_nodes(spark, sf).select("node_id", F.when(F.col("p_partkey") % 7 != 0, uuid("p_partkey")).alias("case_identifier_uuid"))
+    names = brand.select("package_id").distinct()
+    packages = names.select("package_id", (~F.col("package_id").endswith("1")).alias("declared"), F.lit(False).alias("has_artifacts"), (~F.col("package_id").endswith("2")).alias("evidence_valid"), F.lit(100).alias("builds_towards"), F.lit(500).alias("relates_to"))
+    # a package's standards: those that its edges name
+    ends = edges.select("package_id", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    return lp_graph.graph_rules(edges, ends.join(standards, "node_id"), packages)
+
+
+@query("""
+WITH i AS (SELECT 'P:' || p_partkey AS node_id FROM part), c AS (SELECT i.node_id, count(DISTINCT l_suppkey) AS parents FROM i LEFT JOIN lineitem ON 'P:' || l_partkey = i.node_id GROUP BY i.node_id)
+SELECT parents, count(*) AS items FROM c GROUP BY parents""")
+def stat_distinct_parents(spark, sf):
+    """Parts by their different suppliers, however often an order repeats them."""
+    edges = table(spark, sf, "lineitem").select(V.ident("S", "l_suppkey").alias("source"), V.ident("P", "l_partkey").alias("target"))
+    return statistics.parent_distribution(edges, V.part_nodes(spark, sf), distinct_sources=True)
+
+
+@query("""
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'timestamp-naive' ELSE 'timestamp-invalid' END AS code, o_orderkey::VARCHAR AS record_id FROM orders WHERE o_orderkey % 5 IN (0, 1)""")
+def findings_timestamps(spark, sf):
+    """Order dates at noon; every fifth without an offset, others with a 13th month."""
+    k = F.col("o_orderkey") % 5
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    at = F.when(k == 0, F.concat(day, F.lit("T12:00:00"))).when(k == 1, F.concat(F.substring(day, 1, 4), F.lit("-13-01T12:00:00Z"))).when(k == 2, F.concat(day, F.lit(" 12:00+02:00"))).when(k == 3, F.concat(day, F.lit("T12:00:00.25Z")))
+    return validation.report(validation.aware_timestamps(table(spark, sf, "orders").withColumn("at", at), "o_orderkey", "at")).select("code", "record_id")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from curriq.operators import package_rules
+from curriq.operators import lp_graph, package_rules, validation
 from curriq.sources import slim, wire
 
 
@@ -92,3 +92,39 @@ def test_the_delivery_file(spark, tmp_path, end):
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["prefix.jsonl", "whole.jsonl"]
     with pytest.raises(FileExistsError):
         slim.write_delivery_file(str(tmp_path / "prefix.jsonl"), edges, str(tmp_path / "whole.jsonl"))
+
+
+def test_statement_types(spark):
+    items = spark.createDataFrame([("a", None, None, 1), ("b", " T", "N", 2), ("c", "X", None, 3), ("d", "G", None, 4), ("e", "T", "other", 5), ("f", "T", "N", 6), ("g", "U", None, 7)], "node_id string, statement_type string, normalized_type string, seo int")
+    policies = spark.createDataFrame([("T", "N", True), ("G", None, False), ("U", None, True), (" T", "N", True)], "statement_type string, normalized_type string, is_graph_node boolean")
+    found = sorted((r.code, r.record_id) for r in validation.report(validation.statement_types(items, policies)).collect())
+    assert found == [("statement-type-missing", "a"), ("statement-type-no-node", "d"), ("statement-type-normalized", "e"), ("statement-type-space", "b"), ("statement-type-unknown", "c")]
+
+
+def test_parents_by_the_rule_that_holds(spark):
+    items = spark.createDataFrame([("top", "ROOT"), ("two", "ROOT"), ("lost", "ROOT"), ("low", "LOW"), ("odd", "LOW"), ("back", "LOW"), ("both", "LOW"), ("free", None)], "node_id string, statement_type string")
+    rows = [("1", "root", "top", None), ("2", "root", "two", None), ("3", "top", "two", None), ("4", "top", "low", None), ("5", "low", "odd", None), ("6", "root", "back", "unresolvedRootFallback"), ("7", "root", "both", "unresolvedRootFallback"), ("8", "top", "both", None), ("9", "low", "free", None), ("10", "top", "low", "strange")]
+    edges = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "edge_id string, source string, target string, status string, seo int")
+    policies = spark.createDataFrame([("LOW", "ROOT", 1, 1)], "statement_type string, parent_type string, least int, most int")
+    found = sorted((r.code, r.record_id) for r in validation.report(validation.parent_dispatch(edges, items, policies, ["ROOT"], "root")).collect())
+    assert found == [("parent-fallback", "7"), ("parent-too-few", "odd"), ("parent-type", "odd"), ("relationship_status_not_applicable", "10"), ("root-type-parent", "lost"), ("root-type-parent", "two")]
+
+
+def test_cycles_of_packages_stay_apart(spark):
+    item = ["StandardsFrameworkItem"]
+    row = lambda p, e, n, label, s, t, **kw: (p, e, n, label, kw.get("kind", label), kw.get("own", e), s, t, item, item, item[0], item[0], "caseIdentifierUUID", "caseIdentifierUUID", f"u{s}", f"u{t}", None, None)
+    edges = spark.createDataFrame(
+        [row("p", "1", 1, "buildsTowards", "a", "b"), row("p", "2", 2, "buildsTowards", "b", "a"), row("q", "3", 1, "buildsTowards", "a", "b"), row("q", "4", 2, "relatesTo", "b", "c"), row("q", "5", 3, "relatesTo", "c", "c"), row("q", "5", 4, "relatesTo", "a", "c"), row("q", "6", 5, "relatesTo", "a", "nobody", own="7")],
+        "package_id string, edge_id string, seo long, label string, relationship_type string, property_identifier string, source string, target string, source_labels array<string>, target_labels array<string>, source_entity string, target_entity string, source_entity_key string, target_entity_key string, source_entity_value string, target_entity_value string, status string, confidence double",
+    )
+    standards = spark.createDataFrame([(p, n, f"u{n}") for p in "pq" for n in "abc"], "package_id string, node_id string, case_identifier_uuid string")
+    packages = spark.createDataFrame([("p", True, False, True, 2, 0), ("q", True, False, True, 1, 4), ("r", False, True, False, 0, 0)], "package_id string, declared boolean, has_artifacts boolean, evidence_valid boolean, builds_towards int, relates_to int")
+    found = sorted(map(tuple, lp_graph.graph_rules(edges, standards, packages).collect()), key=repr)
+    assert found == sorted([("p", "lp_builds_towards_cycle", None), ("p", "lp_pair_conflict", "2"), ("q", "lp_endpoint_mismatch", "6"), ("q", "lp_identity_mismatch", "6"), ("q", "lp_pair_conflict", "5"), ("q", "lp_relates_to_order", "5"), ("q", "lp_self_edge", "5"), ("r", "lp_undeclared", None)], key=repr)
+
+
+def test_timestamps_with_and_without_an_offset(spark):
+    texts = {"a": "2024-02-29T12:00:00Z", "b": "2024-02-29 12:00+02:00", "c": "2024-02-29T12:00:00.123-0530", "d": None, "e": "2024-02-29T12:00:00", "f": "2024-02-29 12:00", "g": "2023-02-29T12:00:00Z", "h": "2024-02-29", "i": "noon", "j": "2024-02-29T25:00:00Z", "k": "2024-02-29T12:00:00Zx"}
+    rows = spark.createDataFrame(list(texts.items()), "id string, at string")
+    found = sorted((r.record_id, r.code) for r in validation.report(validation.aware_timestamps(rows, "id", "at")).collect())
+    assert found == [("e", "timestamp-naive"), ("f", "timestamp-naive"), ("g", "timestamp-invalid"), ("h", "timestamp-invalid"), ("i", "timestamp-invalid"), ("j", "timestamp-invalid"), ("k", "timestamp-invalid")]
