@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from curriq.functions.text import CodeRules
 from curriq.operators import facets, scopes, search
-from curriq.operators.paging import decode_cursor, encode_cursor
+from curriq.operators.paging import decode_cursor, encode_cursor, numbered
 from curriq.session import cut, loop_dir
 
 MODES = ("text", "code_exact", "code_prefix")
 IDENTITY = ("framework_id", "snapshot_id", "graph_type", "package_revision", "package_id")
 TEXT_OFF, CODE_OFF, PREFIX_OFF, CODE_PARTIAL, SEVERAL = "text_search_unavailable", "code_search_unavailable", "code_prefix_unavailable", "partial_code_coverage", "multiple_exact_code_matches"
+SHOWN = ("score", "matched_terms", "package_id", "node_id", "normalized_code")
 WARNING = "package_id string, code string, node_id string, message string"
 
 
@@ -121,6 +122,15 @@ def ranked(nodes: DataFrame, packages: DataFrame, policies: DataFrame, request:
     return found.where(facets.matches(request.filters)), [first, *IDENTITY, "node_id", "seo"]
 
 
+def whole_search(nodes: DataFrame, packages: DataFrame, policies: DataFrame, request: Request, rules: CodeRules | None = None, code_scopes: DataFrame | None = None) -> DataFrame:
+    """The hits of all pages of a request, with their place among all: one search, however many pages. See `search_page`."""
+    chosen = scopes.select_packages(packages, request.package_id, list(request.frameworks), list(request.graph_types), list(request.snapshots))
+    hits, keys = ranked(nodes, able(chosen, request)[0], policies, request, rules or CodeRules(), code_scopes)
+    shown = [c for c in SHOWN if c in hits.columns]
+    placed = numbered(hits.select(*dict.fromkeys([*shown, *keys, *facets.EVIDENCE])), keys, loop_dir(nodes.sparkSession))
+    return placed.select("place", *shown, *facets.EVIDENCE)
+
+
 def search_page(nodes: DataFrame, packages: DataFrame, policies: DataFrame, request: Request, cursor: str | None = None, rules: CodeRules | None = None, code_scopes: DataFrame | None = None) -> Page:
     """A page of standards.
 
@@ -147,7 +157,7 @@ def search_page(nodes: DataFrame, packages: DataFrame, policies: DataFrame, requ
         if hits.where(F.struct(*keys) == spot).isEmpty():
             raise LookupError("the cursor's hit is not among the results")
         hits = hits.where(F.struct(*keys) > spot)
-    shown = [c for c in ("score", "matched_terms", "package_id", "node_id", "normalized_code") if c in hits.columns]
+    shown = [c for c in SHOWN if c in hits.columns]
     first = cut(hits.select(*dict.fromkeys([*shown, *keys, *facets.EVIDENCE])).orderBy(*keys).limit(request.limit + 1), loop_dir(nodes.sparkSession), "page")
     # a window over one hit more than the page
     placed = first.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))

@@ -9,6 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curriq.session import cut
+
 
 def keyset_page(rows: DataFrame, keys: list[str], last: list | None, limit: int) -> DataFrame:
     """The rows after the key `last`, which must exist, in order of keys (ascending; negate numbers to descend)."""
@@ -23,6 +25,16 @@ def keyset_page(rows: DataFrame, keys: list[str], last: list | None, limit: int)
     return rows.orderBy(*keys).limit(limit)
 
 
+def numbered(rows: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """rows with their place (from 1) in order of keys: dealt by ranges of keys, numbered in each range, and moved up by what the
+    ranges before hold. Written under folder, as a second reading could be dealt otherwise."""
+    dealt = cut(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), folder, "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    return dealt.join(F.broadcast(starts), "__range").withColumn("place", (own + F.col("__start")).cast("long")).drop("__range", "__start")
+
+
 def within_budget(rows: DataFrame, order: list[Column], cost: Column, budget: int) -> DataFrame:
     """The first rows whose running cost stays within the budget; the first that would exceed it ends the list.
 
