@@ -2,8 +2,9 @@
 
 The answer is a list of entries in order; nodes and edges that entries mention are listed once beside it. A byte budget
 admits entries from the first on: an entry needs the bytes of its own record and of those nodes and edges that no earlier one
-has mentioned. The first that doesn't fit, less the reserve for what closes the answer, ends it. All lists are bounded by the
-request (nodes of a walk, paths and nodes on them), so the running sum is over one partition.
+has mentioned. The first that doesn't fit, less the reserve for what closes the answer, ends it. Each entry takes LEAST_BYTES
+at least, so of a longer section only the first entries that the budget could hold are placed, and the running sum over one
+partition is bounded by the budget, whatever the length of the sections.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from curriq.session import cut, loop_dir
 
 SECTIONS = ("standard", "direct_parents", "direct_children", "ancestors", "ancestor_edges", "descendants", "descendant_edges", "root_paths", "statuses")
 MAX_BYTES, RESERVE = 1 << 20, 4096
+#: The shortest record, {"section":"statuses","place":1}, is longer.
+LEAST_BYTES = 24
 
 
 @dataclass
 class Bounds:
     ancestor_depth: int = 64
     child_depth: int = 64
-    max_nodes: int = 2000
+    max_nodes: int | None = 2000  # None: every node within the depth
     max_paths: int = 1000
     max_occurrences: int = 100_000
     max_bytes: int = MAX_BYTES
@@ -34,7 +37,8 @@ class Bounds:
 @dataclass
 class Context:
     """entries (ord, section, place, node_id, edge_id, depth, path, status, bytes, running), nodes, edges, and what ended each
-    part: truncation by section, and `byte_limit` for the whole. told: all entries, before the budget."""
+    part: truncation by section, and `byte_limit` for the whole. told: the entries before the budget, of each
+    section one more than the budget could hold."""
 
     told: DataFrame
     entries: DataFrame
@@ -43,10 +47,11 @@ class Context:
     truncation: dict[str, str] = field(default_factory=dict)
 
 
-def _entries(rows: DataFrame, section: str, order: list, **columns) -> DataFrame:
-    """A section's entries with their place in it."""
+def _entries(rows: DataFrame, section: str, order: list, most: int, **columns) -> DataFrame:
+    """A section's first entries, `most` of them, with their place in it."""
+    rows = rows.orderBy(*order).limit(most)
     empty = {"node_id": "string", "edge_id": "string", "depth": "int", "path": "array<string>", "path_edges": "array<string>", "status": "string"}
-    place = F.row_number().over(Window.orderBy(*order)).cast("long")  # a list that the request bounds
+    place = F.row_number().over(Window.orderBy(*order)).cast("long")  # a list that the byte budget bounds
     return rows.select(F.lit(SECTIONS.index(section)).alias("s"), F.lit(section).alias("section"), place.alias("place"), *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in empty.items()])
 
 
@@ -69,19 +74,20 @@ def standard_context(edges: DataFrame, nodes: DataFrame, root: str, node_id: str
     up, down = cut(up, folder, "up"), cut(down, folder, "down")
     near = {d: neighbours(edges, nodes.select("node_id"), node_id, d) for d in ("parents", "children")}
     inner = {s: cut(induced_edges(edges, walk), folder, s) for s, walk in (("ancestor_edges", up), ("descendant_edges", down))}
-    parts = [_entries(own, "standard", ["node_id"], node_id=F.col("node_id"))]
-    parts += [_entries(near[d], f"direct_{d}", seo, node_id=F.col("node_id"), edge_id=F.col("edge_id")) for d in ("parents", "children")]
+    most = max(0, b.max_bytes - b.reserve) // LEAST_BYTES + 1  # the last of so many is over the budget, and so is what follows
+    parts = [_entries(own, "standard", ["node_id"], most, node_id=F.col("node_id"))]
+    parts += [_entries(near[d], f"direct_{d}", seo, most, node_id=F.col("node_id"), edge_id=F.col("edge_id")) for d in ("parents", "children")]
     for section, walk, held in (("ancestors", up, "ancestor_edges"), ("descendants", down, "descendant_edges")):
-        parts.append(_entries(walk, section, ["depth", "node_id"], node_id=F.col("node_id"), depth=F.col("depth")))
-        parts.append(_entries(inner[held], held, seo, edge_id=F.col("edge_id")))
-    parts.append(_entries(paths, "root_paths", ["rank"], path=F.col("nodes"), path_edges=F.col("edge_ids")))
+        parts.append(_entries(walk, section, ["depth", "node_id"], most, node_id=F.col("node_id"), depth=F.col("depth")))
+        parts.append(_entries(inner[held], held, seo, most, edge_id=F.col("edge_id")))
+    parts.append(_entries(paths, "root_paths", ["rank"], most, path=F.col("nodes"), path_edges=F.col("edge_ids")))
     told = parts[0]
     for more in parts[1:]:
         told = told.unionByName(more)
     told = cut(told, folder, "told")
     mentioned = told.select(F.explode(F.concat(F.array("edge_id"), F.coalesce("path_edges", F.array().cast("array<string>")))).alias("edge_id")).where("edge_id IS NOT NULL").distinct()
     statuses = edges.join(mentioned, "edge_id", "left_semi").where("status IS NOT NULL")
-    told = told.unionByName(_entries(statuses, "statuses", seo, edge_id=F.col("edge_id"), status=F.col("status")))
+    told = told.unionByName(_entries(statuses, "statuses", seo, most, edge_id=F.col("edge_id"), status=F.col("status")))
     return admitted(cut(told, folder, "entries"), nodes, edges, b, {s: r for s, r in (("ancestors", up_cut), ("descendants", down_cut), ("root_paths", paths_cut)) if r})
 
 

@@ -31,7 +31,7 @@ def longer(spark, tmp_path_factory):
     return str(path), con
 
 
-@pytest.mark.parametrize("name,rows", [("code_page", 150)])
+@pytest.mark.parametrize("name,rows", [("code_page", 150), ("context_sections", 6)])
 def test_longer_tables(spark, longer, name, rows):
     path, con = longer
     got, want = plans.QUERIES[name](spark, path).toPandas(), con.execute(plans.SQL[name]).fetchdf()
