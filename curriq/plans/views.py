@@ -52,24 +52,33 @@ def _pairs(pairs: DataFrame, label: str, letter: str) -> DataFrame:
     return pairs.select(F.concat(F.lit(f"{letter}:"), s, F.lit(">"), t).alias("edge_id"), F.lit(label).alias("label"), s.alias("source"), t.alias("target"), "s", "t")
 
 
-def _part_pairs(spark: SparkSession, sf: str, consecutive: bool) -> DataFrame:
+def _part_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """s, t, next: pairs of parts of one order with s < t, once each, and whether lines n and n + 1 of an order hold them.
+
+    One self-join of narrow rows and one aggregate give both labels: nothing is joined or read again for the other one.
+    """
     lines = table(spark, sf, "lineitem")
-    a = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("s"), (F.col("l_linenumber") + 1).alias("n"))
-    b = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("t"), F.col("l_linenumber").alias("n"))
-    joined = a.join(b, ["o", "n"]) if consecutive else a.drop("n").join(b.drop("n"), "o")  # an order has a handful of lines
-    return joined.where("s < t").select("s", "t").distinct()
+    a = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("s"), F.col("l_linenumber").alias("n"))
+    b = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("t"), F.col("l_linenumber").alias("m"))
+    pairs = a.join(b, "o").where("s < t").select("s", "t", F.coalesce(F.col("m") == F.col("n") + 1, F.lit(False)).alias("next"))  # an order has a handful of lines
+    return pairs.groupBy("s", "t").agg(F.max("next").alias("next"))
 
 
 def builds_towards(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(_part_pairs(spark, sf, True), "buildsTowards", "b")
+    lines = table(spark, sf, "lineitem")
+    a = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("s"), (F.col("l_linenumber") + 1).alias("n"))
+    b = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("t"), F.col("l_linenumber").alias("n"))
+    return _pairs(a.join(b, ["o", "n"]).where("s < t").select("s", "t").distinct(), "buildsTowards", "b")
 
 
 def relates_to(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(_part_pairs(spark, sf, False).join(_part_pairs(spark, sf, True), ["s", "t"], "left_anti"), "relatesTo", "r")
+    return _pairs(_part_pairs(spark, sf).where("NOT next"), "relatesTo", "r")
 
 
 def progressions(spark: SparkSession, sf: str) -> DataFrame:
-    return builds_towards(spark, sf).unionByName(relates_to(spark, sf))
+    s, t = ident("P", "s"), ident("P", "t")
+    letter, label = F.when(F.col("next"), "b:").otherwise("r:"), F.when(F.col("next"), "buildsTowards").otherwise("relatesTo")
+    return _part_pairs(spark, sf).select(F.concat(letter, s, F.lit(">"), t).alias("edge_id"), label.alias("label"), s.alias("source"), t.alias("target"), "s", "t")
 
 
 def part_nodes(spark: SparkSession, sf: str) -> DataFrame:
