@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curriq.operators.traversal import peel, reachable
+from curriq.session import cut, loop_dir
 
 LABELS = ("hasChild", "supports", "buildsTowards", "relatesTo")
 #: What a claim on two standards can decide; the first two are published as edges.
@@ -173,9 +174,11 @@ def orphan_components(nodes: DataFrame, supports: DataFrame) -> DataFrame:
 
 def progression_graph(edges: DataFrame, standards: DataFrame) -> list[DataFrame]:
     """Endpoints that are no standards, self loops, relatesTo not in canonical order, and pairs that two edges join."""
-    ids = standards.select("node_id")
+    # the rules meet the edges many times: they are written once, whatever view they come from
+    folder = loop_dir(edges.sparkSession)
+    edges, ids = cut(edges, folder, "edges"), cut(standards.select("node_id"), folder, "standards")
     pair = {"low": F.least("source", "target"), "high": F.greatest("source", "target")}
-    several = edges.withColumns(pair).groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1")
+    several = cut(edges.withColumns(pair).groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1"), folder, "several")
     twice = edges.withColumns(pair).join(several, ["low", "high"])
     return [
         *[finding(edges.join(ids.withColumnRenamed("node_id", end), end, "left_anti"), f"lp-{end}", "edge_id", f"the {end} is no standard") for end in ("source", "target")],
