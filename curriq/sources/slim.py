@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,12 +103,25 @@ EDGE_FIELDS = {
 }
 
 
+def _python_escapes(text: Column) -> Column:
+    """JSON text of to_json with the few escapes (of other control characters) that it writes in capitals as Python does."""
+    for code in ("0B", "0E", "0F", *(f"1{x}" for x in "ABCDEF")):
+        # an even number of backslashes before it: it isn't an escaped backslash and a u
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return text
+
+
 def wire_lines(edges: DataFrame) -> DataFrame:
     """(label, edge_id, value): progression edges (edge_id, label, source, target, source_labels, target_labels and the columns of
-    EDGE_FIELDS) as canonical wire lines; null fields are left out."""
-    bag = F.struct(*[F.col(c).cast("string").alias(name) for c, name in EDGE_FIELDS.items() if c in edges.columns], F.col("edge_id").alias("identifier"))
+    EDGE_FIELDS) as canonical wire lines; null fields are left out.
+
+    All values are strings and the fields stand in order, so to_json's text is canonical but for the case of rare escapes.
+    """
+    held = {name: F.col(c).cast("string") for c, name in EDGE_FIELDS.items() if c in edges.columns} | {"identifier": F.col("edge_id")}
+    bag = F.struct(*[held[name].alias(name) for name in sorted(held)])
     envelope = F.struct(F.col("edge_id").alias("identifier"), "label", bag.alias("properties"), F.col("source").alias("source_identifier"), "source_labels", F.col("target").alias("target_identifier"), "target_labels", F.lit("relationship").alias("type"))
-    return edges.select("label", "edge_id", canonical_text(F.to_json(envelope)).alias("value"))
+    text = F.transform(F.array(F.to_json(envelope)), lambda t: F.when(F.contains(t, F.lit("\\u00")), _python_escapes(t)).otherwise(t))[0]
+    return edges.select("label", "edge_id", text.alias("value"))
 
 
 def write_delivery_file(prefix: str, edges: DataFrame, target: str) -> int:
