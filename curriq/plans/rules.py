@@ -312,11 +312,10 @@ def coverage_projection(spark, sf):
 WITH {V.PROGRESSIONS} SELECT 'edges' AS part, label AS key, count(*)::BIGINT AS total, count(*) FILTER (WHERE t % 2 = 0)::BIGINT AS affected FROM lp GROUP BY label
 UNION ALL SELECT 'warnings', source, sum(CASE WHEN n_chars > 3000 THEN 2 ELSE 0 END)::BIGINT, count(*) FILTER (WHERE n_chars > 3000) FROM documents GROUP BY source""")
 def lp_summary(spark, sf):
-    edges = statistics.warning_totals(V.progressions(spark, sf).select("label", F.lit(1).alias("one"), "t"), "label", "one").drop("affected")
-    even = V.progressions(spark, sf).groupBy("label").agg(F.count_if(F.col("t") % 2 == 0).alias("affected"))
+    edges = V.progressions(spark, sf).groupBy("label").agg(F.count("*").alias("total"), F.count_if(F.col("t") % 2 == 0).alias("affected"))
     warned = statistics.warning_totals(table(spark, sf, "documents").withColumn("n", F.when(F.col("n_chars") > 3000, 2).otherwise(0)), "source", "n")
     shown = lambda rows, part, key: rows.select(F.lit(part).alias("part"), F.col(key).alias("key"), "total", "affected")
-    return shown(edges.join(even, "label"), "edges", "label").unionByName(shown(warned, "warnings", "source"))
+    return shown(edges, "edges", "label").unionByName(shown(warned, "warnings", "source"))
 
 
 @query(f"""
