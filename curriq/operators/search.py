@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curriq.functions.text import CodeRules, facet_key, facet_text, holds_phrase, lexical_matches, lexical_tokens, split_tokens
+from curriq.session import small_batches
 
 FULL_SCORE, PREFIX_SCORE = 1_000_000, 500_000
 MAX_QUERY_CHARS, MAX_TERMS = 512, 32
@@ -34,7 +35,7 @@ def token_search(docs: DataFrame, text: str, query: str, every: bool = False, ke
     most: different terms that a query may have; component texts are searched without such a bound.
     """
     terms = sorted(set(query_terms(query, most)))
-    held = docs.where(F.col(text).isNotNull()).withColumn("matched", lexical_matches(text, terms))
+    held = small_batches(docs).where(F.col(text).isNotNull()).withColumn("matched", lexical_matches(text, terms))
     n = F.size("matched").cast("long")
     hits = held.where(n == len(terms) if every else n > 0)
     score = F.expr(f"CAST({FULL_SCORE} * CAST(size(matched) AS BIGINT) AS BIGINT) div {len(terms)}")
@@ -44,13 +45,13 @@ def token_search(docs: DataFrame, text: str, query: str, every: bool = False, ke
 def phrase_search(docs: DataFrame, text: str, query: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows that hold the query's tokens one after another."""
     terms = query_terms(query)
-    hits = docs.where(F.col(text).isNotNull()).where(holds_phrase(text, terms))
+    hits = small_batches(docs).where(F.col(text).isNotNull()).where(holds_phrase(text, terms))
     return hits.select(*keep, F.lit(FULL_SCORE).cast("long").alias("score"), F.lit(",".join(terms)).alias("matched_terms"), F.lit(len(set(terms))).cast("long").alias("query_terms"))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, key): one row for each distinct token of each text."""
-    return docs.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(lexical_tokens(text))).alias("token")).select("token", key)
+    return small_batches(docs).where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(lexical_tokens(text))).alias("token")).select("token", key)
 
 
 def write_postings(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> DataFrame:

@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """Keep Arrow batches small, so that a Python worker's memory depends on a batch's bytes and not on 10,000 texts of any length."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return rows
+
+
 def loop_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset on one machine (tests), under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

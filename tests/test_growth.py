@@ -58,3 +58,12 @@ def test_wire_lines_are_canonical_without_python(spark):
         t = r.edge_id
         assert r.value == slim.canonical({"identifier": t, "label": "relatesTo", "properties": {"author": t, "identifier": t}, "source_identifier": t, "source_labels": ["X"], "target_identifier": "b", "target_labels": ["Y", t], "type": "relationship"})
         json.loads(r.value)
+
+
+def test_python_gets_small_batches(spark):
+    from curriq.operators import search
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.range(20).select(F.col("id"), F.lit("ﬁne ｔｅｘｔ").alias("text"))  # not plain: folded by Python
+    assert search.token_search(docs, "text", "fine", keep=("id",)).count() == 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
