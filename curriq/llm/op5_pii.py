@@ -7,12 +7,14 @@ groups, separators, check digit, parts) and context (neighbouring characters and
 added where its score reaches its kind's threshold and it overlaps no base span; of overlapping ones of one kind the one
 around the others wins, else the higher score, then the earlier, then the kind listed first.
 
-There are no labelled spans, so the trees learn from the base rules on a bounded sample of documents (SAMPLE_DOCS, the
-lowest hashes of ids, one row for each id and text; of a document's examples every k-th, where it has over DOC_EXAMPLES): base spans and their rewritten forms (plus sign dropped, other separators, mail signs in words) are
-positive, rewritten numbers also two in a row; candidates that overlap no base span, joins of two rewritten numbers, and base
-spans with a digit changed so that the check fails, are negative.
-Thresholds are set on a fifth of the sample, kept out of training: the lowest score from which 98 % of what is selected
-is positive, and 0.9 at least.
+There are no labelled spans, so the trees learn from the base rules on all documents: base spans and their rewritten forms
+(plus sign dropped, other separators, mail signs in words) are positive, rewritten numbers also two in a row; candidates that
+overlap no base span, joins of two rewritten numbers, and base spans with a digit changed so that the check fails, are
+negative. Rows that are equal in id and text count once. Equal examples become one with a number, and Spark keeps them:
+bin edges are exact quantiles from counts of values, each level of a tree takes one pass that sums histograms in
+tasks (in whole numbers, so their order doesn't matter), and thresholds come from running sums over the different scores.
+Thresholds are set on documents whose id is divisible by 5, kept out of training: the lowest score from which 98 % of what is
+selected is positive, and 0.9 at least.
 
 Offsets are code points, ends exclusive. Null texts count as empty: no spans, the hash of the empty string. The columns
 n_email, n_ip, n_card and n_phone count base spans; n_added counts the others. Whole texts are read. Null doc_ids are
@@ -25,20 +27,22 @@ import bisect
 import hashlib
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curriq.llm.common import spread, table
+from curriq.llm.common import cut, shared_dir, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, DOC_EXAMPLES = 6000, 500
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 8
 PRECISION, LEAST_THRESHOLD = 0.98, 0.9
+#: Examples that a task packs into one block, and the whole number that stands for 1 in sums of gradients.
+BLOCK, UNIT = 1 << 14, 1 << 20
 
 # ---- Base spans ------------------------------------------------------------------------------------------------
 
@@ -228,47 +232,93 @@ class Trees:
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1).astype(np.int16) if len(x) else np.zeros((0, len(self.edges)), np.int16)
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        b, raw, rows = self.binned(x), np.full(len(x), self.prior), np.arange(len(x))
+    def raw(self, b: np.ndarray) -> np.ndarray:
+        raw = np.full(len(b), self.prior)
         for feature, cut_at, leaves in self.nodes:
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(DEPTH):
-                at = 2 * at + 1 + (b[rows, feature[at]] > cut_at[at])
-            raw += leaves[at - (2**DEPTH - 1)]
-        return 1 / (1 + np.exp(-raw))
+            raw += leaves[places(b, feature, cut_at, DEPTH) - (2**DEPTH - 1)]
+        return raw
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.raw(self.binned(x))))
+
+
+def places(b: np.ndarray, feature: np.ndarray, cut_at: np.ndarray, depth: int) -> np.ndarray:
+    """The node that each row of bins comes to on a level of a tree."""
+    at, rows = np.zeros(len(b), dtype=np.int64), np.arange(len(b))
+    for _ in range(depth):
+        at = 2 * at + 1 + (b[rows, feature[at]] > cut_at[at])
+    return at
+
+
+def packed(known: DataFrame, trees: Trees) -> DataFrame:
+    """(b, y, n): blocks of binned examples, their labels and their numbers."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            b, y, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (b.astype(np.int8), y.astype(np.int8), n.astype(np.int64))], names=["b", "y", "n"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((trees.binned(vectors(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()))
+            if sum(len(h[0]) for h in held) >= BLOCK:
+                yield block()
+        if held:
+            yield block()
+
+    return known.select("x", "y", "n").mapInArrow(pack, "b binary, y binary, n binary")
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
+def vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def histograms(blocks: DataFrame, trees: Trees, feature: np.ndarray, cut_at: np.ndarray, level: int) -> np.ndarray:
+    """(3, node of the level, feature, bin): sums of gradients and of their slopes, in units, and of examples."""
+    shape = (3, 2**level, len(trees.edges), BINS + 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, shape[1] * shape[2] * shape[3]), dtype=np.int64)
+        for batch in batches:
+            for b, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b, y, n = np.frombuffer(b, np.int8).reshape(-1, shape[2]), np.frombuffer(y, np.int8), np.frombuffer(n, np.int64)
+                p = 1 / (1 + np.exp(-trees.raw(b)))
+                own = places(b, feature, cut_at, level) - (2**level - 1)
+                key = ((own[:, None] * shape[2] + np.arange(shape[2])) * shape[3] + b).ravel()
+                for k, w in enumerate((np.rint((y - p) * UNIT) * n, np.rint((p * (1 - p) + 1e-6) * UNIT) * n, n)):
+                    total[k] += np.bincount(key, weights=np.repeat(w, shape[2]), minlength=total.shape[1]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    sums = np.zeros(shape, dtype=np.int64)
+    for r in blocks.mapInArrow(add, "sums binary").collect():  # a row a task
+        sums += np.frombuffer(r[0], np.int64).reshape(shape)
+    return sums
+
+
+def boost(blocks: DataFrame, trees: Trees) -> None:
     """Gradient boosting on logistic loss with histograms; full trees of DEPTH, splits without gain send all left."""
-    t = Trees([np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in x.T])
-    t.prior = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    b, raw, inner = t.binned(x), np.full(len(x), t.prior), 2**DEPTH - 1
+    inner = 2**DEPTH - 1
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-raw))
-        g, h = y - p, p * (1 - p) + 1e-6
         feature, cut_at = np.zeros(inner, dtype=np.int64), np.full(inner, BINS + 1, dtype=np.int64)
-        at = np.zeros(len(x), dtype=np.int64)
         for level in range(DEPTH):
             first, width = 2**level - 1, 2**level
-            best = np.full(width, 1e-3)
-            own = at - first
-            for j in range(x.shape[1]):
-                key, m = own * (BINS + 1) + b[:, j], width * (BINS + 1)
-                sums = [np.cumsum(np.bincount(key, weights=w, minlength=m).reshape(width, -1), axis=1) for w in (g, h, np.ones(len(x)))]
-                (gl, hl, nl), (gt, ht, nt) = sums, (s[:, -1:] for s in sums)
-                gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
-                gain[(nl < LEAF) | (nt - nl < LEAF)] = 0
-                top = gain.argmax(axis=1)
-                better = gain[np.arange(width), top] > best
-                best[better] = gain[np.arange(width), top][better]
-                feature[first : first + width][better] = j
-                cut_at[first : first + width][better] = top[better]
-            at = 2 * at + 1 + (b[np.arange(len(x)), feature[at]] > cut_at[at])
-        own = at - inner
-        leaves = RATE * np.bincount(own, weights=g, minlength=2**DEPTH) / (np.bincount(own, weights=h, minlength=2**DEPTH) + 1)
-        raw += leaves[own]
-        t.nodes.append((feature, cut_at, leaves))
-    return t
+            sums = np.cumsum(histograms(blocks, trees, feature, cut_at, level), axis=3)
+            (gl, hl), nl = sums[:2] / UNIT, sums[2]
+            gt, ht, nt = gl[..., -1:], hl[..., -1:], nl[..., -1:]
+            gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+            gain[(nl < LEAF) | (nt - nl < LEAF)] = 0
+            gain = gain.reshape(width, -1)
+            top, own = gain.argmax(axis=1), np.arange(width)
+            better = gain[own, top] > 1e-3
+            feature[first : first + width][better] = (top // (BINS + 1))[better]
+            cut_at[first : first + width][better] = (top % (BINS + 1))[better]
+        # sums of both sides of the last level's splits
+        split, at = feature[first:], np.minimum(cut_at[first:], BINS)
+        g, h = (np.stack([c[own, split, at], c[own, split, -1] - c[own, split, at]], axis=1).ravel() for c in (gl, hl))
+        trees.nodes.append((feature, cut_at, RATE * g / (h + 1)))
 
 
 def joins(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[float], bool]]:
@@ -276,56 +326,80 @@ def joins(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[float
     return [(features(text, *c), False) for c in candidates(text) if c[1] and sum(c[0] < e and s < c[2] for s, _, e in spans) > 1]
 
 
-def examples(text: str) -> list[tuple[list[float], bool]]:
+def examples(text: str) -> Iterator[tuple[list[float], bool]]:
     """Features and labels that a text's base spans and other candidates give."""
-    base, out = base_spans(text), []
+    base = base_spans(text)
     for start, kind, end in base:
-        out.append((features(text, start, kind, end), True))
+        yield features(text, start, kind, end), True
         for other, a, b, positive in rewritten(text, start, kind, end):
-            out.append((features(other, a, kind, b), positive))
+            yield features(other, a, kind, b), positive
             if positive and kind:
                 for gap in NEIGHBOUR_GAPS:
                     near = b + len(gap)
                     pair = other[:b] + gap + other[a:]
                     spans = [(a, kind, b), (near, kind, near + b - a)]
-                    out += [(features(pair, *c), True) for c in spans] + joins(pair, spans)
+                    yield from [(features(pair, *c), True) for c in spans] + joins(pair, spans)
     taken = Taken(base)
     for start, kind, end in candidates(text):
         if not taken.meets(start, end):
-            out.append((features(text, start, kind, end), False))
-    return out
-
+            yield features(text, start, kind, end), False
 
-def fit(docs: DataFrame) -> Trees | None:
-    """Trees and thresholds from a bounded sample of docs (doc_id, text); None if it gives no two classes."""
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text").distinct()
 
-    def thinned(some: list) -> list:
-        return some[:: -(-len(some) // DOC_EXAMPLES)] if some else some
+def counted_examples(docs: DataFrame) -> DataFrame:
+    """(held, x, y, n): the different examples of all docs (doc_id, text), each with its number."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, x, y) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x, y in thinned(examples(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.bool_())], names=["doc_id", "x", "y"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                met = Counter((tuple(x), y) for x, y in examples(text))
+                if met:
+                    own = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(met), pa.int64()), pa.array([own] * len(met), pa.binary()), pa.array([x for x, _ in met], pa.list_(pa.float64())), pa.array([y for _, y in met], pa.bool_()), pa.array(met.values(), pa.int64())], names=["doc_id", "own", "x", "y", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = spread(rows).mapInArrow(learn, "doc_id long, own binary, x array<double>, y boolean, n long")
+    once = found.groupBy("doc_id", "own", "x", "y").agg(F.max("n").alias("n"))  # repeated rows give the same
+    return once.groupBy((F.col("doc_id") % 5 == 0).alias("held"), "x", "y").agg(F.sum("n").alias("n"))
+
+
+def bin_edges(known: DataFrame, total: int) -> list[np.ndarray]:
+    """For each feature the different quantiles (the lower value, where one lies between two) of all examples."""
+    values = known.select(F.posexplode("x").alias("j", "v"), "n").groupBy("j", "v").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("j").orderBy("v"))
+    wanted = F.array(*[F.lit(int(i)) for i in np.floor(np.linspace(0, 1, BINS + 1)[1:-1] * (total - 1))])
+    hit = F.exists(wanted, lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("n")))
+    got = sorted(tuple(r) for r in values.withColumn("upto", upto).where(hit).select("j", "v").collect())  # BINS - 1 a feature at most
+    return [np.array([v for _, v in own]) for _, own in itertools.groupby(got, key=lambda r: r[0])]
+
+
+def thresholds(known: DataFrame, trees: Trees) -> tuple[float, ...]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = vectors(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, : len(KINDS)].argmax(axis=1), pa.int32()), pa.array(trees.scores(x)), batch.column(1), batch.column(2)], names=["kind", "score", "y", "n"])
 
-    got = sorted(tuple(r) for r in spread(rows).mapInArrow(learn, "doc_id long, x array<double>, y boolean").collect())
-    if not got or len({r[2] for r in got}) < 2:
-        return None
-    x, y, own = np.array([r[1] for r in got]), np.array([r[2] for r in got], dtype=float), np.array([r[0] for r in got])
-    held = own % 5 == 0
-    if held.all() or len(set(y[~held])) < 2:
+    scored = known.select("x", "y", "n").mapInArrow(score, "kind int, score double, y boolean, n long")
+    each = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y"), F.col("n")).otherwise(0)).alias("right"))
+    above = Window.partitionBy("kind").orderBy(F.desc("score"))
+    good = each.select("kind", "score", (F.sum("right").over(above) / F.sum("n").over(above)).alias("precision")).where(F.col("precision") >= PRECISION)
+    least = {r["kind"]: r["score"] for r in good.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+    return tuple(max(LEAST_THRESHOLD, least[k]) if k in least else 1.1 for k in range(len(KINDS)))
+
+
+def fit(docs: DataFrame) -> Trees | None:
+    """Trees and thresholds from all docs (doc_id, text); None if they give no two classes to train on."""
+    folder = shared_dir(docs.sparkSession)
+    known = cut(counted_examples(docs), folder, "examples")
+    total = {(r["held"], r["y"]): r["n"] for r in known.groupBy("held", "y").agg(F.sum("n").alias("n")).collect()}
+    wrong, right = total.get((False, False), 0), total.get((False, True), 0)
+    if not wrong or not right:
         return None
-    trees = boost(x[~held], y[~held])
-    s, found = trees.scores(x[held]), []
-    for k in range(len(KINDS)):
-        mine = x[held][:, k] == 1
-        order = np.argsort(-s[mine], kind="stable")
-        right = np.cumsum(y[held][mine][order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        found.append(max(LEAST_THRESHOLD, float(s[mine][order][good[-1]])) if len(good) else 1.1)
-    trees.thresholds = tuple(found)
+    train = known.where("NOT held")
+    trees, mean = Trees(bin_edges(train, wrong + right)), right / (wrong + right)
+    trees.prior = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
+    boost(cut(packed(spread(train), trees), folder, "blocks"), trees)
+    trees.thresholds = thresholds(known.where("held"), trees)
     return trees
 
 

@@ -4,7 +4,9 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curriq.llm import op5_pii as op5
 from curriq.llm.common import table
@@ -65,3 +67,21 @@ def test_neighbours_are_selected(spark):
         ("card 4111.1111.1111.1111 ok", {"4111.1111.1111.1111"}),
     ]:
         assert {text[s:e] for s, _, e in op5.added_spans(text, op5.base_spans(text), trees)} == want, text
+
+
+def test_every_document_and_example_is_learnt(spark):
+    """Not only the first thousands: each document counts, and each example of a document that has very many."""
+    plain = "mail a.b@example.org, card 4111 1111 1111 1111, code 1234567 or 12.34.56.78.90"
+    many = " x ".join(f"{i:07d}" for i in range(700))
+    text = F.when(F.col("id") < 10, many).otherwise(plain)
+    known = op5.counted_examples(spark.range(7000).select(F.col("id").alias("doc_id"), text.alias("text"))).groupBy("held").agg(F.sum("n").alias("n")).collect()
+    each, rest = (sum(1 for _ in op5.examples(t)) for t in (many, plain))
+    assert each == 700 and {r["held"]: r["n"] for r in known} == {True: 2 * each + 1398 * rest, False: 8 * each + 5592 * rest}
+
+
+def test_edges_are_exact_quantiles(spark):
+    r = random.Random(3)
+    x = np.array([[r.randrange(200), r.random(), 1.0] for _ in range(999)])
+    known = spark.createDataFrame([(list(map(float, v)), 1) for v in x], "x array<double>, n long")
+    want = [np.unique(np.quantile(c, np.linspace(0, 1, op5.BINS + 1)[1:-1], method="lower")) for c in x.T]
+    assert all((a == b).all() for a, b in zip(op5.bin_edges(known, len(x)), want, strict=True))
