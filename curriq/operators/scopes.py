@@ -21,14 +21,19 @@ class ScopeError(ValueError):
         self.witness = witness
 
 
+def _typed(ups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ups (up, scope_type ...) with hit: whether up is of the type; nodes that aren't there lead nowhere."""
+    kinds = nodes.select(F.col("node_id").alias("up"), "statement_type")
+    return ups.join(kinds, "up").withColumn("hit", F.coalesce(F.col("statement_type") == F.col("scope_type"), F.lit(False))).drop("statement_type")
+
+
 def _ways_up(edges: DataFrame, nodes: DataFrame, asked: DataFrame, folder: str) -> DataFrame:
-    """(scope_type, at, up, hit): for each wanted type the edges that lead up from asked nodes (node_id, scope_type) as far
+    """(at, scope_type, up, hit): for each wanted type the edges that lead up from asked nodes (node_id, scope_type) as far
     as branches go, a branch ending at its first parent of the type. Each (node, type) goes up once."""
-    ups = cut(edges.select(F.col("target").alias("at"), F.col("source").alias("up")).distinct().join(nodes.select(F.col("node_id").alias("up"), "statement_type"), "up"), folder, "ups")
     front = seen = asked.select(F.col("node_id").alias("at"), "scope_type")
     found, step = None, 0
     while True:
-        level = cut(front.join(ups, "at").select("scope_type", "at", "up", F.coalesce(F.col("statement_type") == F.col("scope_type"), F.lit(False)).alias("hit")), folder, f"ways-{step}")
+        level = cut(_typed(front.join(edges, "at"), nodes).select("at", "scope_type", "up", "hit"), folder, f"ways-{step}")
         found = level if found is None else found.unionByName(level)
         front = cut(level.where("NOT hit").select(F.col("up").alias("at"), "scope_type").distinct().join(seen, ["at", "scope_type"], "left_anti"), folder, f"front-{step}")
         if front.isEmpty():
@@ -36,20 +41,9 @@ def _ways_up(edges: DataFrame, nodes: DataFrame, asked: DataFrame, folder: str)
         seen, step = seen.unionByName(front), step + 1
 
 
-def resolved_scopes(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((node_id, scope_type, scope_id), (scope_type, source, target)): the nearest ancestors of each wanted type
-    (scope_type) of each coded node, and the edges of ways up that a cycle leaves unsettled.
-
-    Every branch of parents ends at its first match. A (node, type) is settled once all its other parents are, and then holds
-    its matches and theirs: ways up are met once each, in levels from the top, and what stands above two nodes is settled
-    once. Nodes on a cycle, or below one, are never settled. edges: source, target; nodes: node_id, statement_type.
-    """
-    spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
-    types = wanted.select("scope_type").distinct().collect()  # a profile's scope types
-    asked = coded.select("node_id").distinct().withColumn("scope_type", F.explode(F.array(*[F.lit(r[0]) for r in types]))) if types else coded.select("node_id", F.lit("").alias("scope_type")).limit(0)
-    asked = cut(asked, folder, "asked")
-    ways = cut(_ways_up(edges, nodes, asked, folder), folder, "ways")
-    own = ["at", "scope_type"]
+def _settled(ways: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """((at, scope_type, scope_id), (at, scope_type, up)): the scopes of the nodes of ways, and the edges that a cycle leaves unsettled."""
+    own, spark = ["at", "scope_type"], ways.sparkSession
     matches = cut(ways.where("hit").select(*own, F.col("up").alias("scope_id")), folder, "matches-0")
     left = cut(ways.where("NOT hit").select(*own, "up"), folder, "left-0")
     # nodes without other parents are settled at once
@@ -65,10 +59,41 @@ def resolved_scopes(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted
         settled = cut(passed.select(*own).distinct().join(rest.select(*own).distinct(), own, "left_anti"), folder, f"settled-{step + 1}")
         forget(spark, folder, f"left-{step}", f"matches-{step}", f"settled-{step}")
         left, step = rest, step + 1
+    return matches, left
+
+
+def resolved_scopes(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node_id, scope_type, scope_id), (scope_type, source, target)): the nearest ancestors of each wanted type
+    (scope_type) of each coded node, and the edges of ways up that a cycle leaves unsettled.
+
+    Every branch of parents ends at its first match. A (node, type) is settled once all its other parents are, and then holds
+    its matches and theirs: ways up are met once each, in levels from the top, and what stands above two nodes is settled
+    once. Nodes on a cycle, or below one, are never settled. edges: source, target; nodes: node_id, statement_type.
+
+    Only what stands above coded nodes is settled in levels. Edges are written once, marked where they leave a coded
+    node, and a last pass over those hands down what their parents hold; so the edges of coded nodes, most of all, are
+    neither joined nor written again for each level and type.
+    """
+    spark, folder = edges.sparkSession, loop_dir(edges.sparkSession)
+    types = [r[0] for r in wanted.select("scope_type").distinct().collect()]  # a profile's scope types
+    coded = coded.select("node_id").distinct()
+    each = F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>"))
+    asked = coded.withColumn("scope_type", each)
+    marked = edges.select(F.col("target").alias("at"), F.col("source").alias("up")).join(coded.select(F.col("node_id").alias("at"), F.lit(True).alias("asked")), "at", "left")
+    marked = cut(marked.select("at", "up", F.col("asked").isNotNull().alias("asked")), folder, "edges")
+    first = marked.where("asked").select("up").distinct()
+    first = cut(_typed(first.withColumn("scope_type", each), nodes), folder, "first")
+    inner = first.where("NOT hit").select(F.col("up").alias("node_id"), "scope_type")
+    matches, left = _settled(cut(_ways_up(marked.select("at", "up"), nodes, inner, folder), folder, "ways"), folder)
+    held = first.where("hit").select("up", "scope_type", F.col("up").alias("scope_id")).unionByName(matches.select(F.col("at").alias("up"), "scope_type", "scope_id"))
+    last = marked.where("asked").select("at", "up")
+    handed = last.join(held, "up").select(F.col("at").alias("node_id"), "scope_type", "scope_id").distinct()
     open_ = left.select("scope_type", F.col("up").alias("source"), F.col("at").alias("target"))
-    stuck = open_.select(F.col("target").alias("node_id"), "scope_type").distinct()
-    done = asked.join(stuck, ["node_id", "scope_type"], "left_anti")
-    return done.join(matches.select(F.col("at").alias("node_id"), "scope_type", "scope_id"), ["node_id", "scope_type"], "left"), open_
+    if not left.isEmpty():
+        lost = left.select(F.col("at").alias("up"), "scope_type").distinct()
+        open_ = cut(open_.unionByName(last.join(lost, "up").select("scope_type", F.col("up").alias("source"), F.col("at").alias("target"))).distinct(), folder, "open")
+        asked = asked.join(open_.select(F.col("target").alias("node_id"), "scope_type").distinct(), ["node_id", "scope_type"], "left_anti")
+    return asked.join(handed, ["node_id", "scope_type"], "left"), open_
 
 
 def scope_problems(edges: DataFrame, nodes: DataFrame, coded: DataFrame, wanted: DataFrame) -> DataFrame:
