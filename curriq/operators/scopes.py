@@ -175,8 +175,9 @@ def resolve_selectors(asked: DataFrame, nodes: DataFrame, rules: CodeRules) -> D
     nodes: node_id, case_uuid, case_uri, code. A code has to hit exactly one standard, compared as the rules say.
     """
     names = F.array(*[F.struct(F.lit(k).alias("kind"), (rules.column(k) if k == "code" else F.col(k)).alias("key")) for k in SELECTORS])
-    known = nodes.select("node_id", F.explode(names).alias("n")).select("node_id", "n.kind", "n.key").where("key IS NOT NULL").distinct()
     keyed = asked.withColumn("key", F.when(F.col("kind") == "code", rules.column("value")).otherwise(F.col("value")))
+    known = nodes.select("node_id", F.explode(names).alias("n")).select("node_id", "n.kind", "n.key")
+    known = known.join(F.broadcast(keyed.select("kind", "key").distinct()), ["kind", "key"], "left_semi").distinct()  # a request's few keys: only what they hit is gathered
     found = keyed.join(known, ["kind", "key"], "left").groupBy("kind", "value").agg(F.count("node_id").alias("nodes"), F.min("node_id").alias("first_node"))
     result = F.when(F.col("nodes") == 0, "not_found").when(F.col("nodes") == 1, "found").otherwise("ambiguous")
     return found.select("kind", "value", "nodes", F.when(F.col("nodes") == 1, F.col("first_node")).alias("node_id"), result.alias("result"))

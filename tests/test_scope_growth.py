@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from curriq.functions.text import CodeRules
 from curriq.operators import scopes
 
 
@@ -56,3 +57,12 @@ def test_random_graphs_brute_force(spark):
         assert {(i, t) for i, t in stuck if i in asked} == {k for k, own in want.items() if own is None} and bool(stuck) == cyclic
         problems = {(x.problem, int(x.node_id), x.scope_type) for x in scopes.scope_problems(edges, nodes, coded, wanted).collect()}
         assert problems == {("scope-cycle" if own is None else "scope-missing", i, t) for (i, t), own in want.items() if not own}
+
+
+def test_selectors_gather_what_is_asked_for(spark):
+    """Nodes meet the request's keys where they are read; no shuffle or aggregate holds all of them."""
+    nodes = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("u"), "id").alias("case_uuid"), F.lit("uri").alias("case_uri"), F.concat(F.lit("C."), F.col("id") % 7).alias("code"))
+    asked = spark.createDataFrame([("node_id", "n7"), ("code", " c. 3"), ("case_uuid", "u1"), ("case_uuid", "none")], "kind string, value string")
+    rows = scopes.resolve_selectors(asked, nodes, CodeRules())
+    assert {(r.kind, r.value): (r.nodes, r.node_id, r.result) for r in rows.collect()} == {("node_id", "n7"): (1, "n7", "found"), ("code", " c. 3"): (714, None, "ambiguous"), ("case_uuid", "u1"): (1, "n1", "found"), ("case_uuid", "none"): (0, None, "not_found")}
+    assert "BroadcastHashJoin [kind" in rows._jdf.queryExecution().sparkPlan().toString()
