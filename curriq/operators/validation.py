@@ -38,12 +38,15 @@ def status(findings: DataFrame, quarantine: bool = False) -> DataFrame:
 def duplicates(rows: DataFrame, keys: list[str], code: str, record: str, order: str = "seo") -> DataFrame:
     """Every row but the first of its key, by (order, record); of rows that are equal in both, one is the first.
 
-    Rows are counted by (key, order, record) and each key's least comes from partial aggregates, so a frequent key isn't
-    gathered in one task.
+    Keys are first counted by their hashes, and only rows whose hash occurs again are looked at whole (different keys of
+    one hash are told apart then). These are counted by (key, order, record) and each key's least comes from partial
+    aggregates, so a frequent key isn't gathered in one task.
     """
     place = [order] if record == order else [order, record]
     own = [k for k in keys if k not in place]
-    known = rows.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys))).groupBy(*own, *place).agg(F.count("*").alias("times"))
+    hashed = rows.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys))).withColumn("__hash", F.xxhash64(*keys))
+    again = hashed.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1").select("__hash")
+    known = hashed.join(again, "__hash", "left_semi").groupBy(*own, *place).agg(F.count("*").alias("times"))
     first = known.groupBy(*keys).agg(F.min(F.struct(*place)).alias("__first"), F.sum("times").alias("__all")).where("__all > 1")
     later = known.join(first, keys).withColumn("times", F.col("times") - (F.struct(*place) == F.col("__first")).cast("long")).where("times > 0")
     later = later.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
