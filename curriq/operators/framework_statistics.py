@@ -79,8 +79,8 @@ def _of_edges(edges: DataFrame) -> DataFrame:
     return edges.select("package_id", F.explode(F.concat(every, F.when(F.col("label") == HIERARCHY, hierarchy).otherwise(nothing), F.when(F.col("label") == SUPPORTS, supports).otherwise(nothing))).alias("p")).select("package_id", "p.*")
 
 
-def flat_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(package_id, section, value, n, amount) of all sections that need no walk."""
+def flat_statistics(nodes: DataFrame, edges: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(package_id, section, value, n, amount) of all sections that need no walk; others: (package_id, label) of edges that are only counted."""
     text = lambda c: F.col(c).cast("string")
     first = _of_nodes(nodes).unionByName(_of_edges(edges)).groupBy("package_id", "section", "value", "key").agg(
         F.count("*").alias("n"), F.max("item").alias("item"), F.max("type").alias("type"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("parents", "components", "standards")], F.min("amount").alias("low"), F.max("amount").alias("high"),
@@ -93,6 +93,8 @@ def flat_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     plain = F.when(F.col("section") == "tag", F.array(row("tag_vocabulary"))).otherwise(F.array(row(F.col("section"), F.col("value"), n=F.col("n"))))
     bounds = F.when(F.col("low").isNotNull(), F.array(row("support_confidence", F.lit("minimum"), amount=F.col("low")), row("support_confidence", F.lit("maximum"), amount=F.col("high")))).otherwise(nothing)
     second = first.select("package_id", F.explode(F.when(F.col("section") == FACT, F.concat(counted, spans)).otherwise(F.concat(plain, bounds))).alias("r")).select("package_id", "r.*")
+    if others is not None:
+        second = second.unionByName(others.groupBy("package_id", "label").agg(F.count("*").alias("n")).select("package_id", row("relationships", F.col("label"), n=F.col("n")).alias("r")).select("package_id", "r.*"))
     second = second.groupBy("package_id", "section", "value", "type").agg(F.coalesce(F.max("most"), F.sum("n")).alias("n"), F.max("amount").alias("amount"))
     # a row for each statement type and number of components: types without any support are left out
     supported = F.max((F.col("section") == "components_per_standard") & (F.col("value") != "0")).over(Window.partitionBy("package_id", "section", "type"))
@@ -106,15 +108,19 @@ def structure_statistics(nodes: DataFrame, edges: DataFrame, root: str) -> DataF
     """(section, value, n): depth of the hierarchy's nodes below root, and nodes that neither hierarchy nor supports join with it."""
     spark, folder = nodes.sparkSession, loop_dir(nodes.sparkSession)
     inner = cut(edges.where(F.col("label").isin(HIERARCHY, SUPPORTS)).select("label", "source", "target"), folder, "edges")
-    depths = traverse(inner.where(F.col("label") == HIERARCHY), root, max_depth=1 << 30)[0].groupBy(F.col("depth").cast("string").alias("value")).agg(F.count("*").alias("n"))
+    depths = traverse(inner.where(F.col("label") == HIERARCHY), root, max_depth=1 << 30, ready=True)[0].groupBy(F.col("depth").cast("string").alias("value")).agg(F.count("*").alias("n"))
     joined = reachable(inner, spark.createDataFrame([(root,)], "node_id string"), symmetric=True)
     lost = nodes.select("node_id").distinct().join(joined, "node_id", "left_anti").agg(F.count("*").alias("n"))
     return depths.select(F.lit("depth").alias("section"), "value", "n").unionByName(lost.select(F.lit("unreachable").alias("section"), F.lit(None).cast("string").alias("value"), "n"))
 
 
-def framework_statistics(nodes: DataFrame, edges: DataFrame, package_id: str, root: str) -> DataFrame:
-    """(section, value, n, amount): all statistics of one package, in order of section and value, null last."""
+def framework_statistics(nodes: DataFrame, edges: DataFrame, package_id: str, root: str, others: DataFrame | None = None) -> DataFrame:
+    """(section, value, n, amount): all statistics of one package, in order of section and value, null last.
+
+    others: edges of labels besides hasChild and supports (progressions), apart from edges. No walk takes them, so a view
+    behind them is computed once, and only counted by label.
+    """
     own = lambda rows: rows.where(F.col("package_id") == package_id)
-    flat = flat_statistics(own(nodes), own(edges)).drop("package_id")
+    flat = flat_statistics(own(nodes), own(edges), None if others is None else own(others)).drop("package_id")
     both = flat.unionByName(structure_statistics(own(nodes), own(edges), root).withColumn("amount", F.lit(None).cast("double")))
     return both.orderBy("section", F.col("value").asc_nulls_last())

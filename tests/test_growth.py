@@ -67,3 +67,23 @@ def test_python_gets_small_batches(spark):
     docs = spark.range(20).select(F.col("id"), F.lit("ﬁne ｔｅｘｔ").alias("text"))  # not plain: folded by Python
     assert search.token_search(docs, "text", "fine", keep=("id",)).count() == 20
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
+def test_others_are_computed_once_and_counted(spark):
+    from curriq.operators import framework_statistics as stats
+    from test_framework_statistics import tables as small
+
+    nodes, edges = small(spark)
+    walked = F.col("label").isin("hasChild", "supports")
+    others, n = counted(edges.where(~walked).select("package_id", "label"))
+    split = sorted(map(str, stats.framework_statistics(nodes, edges.where(walked), "p", "root", others).collect()))
+    assert n.value == 1 and split == sorted(map(str, stats.framework_statistics(nodes, edges, "p", "root").collect()))
+
+
+def test_only_repeated_keys_are_looked_at_whole(spark):
+    rows = [(f"e{i}", f"k{i % 90 if i < 100 else i}", i % 3) for i in range(300)] + [("e7", "k7", 1), ("e7", "k7", 1), ("x", None, 0)]
+    found = validation.duplicates(spark.createDataFrame(rows, "edge_id string, key string, seo long"), ["key"], "again", "edge_id")
+    want = []
+    for key in {r[1] for r in rows if r[1]}:
+        want += [e for _, e in sorted((s, e) for e, k, s in rows if k == key)[1:]]
+    assert sorted(r.record_id for r in found.collect()) == sorted(want) and "LeftSemi" in plan(found)
