@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,12 +24,19 @@ def parent_distribution(edges: DataFrame, items: DataFrame, distinct_sources: bo
     return items.select("node_id").join(counted, "node_id", "left").groupBy(F.coalesce("n", F.lit(0)).cast("long").alias("parents")).agg(F.count("*").alias("items")).orderBy("parents")
 
 
-def support_statistics(supports: DataFrame) -> DataFrame:
-    """One row: standards and components with support, components on several standards, confidences."""
-    per_component = supports.groupBy("component").agg(F.count_distinct("standard").alias("span"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
-    by_component = per_component.agg(F.count("*").alias("components"), F.count_if(F.col("span") > 1).alias("bridges"), F.max("span").alias("largest_span"), F.min("low").alias("least_confidence"), F.max("high").alias("most_confidence"))
-    standards = supports.agg(F.count_distinct("standard").alias("standards"))
-    return standards.join(by_component, F.lit(True))  # one row each
+def support_statistics(supports: DataFrame, component: str = "component", standard: str = "standard", standards: DataFrame | None = None) -> DataFrame:
+    """One row: standards and components with support, components on several standards, confidences.
+
+    A component's standards are numbered in their order, and only the numbers are summed up, so a task sorts its rows and
+    holds no map of components. standards: a table that has the same standards, to count them without the view behind supports.
+    """
+    by = Window.partitionBy(component).orderBy(standard)  # null comes first, and is no standard
+    line, unknown = F.row_number().over(by), F.first(standard).over(by.rowsBetween(Window.unboundedPreceding, 0)).isNull()
+    span = F.dense_rank().over(by).cast("long") - unknown.cast("long")
+    numbered = supports.select((line == 1).alias("first"), (line == F.rank().over(by)).alias("new"), span.alias("span"), "confidence")
+    by_component = numbered.agg(F.count_if("first").alias("components"), F.count_if(F.col("new") & (F.col("span") == 2)).alias("bridges"), F.max("span").alias("largest_span"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"))
+    counted = (supports if standards is None else standards).agg(F.count_distinct(standard).alias("standards"))
+    return counted.join(by_component, F.lit(True))  # one row each
 
 
 def node_facts(items: DataFrame, code: str, text: str) -> DataFrame:

@@ -385,7 +385,7 @@ def stat_depth(spark, sf):
 WITH {V.SUPPORTS}, c AS (SELECT component, count(DISTINCT standard) AS span FROM supports GROUP BY component)
 SELECT (SELECT count(DISTINCT standard) FROM supports) AS standards, count(*) AS components, count(*) FILTER (WHERE span > 1) AS bridges, max(span) AS largest_span, (SELECT min(confidence) FROM supports) AS least_confidence, (SELECT max(confidence) FROM supports) AS most_confidence FROM c""")
 def stat_components(spark, sf):
-    return statistics.support_statistics(V.supports(spark, sf))
+    return statistics.support_statistics(V.supports(spark, sf), "l_orderkey", "l_partkey", table(spark, sf, "lineitem"))
 
 
 @query(f"""

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_TASK = 1_500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +22,15 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of a table, dealt by keys to tasks of about ROWS_A_TASK rows, so that what a task sorts doesn't grow with the table.
+
+    The rows are counted first, which takes no column of a Parquet file.
+    """
+    tasks = -(-rows.count() // ROWS_A_TASK)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def loop_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset on one machine (tests), under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
