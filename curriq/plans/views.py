@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curriq.session import dealt, table
+from curriq.session import cut, dealt, forget, loop_dir, table
 
 
 def ident(prefix: str, key: str) -> Column:
@@ -58,15 +58,20 @@ def _pairs(pairs: DataFrame, label: str, letter: str) -> DataFrame:
     return pairs.select(F.concat(F.lit(f"{letter}:"), s, F.lit(">"), t).alias("edge_id"), F.lit(label).alias("label"), s.alias("source"), t.alias("target"), "s", "t")
 
 
-def _part_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _part_pairs(spark: SparkSession, sf: str, by: str | None = None) -> DataFrame:
     """s, t, next: pairs of parts of one order with s < t, once each, and whether lines n and n + 1 of an order hold them.
 
     One self-join of narrow rows and one aggregate give both labels: nothing is joined or read again for the other one.
+    by: s or t, by which the pairs are dealt to tasks of bounded size, as lines are by order then.
     """
-    lines = table(spark, sf, "lineitem")
-    a = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("s"), F.col("l_linenumber").alias("n"))
-    b = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("t"), F.col("l_linenumber").alias("m"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"))
+    if by:
+        count = lines.count()
+        lines = dealt(lines, "o", count=count)
+    a, b = lines.select("o", F.col("p").alias("s"), "n"), lines.select("o", F.col("p").alias("t"), F.col("n").alias("m"))
     pairs = a.join(b, "o").where("s < t").select("s", "t", F.coalesce(F.col("m") == F.col("n") + 1, F.lit(False)).alias("next"))  # an order has a handful of lines
+    if by:
+        pairs = dealt(pairs, by, count=2 * count)  # of four lines come six pairs
     return pairs.groupBy("s", "t").agg(F.max("next").alias("next"))
 
 
@@ -82,9 +87,26 @@ def relates_to(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def progressions(spark: SparkSession, sf: str) -> DataFrame:
+    return _progressions(_part_pairs(spark, sf))
+
+
+def _progressions(pairs: DataFrame, *more: str) -> DataFrame:
     s, t = ident("P", "s"), ident("P", "t")
     letter, label = F.when(F.col("next"), "b:").otherwise("r:"), F.when(F.col("next"), "buildsTowards").otherwise("relatesTo")
-    return _part_pairs(spark, sf).select(F.concat(letter, s, F.lit(">"), t).alias("edge_id"), label.alias("label"), s.alias("source"), t.alias("target"), "s", "t")
+    return pairs.select(F.concat(letter, s, F.lit(">"), t).alias("edge_id"), label.alias("label"), s.alias("source"), t.alias("target"), "s", "t", *more)
+
+
+def placed_progressions(spark: SparkSession, sf: str, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Progressions with what sources (s, ...; others go) and targets (t, ...) tell of their ends, met while a pair is two numbers.
+
+    Pairs are dealt by t, written, dealt by s and written again: no shuffle moves texts or waits for the next one to end, and
+    texts are made of the written numbers whenever they are read.
+    """
+    folder = loop_dir(spark)
+    pairs = cut(_part_pairs(spark, sf, by="t").join(targets, "t", "left"), folder, "pairs")
+    placed = cut(dealt(pairs, "s").join(sources, "s").sortWithinPartitions("s", "t"), folder, "placed")
+    forget(spark, folder, "pairs")
+    return _progressions(placed, *[c for c in (*targets.columns, *sources.columns) if c not in ("s", "t")])
 
 
 def part_nodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +24,12 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
     """rows of a table, dealt by keys to tasks of about ROWS_A_TASK rows, so that what a task sorts doesn't grow with the table.
 
-    The rows are counted first, which takes no column of a Parquet file.
+    The rows are counted first, which takes no column of a Parquet file; count: about how many they are, where that is known.
     """
-    tasks = -(-rows.count() // ROWS_A_TASK)
+    tasks = -(-(rows.count() if count is None else count) // ROWS_A_TASK)
     return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
@@ -49,6 +51,20 @@ def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def sparing(spark: SparkSession) -> Iterator[None]:
+    """Within it, `cut` packs its tables tightly, and the shuffle files of a `cut` go once it is done, not when the driver collects garbage."""
+    conf = {"spark.sql.parquet.compression.codec": "zstd", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def forget(spark: SparkSession, folder: str, *names: str) -> None:
     """Delete what `cut` wrote, once no later plan reads it."""
     for name in names:
